@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from depthforge.llm import decontam, licenses, lines, pii, quality
+from depthforge.llm import decontam, licenses, lines, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
     "op2_pii": pii.op2,
     "op4_quality_rules": quality.op4,
     "op5_decontamination": decontam.op5,
     "op6_license_scan": licenses.op6,
+    "op8_toxicity": toxicity.op8,
     "op9_line_dedup": lines.op9,
 }
 

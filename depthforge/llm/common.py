@@ -30,6 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files of frames that are no longer held
     return spark.read.schema(df.schema).parquet(path)
 
 

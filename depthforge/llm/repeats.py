@@ -144,6 +144,7 @@ def anchors(values: list[np.ndarray], shape: Shape) -> Iterator[tuple[np.ndarray
 
 # ---------------------------------------------------------------- columns as bytes
 
+BLOBS = "bucket int, kind int, blob binary"
 PLANES = (6, 8, 2, 2, 8, 8)  # bytes kept of anchor, context, left, right, key, position
 
 
@@ -209,11 +210,16 @@ def _decide(parts: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndar
     repeat = key > key[run]
     yield key[repeat], pos[repeat] * 2
     at = np.flatnonzero(first)
+    least = key[at]  # the smallest document of each context
     shared = np.zeros(len(at), bool)
     for side in (lh, rh):
         group = mix(x[at] * U(BASE) + side[at])
-        _, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
-        shared |= (counts[inverse] > 1) & (side[at] > 0)
+        by = np.lexsort((least, group))
+        start = firsts(group[by])
+        head = first_of_run(start)
+        end = np.concatenate((np.flatnonzero(start)[1:], [len(by)]))[np.cumsum(start) - 1] - 1 if len(by) else head
+        several = least[by][head] != least[by][end]  # contexts that one document has alone are no repeats
+        shared[by] |= several & (side[at][by] > 0)
     flag = np.zeros(len(x), bool)
     flag[at] = shared
     look = ~repeat & flag[run]
@@ -225,18 +231,10 @@ Tokens = Callable[[list[bytes]], list[np.ndarray]]
 
 def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
     """(key, mark) of the anchors of ``docs`` (key, text)."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    buckets = 8 * parts
+    buckets = 8 * partitions(docs.sparkSession)
 
     def send(batches):
         held, n = [], 0
-
-        def flush():
-            rows = list(_send(held, buckets)) if held else []
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
-
         for batch in batches:
             keys = np.array(batch.column("key").to_numpy(zero_copy_only=False))
             for lo, hi, raws in text_slices(batch.column("text")):
@@ -245,34 +243,13 @@ def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
                     held.append((x, c, lh, rh, own[d], pos))
                     n += len(x)
                 if n >= BATCH:
-                    yield flush()
-                    n = 0
-        yield flush()
-
-    def decide(batches):
-        def out(parts):
-            for key, mark in parts:
-                for a in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(mark[a : a + 200_000])], names=["key", "mark"])
-
-        held, current = [], None
-        for batch in batches:
-            for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
-                if kind:
-                    key, pos = unpack_columns(blob, (8, 8))
-                    yield from out([(key.view(np.int64), pos.astype(np.int64) * 2)])
-                    continue
-                if bucket != current:
-                    if held:
-                        yield from out(_decide(held))
-                    held, current = [], bucket
-                held.append(unpack_columns(blob))
+                    yield _blob_rows(list(_send(held, buckets)))
+                    held, n = [], 0
         if held:
-            yield from out(_decide(held))
+            yield _blob_rows(list(_send(held, buckets)))
 
-    sent = docs.where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
-    dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return stored(dealt.mapInArrow(decide, "key bigint, mark bigint"))
+    sent = docs.where("key is not null").mapInArrow(send, BLOBS)
+    return decided(sent, _decide, PLANES, lambda pos: pos * 2)
 
 
 def text_slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -290,13 +267,73 @@ def text_slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int,
         yield lo, lo + len(raws), raws
 
 
-Kernel = Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], int], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: (keys, token values, window starts, texts, width) -> arrays of window hashes, keys, window starts
+Kernel = Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], list[bytes], int], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def hash_kernel(keys: np.ndarray, values: list[np.ndarray], starts: list[np.ndarray], width: int):
-    """(window hash, key, window start) of the windows to look at."""
+def hash_kernel(keys, values, starts, raws, width):
     for key, v, s in zip(keys, values, starts, strict=True):
-        yield Hasher(v)(s, s + width), np.full(len(s), key, np.int64), s
+        if len(s):
+            yield Hasher(v)(s, s + width), np.full(len(s), key, np.int64), s
+
+
+def _send_windows(parts, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, columns) of windows: kind 0 the smallest document's of each content, kind 1 repeats of them."""
+    h, key, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((key, h))
+    h, key, at = h[order], key[order], at[order]
+    repeat = key > key[first_of_run(firsts(h))]
+    if repeat.any():
+        yield int(h[repeat][0] % U(buckets)), 1, pack_columns([key[repeat].view(U), at[repeat].astype(U)], (8, 8))
+    h, key, at = h[~repeat], key[~repeat], at[~repeat]
+    bucket = (h % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [a[order] for a in (h, key.view(U), at.astype(U))]
+    cuts = np.flatnonzero(np.concatenate((firsts(bucket), [True]))) if len(bucket) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), 0, pack_columns([c[a:b] for c in cols], (8, 8, 8))
+
+
+def _decide_windows(parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    h, key, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    key, at = key.view(np.int64), at.astype(np.int64)
+    order = np.lexsort((key, h))
+    h, key, at = h[order], key[order], at[order]
+    repeat = key > key[first_of_run(firsts(h))]
+    yield key[repeat], at[repeat] * 2 + 1
+
+
+def _blob_rows(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _mark_rows(parts):
+    for key, mark in parts:
+        for a in range(0, len(key), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(mark[a : a + 200_000])], names=["key", "mark"])
+
+
+def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFrame:
+    """(key, mark): deal (bucket, kind, blob) rows out by bucket and decide bucket by bucket; ``known`` turns positions of kind 1 into marks."""
+
+    def run(batches):
+        held, current = [], None
+        for batch in batches:
+            for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
+                if kind:
+                    key, pos = unpack_columns(blob, (8, 8))
+                    yield from _mark_rows([(key.view(np.int64), known(pos.astype(np.int64)))])
+                    continue
+                if bucket != current:
+                    if held:
+                        yield from _mark_rows(decide(held))
+                    held, current = [], bucket
+                held.append(unpack_columns(blob, planes))
+        if held:
+            yield from _mark_rows(decide(held))
+
+    dealt = sent.repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+    return stored(dealt.mapInArrow(run, "key bigint, mark bigint"))
 
 
 def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
@@ -310,22 +347,28 @@ def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
 def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kernel = hash_kernel) -> DataFrame:
     """(key, mark): mark 2 * anchor position where all windows through the anchor are repeats, 2 * window start + 1 where that window is."""
     docs = docs.where("key is not null")
+    buckets = 8 * partitions(docs.sparkSession)
     marks = repeat_marks(docs, tokens, shape)
     look = marks.where("mark % 2 = 1").groupBy("key").agg(F.collect_list((F.col("mark") / 2).cast("bigint")).alias("at"))
 
-    def windows(batches):
+    def send(batches):
+        held, n = [], 0
         for batch in batches:
-            keys, ats = batch.column("key").to_numpy(zero_copy_only=False), batch.column("at").to_pylist()
+            keys, ats = batch.column("key").to_numpy(zero_copy_only=False), batch.column("at")
             for lo, hi, raws in text_slices(batch.column("text")):
                 values = tokens(raws)
-                starts = [window_starts(len(v), np.array(a), shape) for v, a in zip(values, ats[lo:hi], strict=True)]
-                for h, k, p in kernel(keys[lo:hi], values, starts, shape.width):
-                    for a in range(0, len(h), 200_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (h.view(np.int64), k, p)], names=["h", "key", "p"])
-
-    found = stored(docs.join(look, "key").select("key", "text", "at").mapInArrow(windows, "h bigint, key bigint, p bigint"))
-    smallest = found.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h", "least")
-    flagged = found.join(smallest, "h").where(F.col("key") > F.col("least")).select("key", (F.col("p") * 2 + 1).alias("mark"))
+                starts = [window_starts(len(v), a.values.to_numpy(), shape) for v, a in zip(values, ats.slice(lo, hi - lo), strict=True)]
+                for part in kernel(keys[lo:hi], values, starts, raws, shape.width):
+                    held.append(part)
+                    n += len(part[0])
+                if n >= BATCH:
+                    yield _blob_rows(list(_send_windows(held, buckets)))
+                    held, n = [], 0
+        if held:
+            yield _blob_rows(list(_send_windows(held, buckets)))
+
+    sent = docs.join(look, "key").select("key", "text", "at").mapInArrow(send, BLOBS)
+    flagged = decided(sent, _decide_windows, (8, 8, 8), lambda pos: pos * 2 + 1)
     return marks.where("mark % 2 = 0").unionByName(flagged)
 
 

@@ -1,4 +1,17 @@
-"""Suffix-array dedup on bytes (see the end of the module for the operator)."""
+"""Suffix-array dedup: bytes inside 50-byte strings that a smaller document has too are removed.
+
+Candidate regions come from :mod:`depthforge.llm.repeats`: long repeats are decided by their contexts there, what
+surrounds their ends and edits is left.  A task joins such regions of many documents, builds the suffix array
+of the first 64 bytes of each suffix and its Burrows-Wheeler transform, and expands intervals breadth first:
+level l holds an interval for each string of l bytes that occurs twice; a step backwards by each preceding byte
+gives level l + 1; intervals of one suffix are dropped, and the expansion stops at the minimum length.  The
+intervals left are the repeated windows, each a class of equal strings.  All but the smallest document's are
+repeats; one of each class, and the windows without a partner in this task, go on to meet other tasks' by the
+hash of their content.
+
+Texts are UTF-8 bytes, matches never cross documents, windows are judged on the input.  Null and empty texts and
+texts of fewer bytes than a window lose nothing.  Repeated rows of one id don't repeat each other.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthforge.llm.common import table
-from depthforge.llm.repeats import Shape, U, with_repeats
+from depthforge.llm.repeats import Hasher, Shape, U, with_repeats
 
 WIDTH = 50
 SHAPE = Shape(WIDTH, 20)
@@ -21,6 +34,122 @@ def byte_values(raws: list[bytes]) -> list[np.ndarray]:
     return [BYTES[np.frombuffer(r, np.uint8)] for r in raws]
 
 
+#: Bytes of regions in one transform.
+BLOCK = 2_000_000
+DEPTH = 64
+
+
+def suffix_array(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Order of the suffixes of a byte array by their first ``depth`` bytes (a power of 2, 8 at least), by prefix doubling."""
+    n = len(s)
+    padded = np.concatenate((s, np.zeros(8, np.uint8))).astype(U)
+    key = np.zeros(n, U)
+    for i in range(8):
+        key = (key << U(8)) | padded[i : i + n]
+    step = 8
+    while True:
+        order = np.argsort(key, kind="stable")
+        if step >= depth:
+            return order
+        sorted_key = key[order]
+        rank = np.empty(n, U)
+        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1]))).astype(U) + U(1)
+        later = np.zeros(n, U)
+        later[:-step] = rank[step:] if step < n else 0
+        key = rank * U(n + 2) + later
+        step *= 2
+
+
+def repeated_intervals(s: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """[first, past) intervals of ``order`` whose suffixes share their first ``length`` bytes, two suffixes at least; byte 0 matches nothing."""
+    n = len(s)
+    before = s[order - 1]
+    before[order == 0] = 0
+    counts = np.bincount(s, minlength=256)
+    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    # place of each suffix among those with the same byte before it: rank within the byte, up to each position
+    by = np.argsort(before, kind="stable")
+    last = np.empty(n, np.int64)
+    last[by] = np.arange(n) - np.concatenate(([0], np.cumsum(np.bincount(before, minlength=256))[:-1]))[before[by]]
+    step = starts[before] + last  # where a suffix goes when its preceding byte is put in front
+    used = np.flatnonzero(counts[1:] > 1) + 1
+    first, past = starts[used], starts[used] + counts[used]
+    for _ in range(length - 1):
+        size = past - first
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        interval = np.repeat(np.arange(len(first)), size)
+        byte = before[at]
+        go = byte > 0
+        at, interval, byte = at[go], interval[go], byte[go]
+        # a stable sort by preceding byte leaves each (byte, interval) in one run, in the order of the next level
+        deal = np.argsort(byte, kind="stable")
+        at, interval, byte = at[deal], interval[deal], byte[deal]
+        new = np.zeros(len(at) + 1, bool)
+        new[:1] = new[-1:] = True
+        new[1:-1] = (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])
+        cut = np.flatnonzero(new)
+        size = np.diff(cut)
+        keep = size > 1
+        first = step[at[cut[:-1][keep]]]
+        past = first + size[keep]
+        if not len(first):
+            break
+    return first, past
+
+
+def transform_kernel(keys, values, starts, raws, width):
+    """Window classes by interval expansion over blocks of regions; see :mod:`depthforge.llm.repeats` for the arguments."""
+    block, total = [], 0
+    for key, v, s, raw in zip(keys, values, starts, raws, strict=True):
+        if not len(s):
+            continue
+        block.append((key, v, s, np.frombuffer(raw, np.uint8)))
+        total += len(s)
+        if total > BLOCK:
+            yield _expand(block, width)
+            block, total = [], 0
+    if block:
+        yield _expand(block, width)
+
+
+def _expand(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, key, start) of the windows, hashes being equal within each class."""
+    texts, window_at, out_h, out_key, out_start = [], [], [], [], []
+    at = 0
+    for key, v, s, raw in block:
+        h = Hasher(v)(s, s + width)
+        edge = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + width, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        # regions one after another, each closed by a byte 0 (a 0 of a text can't be told from it, so such texts are hashed only)
+        gap = inside & ~np.concatenate((inside[1:], [False]))
+        place = np.cumsum(inside) + np.concatenate(([0], np.cumsum(gap)[:-1])) - 1
+        region = np.zeros(int(inside.sum() + gap.sum()), np.uint8)
+        region[place[inside]] = raw[inside]
+        texts.append(region)
+        window_at.append(place[s] + at)
+        at += len(region)
+        out_h.append(h)
+        out_key.append(np.full(len(s), key, np.int64))
+        out_start.append(s)
+    text, window_at = np.concatenate(texts), np.concatenate(window_at)
+    h, key, start = np.concatenate(out_h), np.concatenate(out_key), np.concatenate(out_start)
+    order = suffix_array(text)
+    first, past = repeated_intervals(text, order, width)
+    # windows of an interval get the hash of its first one
+    window = np.full(len(text), -1)
+    window[window_at] = np.arange(len(window_at))
+    size = past - first
+    members = window[order[np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]]
+    head = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), size)
+    ok = members >= 0
+    lead = members[head] if len(members) else members
+    both = ok & (lead >= 0)
+    h[members[both]] = h[lead[both]]
+    return h, key, start
+
+
 def _digest(raw: bytes, values: np.ndarray, mask: np.ndarray | None):
     if mask is None:
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
@@ -31,7 +160,7 @@ def _digest(raw: bytes, values: np.ndarray, mask: np.ndarray | None):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = SHAPE) -> DataFrame:
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return with_repeats(slim, byte_values, shape, _digest, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("key", key)
+    return with_repeats(slim, byte_values, shape, _digest, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", transform_kernel).withColumnRenamed("key", key)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

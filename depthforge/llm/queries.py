@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from depthforge.llm import decontam, licenses, lines, packing, pii, quality, toxicity
+from depthforge.llm import decontam, jaccard, licenses, lines, packing, pii, quality, substrings, suffix, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_pii": pii.op2,
+    "op3_substring_dedup": substrings.op3,
     "op4_quality_rules": quality.op4,
     "op5_decontamination": decontam.op5,
     "op6_license_scan": licenses.op6,
+    "op7_suffix_dedup": suffix.op7,
     "op8_toxicity": toxicity.op8,
     "op9_line_dedup": lines.op9,
+    "op10_jaccard_join": jaccard.op10,
 }
 
 ORACLES = {

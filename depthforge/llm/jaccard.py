@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from depthforge.llm.common import partitions, stored, table
 from depthforge.llm.components import components
 from depthforge.llm.decontam import LOWER
-from depthforge.llm.repeats import BASE, BATCH, Hasher, U, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
+from depthforge.llm.repeats import BATCH, Hasher, U, dealt, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
 from depthforge.llm.substrings import word_values
 
 SHINGLE = 5
 SHARED = 3
 COUNTERS = 1 << 18
 SLICES = 16
+#: Pairs up to which their documents' keys (two longs each) are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_PAIRS = 1_000_000
 
 
 def shingle_sets(raws: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -105,7 +107,7 @@ GROUPS = (8, 8, 8, 8, 8)  # group, size, set (two columns), key
 def prefix_groups(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
     """(kind, a, b, c, n): kind 0: shingle a is in the prefix of b's group and of another's; kind 1: document a has the set of b, in the group of c, of n shingles."""
     spark = docs.sparkSession
-    buckets = 8 * partitions(spark)
+    buckets = partitions(spark)
     classes = spark.sparkContext.broadcast(np.log2(counts + 1).astype(U))
 
     def flush(held):
@@ -204,8 +206,7 @@ def prefix_groups(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -
         yield from done()
 
     sent = docs.where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
-    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind")
-    return stored(dealt.mapInArrow(decide, "kind int, a bigint, b bigint, c bigint, n bigint"))
+    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, c bigint, n bigint"))
 
 
 def _dealt(cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets: int) -> list[tuple[int, int, bytes]]:
@@ -216,8 +217,29 @@ def _dealt(cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets:
     return [(int(bucket[a]), kind, pack_columns([c[a:b] for c in cols], planes)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets have 4 * shared >= 3 * united."""
+def enough(k: str, a: str, b: str):
+    """Whether k shared prefix shingles of sets of a and b can belong to sets that are alike.
+
+    A shared shingle outside both prefixes lies behind the prefix that ends first, so sets share k and at most what
+    follows one prefix, ceil(3n/4) - SHARED; alike sets share 3/7 of both sizes.
+    """
+    tail = F.greatest(*(F.floor((3 * F.col(n) + 3) / 4) for n in (a, b))) - SHARED
+    return F.col(k) + tail >= F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7)
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (a written table) whose sets in ``slim`` (key, text) have 4 * shared >= 3 * united."""
+    keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:
+        keys = F.broadcast(keys)
+
+    def collect_sets(batches):
+        for batch in batches:
+            for lo, hi, raws in text_slices(batch.column("text")):
+                some = [s.view(np.int64) for s in shingle_sets(raws, shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(some, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    sets = stored(slim.join(keys, "key").select("key", "text").mapInArrow(collect_sets, "key bigint, shingles array<bigint>"))
     left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in ("u", "v"))
     shared = F.size(F.array_intersect("s_u", "s_v"))
     both = pairs.join(left, "u").join(right, "v")
@@ -247,20 +269,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     best = star.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("k"), "pivot"))).where("r <= 2")
     inner = members.where("key <> grp").select(F.col("key").alias("u"), F.col("grp").alias("v"))
     pairs = stored(members.join(best.select("grp", "pivot"), "grp").select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(inner).distinct())
-    # whole sets, once, of all members of groups that may link
-    active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
-    wanted = members.join(active, "grp").select("key").distinct()
-
-    def collect_sets(batches):
-        for batch in batches:
-            for lo, hi, raws in text_slices(batch.column("text")):
-                sets = [s.view(np.int64) for s in shingle_sets(raws, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
-
-    sets = stored(slim.join(wanted, "key").select("key", "text").mapInArrow(collect_sets, "key bigint, shingles array<bigint>"))
-    links = stored(_verified(pairs, sets))
+    links = stored(_verified(pairs, slim, shingle))
     # pairs that may join components
     label = components(links).withColumnRenamed("node", "key")
+    active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
     placed = stored(members.join(active, "grp").join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
     spread = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = tokens.select("tok", "grp", "n").join(spread, "grp")
@@ -268,11 +280,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     open_tokens = held.join(mixed, "tok").select("tok", "grp", "n", "low", "high")
     x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "low", "high"))) for i in (1, 2))
     apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
-    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & similar_sizes("n_1", "n_2") & apart).groupBy("grp_1", "grp_2").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED).select("grp_1", "grp_2")
+    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & similar_sizes("n_1", "n_2") & apart).groupBy("grp_1", "grp_2").agg(F.count(F.lit(1)).alias("k"), F.first("n_1").alias("n_1"), F.first("n_2").alias("n_2")).where((F.col("k") >= SHARED) & enough("k", "n_1", "n_2")).select("grp_1", "grp_2")
     within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
     one, two = (placed.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
     late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct())
-    more = stored(_verified(late, sets))
+    more = stored(_verified(late, slim, shingle))
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
     return own.join(final.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))

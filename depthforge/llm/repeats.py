@@ -231,7 +231,7 @@ Tokens = Callable[[list[bytes]], list[np.ndarray]]
 
 def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
     """(key, mark) of the anchors of ``docs`` (key, text)."""
-    buckets = 8 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
 
     def send(batches):
         held, n = [], 0
@@ -313,6 +313,11 @@ def _mark_rows(parts):
             yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(mark[a : a + 200_000])], names=["key", "mark"])
 
 
+def dealt(sent: DataFrame) -> DataFrame:
+    """``sent`` with each bucket in a partition of its own, kind by kind."""
+    return sent.repartitionById(partitions(sent.sparkSession), F.col("bucket")).sortWithinPartitions("bucket", "kind")
+
+
 def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFrame:
     """(key, mark): deal (bucket, kind, blob) rows out by bucket and decide bucket by bucket; ``known`` turns positions of kind 1 into marks."""
 
@@ -332,8 +337,7 @@ def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFram
         if held:
             yield from _mark_rows(decide(held))
 
-    dealt = sent.repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
-    return stored(dealt.mapInArrow(run, "key bigint, mark bigint"))
+    return stored(dealt(sent).mapInArrow(run, "key bigint, mark bigint"))
 
 
 def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
@@ -347,7 +351,7 @@ def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
 def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kernel = hash_kernel) -> DataFrame:
     """(key, mark): mark 2 * anchor position where all windows through the anchor are repeats, 2 * window start + 1 where that window is."""
     docs = docs.where("key is not null")
-    buckets = 8 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     marks = repeat_marks(docs, tokens, shape)
     look = marks.where("mark % 2 = 1").groupBy("key").agg(F.collect_list((F.col("mark") / 2).cast("bigint")).alias("at"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -29,8 +30,10 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    # lets Spark's cleaner drop the shuffle files of earlier steps, whose frames are no longer held
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files of frames that are no longer held
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -145,7 +145,7 @@ def anchors(values: list[np.ndarray], shape: Shape) -> Iterator[tuple[np.ndarray
 # ---------------------------------------------------------------- columns as bytes
 
 BLOBS = "bucket int, kind int, blob binary"
-PLANES = (6, 8, 2, 2, 8, 8)  # bytes kept of anchor, context, left, right, key, position
+PLANES = (5, 6, 2, 2, 8, 8)  # bytes kept of anchor, context, left, right, key, position
 
 
 def pack_columns(columns: list[np.ndarray], planes=PLANES) -> bytes:

@@ -113,39 +113,48 @@ def transform_kernel(keys, values, starts, raws, width):
 
 
 def _expand(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, key, start) of the windows, hashes being equal within each class."""
-    texts, window_at, out_h, out_key, out_start = [], [], [], [], []
-    at = 0
-    for key, v, s, raw in block:
-        h = Hasher(v)(s, s + width)
-        edge = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + width, -1)
-        inside = np.cumsum(edge[:-1]) > 0
-        # regions one after another, each closed by a byte 0 (a 0 of a text can't be told from it, so such texts are hashed only)
-        gap = inside & ~np.concatenate((inside[1:], [False]))
-        place = np.cumsum(inside) + np.concatenate(([0], np.cumsum(gap)[:-1])) - 1
-        region = np.zeros(int(inside.sum() + gap.sum()), np.uint8)
-        region[place[inside]] = raw[inside]
-        texts.append(region)
-        window_at.append(place[s] + at)
-        at += len(region)
-        out_h.append(h)
-        out_key.append(np.full(len(s), key, np.int64))
-        out_start.append(s)
-    text, window_at = np.concatenate(texts), np.concatenate(window_at)
-    h, key, start = np.concatenate(out_h), np.concatenate(out_key), np.concatenate(out_start)
-    order = suffix_array(text)
-    first, past = repeated_intervals(text, order, width)
-    # windows of an interval get the hash of its first one
+    """(hash, key, start) of the windows; windows of an interval get the hash of its first one.
+
+    Windows whose hash is alone in the block have no partner in it and don't enter the transform.
+    """
+    h = np.concatenate([Hasher(v)(s, s + width) for _, v, s, _ in block])
+    key = np.concatenate([np.full(len(s), k, np.int64) for k, _, s, _ in block])
+    start = np.concatenate([s for _, _, s, _ in block])
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    paired = np.zeros(len(h), bool)
+    paired[order[1:][same]] = paired[order[:-1][same]] = True
+    texts, window_at, which, at, seen = [], [], [], 0, 0
+    for _, _, s, raw in block:
+        own = np.flatnonzero(paired[seen : seen + len(s)])
+        if len(own):
+            few = s[own]
+            edge = np.zeros(len(raw) + 1, np.int32)
+            np.add.at(edge, few, 1)
+            np.add.at(edge, few + width, -1)
+            inside = np.cumsum(edge[:-1]) > 0
+            # regions one after another, each closed by a byte 0; windows across a 0 of a text match by hash only
+            gap = inside & ~np.concatenate((inside[1:], [False]))
+            place = np.cumsum(inside) + np.concatenate(([0], np.cumsum(gap)[:-1])) - 1
+            region = np.zeros(int(inside.sum() + gap.sum()), np.uint8)
+            region[place[inside]] = raw[inside]
+            texts.append(region)
+            window_at.append(place[few] + at)
+            which.append(own + seen)
+            at += len(region)
+        seen += len(s)
+    if not texts:
+        return h, key, start
+    text, window_at, which = np.concatenate(texts), np.concatenate(window_at), np.concatenate(which)
+    suffixes = suffix_array(text)
+    first, past = repeated_intervals(text, suffixes, width)
     window = np.full(len(text), -1)
-    window[window_at] = np.arange(len(window_at))
+    window[window_at] = which
     size = past - first
-    members = window[order[np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]]
-    head = np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), size)
-    ok = members >= 0
-    lead = members[head] if len(members) else members
-    both = ok & (lead >= 0)
+    heads = np.cumsum(size) - size
+    members = window[suffixes[np.repeat(first - heads, size) + np.arange(size.sum())]]
+    lead = members[np.repeat(heads, size)]
+    both = (members >= 0) & (lead >= 0)
     h[members[both]] = h[lead[both]]
     return h, key, start
 

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/depthforge/{uuid.uuid4().hex}"
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in an eighth of the session's shuffle partitions (16 at least): for results that are small against what was shuffled for them, so that they don't become as many small files."""
+    return df.coalesce(max(16, partitions(df.sparkSession) // 8))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -33,7 +38,7 @@ def stored(df: DataFrame) -> DataFrame:
     # lets Spark's cleaner drop the shuffle files of earlier steps, whose frames are no longer held
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
+    fewer(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,17 @@
 """N-gram Jaccard join: groups of documents whose sets of five-word shingles are alike, by a grouped prefix join.
 
-A document's shingles are ordered rarest first (by a sketch of all documents' shingles, 2**18 counters whatever
-the corpus; any order is exact, this one keeps frequent shingles out of prefixes).  Two sets with a Jaccard
-similarity of 3/4 share three shingles among the first n - ceil(3n/4) + 3 of each.
+A document's shingles are ordered rarest first, by the exact number of documents that hold them.  Two sets with a
+Jaccard similarity of 3/4 share three shingles among the first n - ceil(3n/4) + 3 of each; shingles of one document
+alone fill the front of the order and link nothing, so only documents that share most of their text have any to join.
 
 1. Equal sets collapse to their smallest document, and documents of equal size and prefix to one group.
-2. Groups are filtered by shared prefix shingles (three at least) and size.
+2. Groups are filtered by shared prefix shingles (three at least, and as many as the sizes ask for) and size.
 3. Groups are expanded to members and pairs verified on whole sets.  First each member meets at most two
    pivots, the smallest documents it shares most prefix shingles with; then all pairs that may still join
    different components are verified, so no link between components is lost and a group of near copies takes
    a number of comparisons in proportion to its size.
 
-Prefixes travel as compressed columns; copies within a batch don't travel.  Components come from
+Shingles travel as compressed columns; copies within a batch don't travel.  Components come from
 :mod:`depthforge.llm.components`.  Null and empty texts have no shingles and no links; texts of 1 to 4 words have
 one.  Keys are bigint and not null (rows with a null key are left out); rows repeated under one key are one
 document whose sets are all joined.
@@ -26,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import partitions, stored, table
+from depthforge.llm.common import fewer, partitions, stored, table
 from depthforge.llm.components import components
 from depthforge.llm.decontam import LOWER
-from depthforge.llm.repeats import BATCH, Hasher, U, dealt, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
+from depthforge.llm.repeats import BATCH, SPLIT, Hasher, U, dealt, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
 from depthforge.llm.substrings import word_values
 
 SHINGLE = 5
 SHARED = 3
-COUNTERS = 1 << 18
-SLICES = 16
 #: Pairs up to which their documents' keys (two longs each) are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_PAIRS = 1_000_000
 
@@ -58,89 +56,33 @@ def shingle_sets(raws: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def shingle_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """Documents per counter, a shingle's counter being its low bits; over all rows of ``docs`` (key, text)."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, raws in text_slices(batch.column("text")):
-                for s in shingle_sets(raws, shingle):
-                    total += np.bincount((s & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                    if len(s) <= COUNTERS // 8:
-                        np.add.at(total, (s & U(COUNTERS - 1)).astype(np.int64), 1)
-        part = COUNTERS // SLICES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack_columns([total[i * part : (i + 1) * part].view(U)], (8,)) for i in range(SLICES)], pa.binary())], names=["slice", "blob"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
-                sums[i] = sums.get(i, U(0)) + unpack_columns(blob.as_py(), (8,))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack_columns([s], (8,)) for s in sums.values()], pa.binary())], names=["slice", "blob"])
-
-    kind = "slice int, blob binary"
-    # partial sums meet twice, so that no task adds up more than the square root of all tasks' counters
-    once = docs.mapInArrow(count, kind)
-    rows = once.repartition(SLICES, "slice").mapInArrow(add, kind).collect()  # SLICES rows of bounded size
-    out = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        part = COUNTERS // SLICES
-        out[r.slice * part : (r.slice + 1) * part] += unpack_columns(bytes(r.blob), (8,))[0].view(np.int64)
-    return out
-
-
-def prefix_length(n: int) -> int:
-    return min(n, n - -(-3 * n // 4) + SHARED)
+SETS = (8, 8, 8, 8)  # set (two columns), size, key
+TOKENS = (8, 8)  # shingle (40 bits, as differences), key
+TOKEN_BITS = U((1 << 40) - 1)
 
 
-def _prefixes(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The prefix shingles of a set of three or more, rarest first."""
-    rank = (classes[(s & U(COUNTERS - 1)).astype(np.int64)] << U(58)) | (s >> U(6))
-    p = prefix_length(len(s))
-    return np.sort(np.partition(rank, p - 1)[:p])
-
-
-GROUPS = (8, 8, 8, 8, 8)  # group, size, set (two columns), key
-
-
-def prefix_groups(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(kind, a, b, c, n): kind 0: shingle a is in the prefix of b's group and of another's; kind 1: document a has the set of b, in the group of c, of n shingles."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    classes = spark.sparkContext.broadcast(np.log2(counts + 1).astype(U))
+def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(kind, a, b, n) of ``docs`` (key, text): kind 0: shingle a is in the set of b and in n documents, two at least; kind 1: document a has the set of b, of n shingles."""
+    buckets = SPLIT * partitions(docs.sparkSession)
 
     def flush(held):
-        """Rows of a batch's documents (key, set, prefix)."""
-        rows = []
+        """Rows of a batch's documents (key, set)."""
         by_set: dict[bytes, list] = {}
-        for key, s, prefix in held:
-            sid = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            by_set.setdefault(sid, [key, s, prefix, []])
-            one = by_set[sid]
-            one[3].append((key, len(s)))
+        for key, s in held:
+            one = by_set.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), [key, s, []])
             one[0] = min(one[0], key)
-        copies = [(key, one[0], n) for one in by_set.values() for key, n in one[3] if key != one[0]]
+            one[2].append(key)
+        rows = []
+        copies = [(key, one[0], len(one[1])) for one in by_set.values() for key in one[2] if key != one[0]]
         if copies:
             a, b, n = (np.array(x, np.int64).view(U) for x in zip(*copies, strict=True))
             rows.append((int(a[0] % U(buckets)), 2, pack_columns([a, b, n], (8, 8, 8))))
-        groups: dict[int, list] = {}
-        for sid, (key, s, prefix, _) in by_set.items():
-            gid = int.from_bytes(hashlib.blake2b(prefix.tobytes() + len(s).to_bytes(8, "little") + (sid if len(s) < SHARED else b""), digest_size=8).digest(), "little")
-            groups.setdefault(gid, []).append((key, len(s), sid, prefix))
-        cols = [[], [], [], [], []]
-        toks, owners = [], []
-        for gid, members in groups.items():
-            first = min(members, key=lambda m: m[0])
-            if first[1] >= SHARED:
-                toks.append(first[3])
-                owners.append(np.full(len(first[3]), first[0], np.int64))
-            for key, n, sid, _ in members:
-                for c, v in zip(cols, (gid, n, int.from_bytes(sid[:8], "little"), int.from_bytes(sid[8:], "little"), key % 2**64), strict=True):
-                    c.append(v)
-        rows += _dealt([np.array(c, U) for c in cols], 1, GROUPS, buckets)
-        if toks:
-            rows += _dealt([np.concatenate(toks), np.concatenate(owners).view(U)], 0, (8, 8), buckets)
+        owners = np.array([one[0] for one in by_set.values()], np.int64).view(U)
+        sizes = np.array([len(one[1]) for one in by_set.values()])
+        sid = np.frombuffer(b"".join(by_set), U).reshape(-1, 2)
+        rows += _dealt(mix(sid[:, 0]), [sid[:, 0], sid[:, 1], sizes.astype(U), owners], 1, SETS, buckets)
+        tokens = np.concatenate([one[1] for one in by_set.values()])
+        rows += _dealt(mix(tokens), [tokens & TOKEN_BITS, np.repeat(owners, sizes)], 0, TOKENS, buckets)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
     def send(batches):
@@ -150,8 +92,7 @@ def prefix_groups(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -
             for lo, hi, raws in text_slices(batch.column("text")):
                 for key, s in zip(keys[lo:hi], shingle_sets(raws, shingle), strict=True):
                     if len(s):
-                        prefix = _prefixes(s, classes.value) if len(s) >= SHARED else s
-                        held.append((key, s, prefix))
+                        held.append((key, s))
                         n += len(s)
                     if n >= 2 * BATCH:
                         yield flush(held)
@@ -162,59 +103,63 @@ def prefix_groups(docs: DataFrame, counts: np.ndarray, shingle: int = SHINGLE) -
     def out(kind, *cols):
         for a in range(0, len(cols[0]), 200_000):
             part = [c[a : a + 200_000] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c.view(np.int64)) for c in part)], names=["kind", "a", "b", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c.view(np.int64)) for c in part)], names=["kind", "a", "b", "n"])
 
-    def decide_tokens(parts):
+    def decide_tokens(parts, bucket):
         tok, key = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        order = np.lexsort((key.view(np.int64), tok))
+        order = np.lexsort((key, tok))
         tok, key = tok[order], key[order]
-        one = firsts(tok, key)
-        tok, key = tok[one], key[one]
         first = firsts(tok)
-        many = ~(first & np.concatenate((first[1:], [True])))
-        zero = np.zeros(int(many.sum()), U)
-        yield from out(0, tok[many], key[many], zero, zero)
-
-    def decide_groups(parts):
-        gid, n, s1, s2, key = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        order = np.lexsort((key.view(np.int64), s2, s1, gid))
-        gid, n, s1, s2, key = (x[order] for x in (gid, n, s1, s2, key))
-        same = first_of_run(firsts(gid, s1, s2))
-        owner = key[same].view(np.int64)
-        start = first_of_run(firsts(gid))
-        least = np.full(len(gid), np.iinfo(np.int64).max)
-        np.minimum.at(least, start, owner)
-        yield from out(1, key, owner.view(U), least[start].view(U), n)
+        new = firsts(tok, key)
+        documents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(first)) if len(tok) else np.zeros(0, np.int64)
+        number = np.cumsum(first) - 1
+        many = documents[number] > 1
+        yield from out(0, (number + (bucket << 40))[many].astype(U), key[many], documents[number[many]].astype(U))
+
+    def decide_sets(parts, bucket):
+        s1, s2, n, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((key.view(np.int64), s2, s1))
+        s1, s2, n, key = (x[order] for x in (s1, s2, n, key))
+        yield from out(1, key, key[first_of_run(firsts(s1, s2))], n)
 
     def decide(batches):
         held, current = [], None
 
         def done():
             if held:
-                yield from (decide_groups if current[1] else decide_tokens)(held)
+                yield from (decide_sets if current[1] else decide_tokens)(held, current[0])
 
         for batch in batches:
             for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
                 if kind == 2:
-                    a, b, n = unpack_columns(blob, (8, 8, 8))
-                    yield from out(2, a, b, b, n)
+                    yield from out(1, *unpack_columns(blob, (8, 8, 8)))
                     continue
                 if (bucket, kind) != current:
                     yield from done()
                     held, current = [], (bucket, kind)
-                held.append(unpack_columns(blob, GROUPS if kind else (8, 8)))
+                columns = unpack_columns(blob, SETS if kind else TOKENS)
+                if not kind:
+                    columns[0] = np.cumsum(columns[0])
+                held.append(columns)
         yield from done()
 
     sent = docs.where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
-    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, c bigint, n bigint"))
+    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint"))
 
 
-def _dealt(cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets: int) -> list[tuple[int, int, bytes]]:
-    bucket = (mix(cols[0]) % U(buckets)).astype(np.int64)
+def _dealt(by: np.ndarray, cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets: int) -> list[tuple[int, int, bytes]]:
+    """Columns dealt into buckets by a hash and sorted by the first; of shingles (kind 0), differences are kept."""
+    bucket = (by % U(buckets)).astype(np.int64)
     order = np.lexsort((cols[0], bucket))
     bucket, cols = bucket[order], [c[order] for c in cols]
     cuts = np.flatnonzero(np.concatenate((firsts(bucket), [True])))
-    return [(int(bucket[a]), kind, pack_columns([c[a:b] for c in cols], planes)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = [c[a:b] for c in cols]
+        if kind == 0:
+            part[0] = np.diff(part[0], prepend=U(0))
+        rows.append((int(bucket[a]), kind, pack_columns(part, planes)))
+    return rows
 
 
 def enough(k: str, a: str, b: str):
@@ -253,16 +198,24 @@ def similar_sizes(a: str, b: str):
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs`` with a key: the smallest document linked to it by similarities of 3/4 or more."""
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
-    found = prefix_groups(slim, shingle_counts(slim, shingle), shingle)
-    documents = found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("owner"), F.when(F.col("kind") == 1, F.col("c")).alias("grp"), "n")
+    found = shared_shingles(slim, shingle)
+    documents = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("owner"), "n")
     same = documents.where("key <> owner").select(F.col("key").alias("u"), F.col("owner").alias("v"))
-    members = documents.where("key = owner and grp is not null").select("key", "grp", "n").distinct()
-    sizes = members.groupBy("grp").agg(F.min("n").alias("n"))
-    # shingles of local group owners -> of groups; those of one group alone link nothing
-    local = documents.where("grp is not null").select(F.col("key").alias("b"), "grp").distinct()
-    tokens = found.where("kind = 0").select(F.col("a").alias("tok"), "b").join(local, "b").select("tok", "grp").distinct()
+    owners = documents.where("key = owner").select("key", "n").distinct()
+    # prefixes: shingles of one document alone come first, and there are n - held of them
+    held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df")).join(owners, "key")
+    own_order = Window.partitionBy("key").orderBy("df", "tok")
+    placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
+    length = F.least(F.col("n"), F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + SHARED)
+    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok"))
+    alike = prefixes.groupBy("key", "n", "alone").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
+    alike = alike.select("key", "n", F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
+    heads = alike.groupBy("n", "g").agg(F.min("key").alias("grp"))
+    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n"))
+    sizes = members.where("key = grp").select("grp", "n")
+    tokens = prefixes.select(F.col("key").alias("grp"), "tok").join(sizes.select("grp"), "grp")
     shared = tokens.groupBy("tok").agg(F.min("grp").alias("pivot"), F.max("grp").alias("last")).where("pivot < last")
-    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp"))
+    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n").distinct())
     n_pivot = sizes.select(F.col("grp").alias("pivot"), F.col("n").alias("n_pivot"))
     star = tokens.where("grp <> pivot").groupBy("grp", "pivot").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= SHARED)
     star = star.join(n_pivot, "pivot").where(similar_sizes("n", "n_pivot"))
@@ -273,21 +226,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # pairs that may join components
     label = components(links).withColumnRenamed("node", "key")
     active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
-    placed = stored(members.join(active, "grp").join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
-    spread = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    held = tokens.select("tok", "grp", "n").join(spread, "grp")
-    mixed = held.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
-    open_tokens = held.join(mixed, "tok").select("tok", "grp", "n", "low", "high")
+    labelled = stored(members.join(active, "grp").join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
+    spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_to = tokens.select("tok", "grp", "n").join(spread, "grp")
+    mixed = open_to.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
+    open_tokens = open_to.join(mixed, "tok").select("tok", "grp", "n", "low", "high")
     x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "low", "high"))) for i in (1, 2))
     apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
     cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & similar_sizes("n_1", "n_2") & apart).groupBy("grp_1", "grp_2").agg(F.count(F.lit(1)).alias("k"), F.first("n_1").alias("n_1"), F.first("n_2").alias("n_2")).where((F.col("k") >= SHARED) & enough("k", "n_1", "n_2")).select("grp_1", "grp_2")
     within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
-    one, two = (placed.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
+    one, two = (labelled.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
     late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct())
     more = stored(_verified(late, slim, shingle))
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
-    return own.join(final.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    return fewer(own.join(final.withColumnRenamed("node", "key"), "key", "left")).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def _without(slim: DataFrame, documents: DataFrame) -> DataFrame:

@@ -27,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import partitions, stored
+from depthforge.llm.common import fewer, partitions, stored
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Tokens hashed at once; longer documents are cut into overlapping segments.
 SEGMENT = 1 << 18
+#: Buckets a task decides one after another; what it holds at once is one bucket.
+SPLIT = 3
 #: Anchors gathered before they are sent.
-BATCH = 1_000_000
+BATCH = 500_000
 ORDER_BITS = U(20)
 
 _tables: list[np.ndarray] = []
@@ -145,7 +147,8 @@ def anchors(values: list[np.ndarray], shape: Shape) -> Iterator[tuple[np.ndarray
 # ---------------------------------------------------------------- columns as bytes
 
 BLOBS = "bucket int, kind int, blob binary"
-PLANES = (5, 6, 2, 2, 8, 8)  # bytes kept of anchor, context, left, right, key, position
+PLANES = (5, 6, 2, 2, 8, 8)  # bytes kept of anchor (40 bits, as differences), context, left, right, key, position
+LOW40 = U((1 << 40) - 1)
 
 
 def pack_columns(columns: list[np.ndarray], planes=PLANES) -> bytes:
@@ -191,12 +194,14 @@ def _send(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[i
     keep = ~repeat
     x, c, lh, rh, key, pos = (a[keep] for a in (x, c, lh, rh, key, pos))
     bucket = (x % U(buckets)).astype(np.int64)
-    order = np.lexsort((x, bucket))
+    order = np.lexsort((x & LOW40, bucket))
     bucket = bucket[order]
-    cols = [a[order] for a in (x, c, lh, rh, key.view(U), pos.astype(U))]
+    cols = [a[order] for a in (x & LOW40, c, lh, rh, key.view(U), pos.astype(U))]
     cuts = np.flatnonzero(np.concatenate((firsts(bucket), [True]))) if len(bucket) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), 0, pack_columns([col[a:b] for col in cols])
+        part = [col[a:b] for col in cols]
+        part[0] = np.diff(part[0], prepend=U(0))  # small, as sorted
+        yield int(bucket[a]), 0, pack_columns(part)
 
 
 def _decide(parts: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -231,7 +236,7 @@ Tokens = Callable[[list[bytes]], list[np.ndarray]]
 
 def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
     """(key, mark) of the anchors of ``docs`` (key, text)."""
-    buckets = partitions(docs.sparkSession)
+    buckets = SPLIT * partitions(docs.sparkSession)
 
     def send(batches):
         held, n = [], 0
@@ -252,12 +257,27 @@ def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
     return decided(sent, _decide, PLANES, lambda pos: pos * 2)
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` (key, text) with the texts as compressed bytes, for joins that deal them out by key; null text: empty."""
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [z.compress(v.as_py() or b"") for v in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.binary())], names=["key", "text"])
+
+    return docs.select("key", "text").mapInArrow(run, "key bigint, text binary")
+
+
 def text_slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from, to, texts as bytes) slices of an Arrow column of about ``most`` bytes each; null: empty."""
-    column = column.cast(pa.binary())
+    if column.type == pa.binary():  # from squeezed()
+        z = zstandard.ZstdDecompressor()
+        values = (z.decompress(v.as_py()) for v in column)
+    else:
+        values = (v.as_py() or b"" for v in column.cast(pa.binary()))
     lo, total, raws = 0, 0, []
-    for i, v in enumerate(column):
-        raw = v.as_py() or b""
+    for i, raw in enumerate(values):
         raws.append(raw)
         total += len(raw)
         if total >= most:
@@ -287,11 +307,13 @@ def _send_windows(parts, buckets: int) -> Iterator[tuple[int, int, bytes]]:
         yield int(h[repeat][0] % U(buckets)), 1, pack_columns([key[repeat].view(U), at[repeat].astype(U)], (8, 8))
     h, key, at = h[~repeat], key[~repeat], at[~repeat]
     bucket = (h % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket, kind="stable")  # hashes stay sorted
     bucket, cols = bucket[order], [a[order] for a in (h, key.view(U), at.astype(U))]
     cuts = np.flatnonzero(np.concatenate((firsts(bucket), [True]))) if len(bucket) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), 0, pack_columns([c[a:b] for c in cols], (8, 8, 8))
+        part = [c[a:b] for c in cols]
+        part[0] = np.diff(part[0], prepend=U(0))
+        yield int(bucket[a]), 0, pack_columns(part, (8, 8, 8))
 
 
 def _decide_windows(parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -314,8 +336,8 @@ def _mark_rows(parts):
 
 
 def dealt(sent: DataFrame) -> DataFrame:
-    """``sent`` with each bucket in a partition of its own, kind by kind."""
-    return sent.repartitionById(partitions(sent.sparkSession), F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    """``sent`` with SPLIT buckets in each partition, one after another, kind by kind."""
+    return sent.repartitionById(partitions(sent.sparkSession), F.floor(F.col("bucket") / SPLIT).cast("int")).sortWithinPartitions("bucket", "kind")
 
 
 def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFrame:
@@ -333,7 +355,9 @@ def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFram
                     if held:
                         yield from _mark_rows(decide(held))
                     held, current = [], bucket
-                held.append(unpack_columns(blob, planes))
+                columns = unpack_columns(blob, planes)
+                columns[0] = np.cumsum(columns[0])
+                held.append(columns)
         if held:
             yield from _mark_rows(decide(held))
 
@@ -351,7 +375,7 @@ def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
 def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kernel = hash_kernel) -> DataFrame:
     """(key, mark): mark 2 * anchor position where all windows through the anchor are repeats, 2 * window start + 1 where that window is."""
     docs = docs.where("key is not null")
-    buckets = partitions(docs.sparkSession)
+    buckets = SPLIT * partitions(docs.sparkSession)
     marks = repeat_marks(docs, tokens, shape)
     look = marks.where("mark % 2 = 1").groupBy("key").agg(F.collect_list((F.col("mark") / 2).cast("bigint")).alias("at"))
 
@@ -371,7 +395,7 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kern
         if held:
             yield _blob_rows(list(_send_windows(held, buckets)))
 
-    sent = docs.join(look, "key").select("key", "text", "at").mapInArrow(send, BLOBS)
+    sent = squeezed(docs).join(look, "key").select("key", "text", "at").mapInArrow(send, BLOBS)
     flagged = decided(sent, _decide_windows, (8, 8, 8), lambda pos: pos * 2 + 1)
     return marks.where("mark % 2 = 0").unionByName(flagged)
 
@@ -408,4 +432,4 @@ def with_repeats(docs: DataFrame, tokens: Tokens, shape: Shape, finish, schema:
     from pyspark.sql.types import StructType
 
     kind = StructType.fromDDL(f"key bigint, {schema}")
-    return docs.join(marks, "key", "left").select("key", "text", "marks").mapInArrow(run, kind)
+    return fewer(squeezed(docs).join(marks, "key", "left").select("key", "text", "marks").mapInArrow(run, kind))

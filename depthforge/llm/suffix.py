@@ -34,8 +34,8 @@ def byte_values(raws: list[bytes]) -> list[np.ndarray]:
     return [BYTES[np.frombuffer(r, np.uint8)] for r in raws]
 
 
-#: Bytes of regions in one transform.
-BLOCK = 2_000_000
+#: Windows whose regions share a transform.
+BLOCK = 1_000_000
 DEPTH = 64
 
 

@@ -1,0 +1 @@
+"""Spark-native analytics for limit-order-book data."""

@@ -7,9 +7,9 @@ alone fill the front of the order and link nothing, so only documents that share
 1. Equal sets collapse to their smallest document, and documents of equal size and prefix to one group.
 2. Groups are filtered by shared prefix shingles (three at least, and as many as the sizes ask for) and size.
 3. Groups are expanded to members and pairs verified on whole sets.  First each member meets at most two
-   pivots, the smallest documents it shares most prefix shingles with; then all pairs that may still join
-   different components are verified, so no link between components is lost and a group of near copies takes
-   a number of comparisons in proportion to its size.
+   pivots, the smallest documents it shares most prefix shingles with, then a few drawn by hash from other
+   components; last, all pairs that may still join different components are verified.  So no link between
+   components is lost, and the members of a group of near copies, joined by their pivots, aren't paired.
 
 Shingles travel as compressed columns; copies within a batch don't travel.  Components come from
 :mod:`depthforge.llm.components`.  Null and empty texts have no shingles and no links; texts of 1 to 4 words have
@@ -34,6 +34,9 @@ from depthforge.llm.substrings import word_values
 
 SHINGLE = 5
 SHARED = 3
+#: Rounds of drawn pivots, and pivots a group is compared with in each; what they leave is compared in full.
+ROUNDS = 2
+PIVOTS = 4
 #: Pairs up to which their documents' keys (two longs each) are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_PAIRS = 1_000_000
 
@@ -195,6 +198,16 @@ def similar_sizes(a: str, b: str):
     return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
 
 
+def _open(members: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (key, grp, n) with their component, groups with their lowest and highest, and the (tok, grp, n, low, high) of shingles in several components."""
+    label = components(links).withColumnRenamed("node", "key")
+    labelled = stored(members.join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
+    spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    placed = tokens.select("tok", "grp", "n").join(spread, "grp")
+    mixed = placed.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
+    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "low", "high"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs`` with a key: the smallest document linked to it by similarities of 3/4 or more."""
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
@@ -223,14 +236,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     inner = members.where("key <> grp").select(F.col("key").alias("u"), F.col("grp").alias("v"))
     pairs = stored(members.join(best.select("grp", "pivot"), "grp").select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(inner).distinct())
     links = stored(_verified(pairs, slim, shingle))
-    # pairs that may join components
-    label = components(links).withColumnRenamed("node", "key")
     active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
-    labelled = stored(members.join(active, "grp").join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
-    spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_to = tokens.select("tok", "grp", "n").join(spread, "grp")
-    mixed = open_to.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
-    open_tokens = open_to.join(mixed, "tok").select("tok", "grp", "n", "low", "high")
+    members = stored(members.join(active, "grp"))
+    # pivots drawn anew for each shingle join what did not meet a like one, at one comparison per shingle
+    for again in range(ROUNDS):
+        labelled, spread, open_tokens = _open(members, tokens, links)
+        order = F.xxhash64("grp", "tok", F.lit(again))
+        pivots = open_tokens.groupBy("tok").agg(F.min_by(F.struct(*(F.col(c).alias(f"p_{c}") for c in ("grp", "n", "low", "high"))), order).alias("p")).select("tok", "p.*")
+        met = open_tokens.join(pivots, "tok").where((F.col("grp") != F.col("p_grp")) & similar_sizes("n", "p_n") & ((F.col("low") != F.col("p_low")) | (F.col("high") != F.col("p_high"))))
+        met = met.groupBy("grp", "p_grp").agg(F.count(F.lit(1)).alias("k"))
+        near = met.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("k"), F.xxhash64("p_grp", F.lit(again))))).where(F.col("r") <= PIVOTS)
+        drawn = stored(labelled.join(near.select("grp", "p_grp"), "grp").select(F.col("key").alias("u"), F.col("p_grp").alias("v")))
+        links = stored(links.unionByName(_verified(drawn, slim, shingle)))
+    # pairs that may still join components
+    labelled, spread, open_tokens = _open(members, tokens, links)
     x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "low", "high"))) for i in (1, 2))
     apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
     cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & similar_sizes("n_1", "n_2") & apart).groupBy("grp_1", "grp_2").agg(F.count(F.lit(1)).alias("k"), F.first("n_1").alias("n_1"), F.first("n_2").alias("n_2")).where((F.col("k") >= SHARED) & enough("k", "n_1", "n_2")).select("grp_1", "grp_2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -31,13 +32,17 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(16, partitions(df.sparkSession) // 8))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``free``: first let Spark's cleaner drop the shuffle files of earlier steps whose frames are no longer held.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    # lets Spark's cleaner drop the shuffle files of earlier steps, whose frames are no longer held
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 if free else 0):  # the first round releases the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     fewer(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

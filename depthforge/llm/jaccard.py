@@ -220,11 +220,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     own_order = Window.partitionBy("key").orderBy("df", "tok")
     placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
     length = F.least(F.col("n"), F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + SHARED)
-    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok"))
+    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok"), free=True)
     alike = prefixes.groupBy("key", "n", "alone").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
     alike = alike.select("key", "n", F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
     heads = alike.groupBy("n", "g").agg(F.min("key").alias("grp"))
-    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n"))
+    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n"), free=True)
     sizes = members.where("key = grp").select("grp", "n")
     tokens = prefixes.select(F.col("key").alias("grp"), "tok").join(sizes.select("grp"), "grp")
     shared = tokens.groupBy("tok").agg(F.min("grp").alias("pivot"), F.max("grp").alias("last")).where("pivot < last")

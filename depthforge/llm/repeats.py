@@ -361,7 +361,7 @@ def decided(sent: DataFrame, decide, planes: tuple[int, ...], known) -> DataFram
         if held:
             yield from _mark_rows(decide(held))
 
-    return stored(dealt(sent).mapInArrow(run, "key bigint, mark bigint"))
+    return stored(dealt(sent).mapInArrow(run, "key bigint, mark bigint"), free=True)
 
 
 def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
@@ -373,7 +373,7 @@ def window_starts(n: int, at: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kernel = hash_kernel) -> DataFrame:
-    """(key, mark): mark 2 * anchor position where all windows through the anchor are repeats, 2 * window start + 1 where that window is."""
+    """(key, marks): mark 2 * anchor position where all windows through the anchor are repeats, 2 * window start + 1 where that window is."""
     docs = docs.where("key is not null")
     buckets = SPLIT * partitions(docs.sparkSession)
     marks = repeat_marks(docs, tokens, shape)
@@ -397,7 +397,8 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, shape: Shape, kernel: Kern
 
     sent = squeezed(docs).join(look, "key").select("key", "text", "at").mapInArrow(send, BLOBS)
     flagged = decided(sent, _decide_windows, (8, 8, 8), lambda pos: pos * 2 + 1)
-    return marks.where("mark % 2 = 0").unionByName(flagged)
+    # all marks as one small table; the shuffles behind them can go before the texts are dealt out again
+    return stored(marks.where("mark % 2 = 0").unionByName(flagged).groupBy("key").agg(F.collect_list("mark").alias("marks")), free=True)
 
 
 def removed(n: int, marks: np.ndarray, shape: Shape) -> np.ndarray:
@@ -414,7 +415,7 @@ def removed(n: int, marks: np.ndarray, shape: Shape) -> np.ndarray:
 
 def with_repeats(docs: DataFrame, tokens: Tokens, shape: Shape, finish, schema: str, kernel: Kernel = hash_kernel) -> DataFrame:
     """(key, ...) for every row of ``docs`` (key, text): ``finish(raw text, token values, mask or None)`` gives the columns of ``schema``."""
-    marks = repeated_windows(docs, tokens, shape, kernel).groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    marks = repeated_windows(docs, tokens, shape, kernel)
     names = [f.strip().split()[0] for f in schema.split(",")]
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from depthforge.llm.common import table
 
 #: Labelled documents at most of each class in the training sample.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Weights at most in a model.
 FEATURES = 20_000
 #: Likelihood ratio from which a feature labels tokens (about 1 chance finding in 10 million).
@@ -187,15 +187,22 @@ def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.
     base = sum(weights[1] for _, y in rows if y)
     every = base + sum(weights[0] for _, y in rows if not y)
     flat = Model({}, -2.0, np.zeros((2, 2)), np.array([math.log(max(base, 1e-9) / max(every - base, 1e-9)) if every else -50.0, 0, 0, 0]))
-    docs = [tokens(t) for t, _ in rows]
     toxic = [bool(y) for _, y in rows]
-    na, nb = sum(toxic), len(rows) - sum(toxic)
+    shared: dict[bytes, bytes] = {}  # each distinct word once in memory
+    docs = [[shared.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
+    del rows, shared
+    na, nb = sum(toxic), len(docs) - sum(toxic)
     if not na or not nb:
         return flat
     counts = (Counter(), Counter())
     for d, y in zip(docs, toxic, strict=True):
-        counts[not y].update({f for w in set(d) for f in features(w)})
+        if y:
+            counts[0].update({f for w in set(d) for f in features(w)})
     names = sorted(f for f, c in counts[0].items() if c >= 3)
+    known = set(names)
+    for d, y in zip(docs, toxic, strict=True):
+        if not y:
+            counts[1].update({f for w in set(d) for f in features(w)} & known)
     if not names:
         return flat
     g = _g2(np.array([counts[0][f] for f in names], float), np.array([counts[1][f] for f in names], float), na, nb)
@@ -281,8 +288,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Train on ``labels`` of ``docs`` and score every row of ``docs``."""
-    rows, weights = training_rows(docs, labels, sample)
-    return score_documents(docs, train(rows, weights), threshold)
+    return score_documents(docs, train(*training_rows(docs, labels, sample)), threshold)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def distinct(docs: list[list[bytes]]) -> list[int]:
+    """Numbers of the documents that aren't copies or near copies of an earlier one: those that share fewer than two of their four least three-word hashes."""
+    seen: set[int] = set()
+    out = []
+    for i, d in enumerate(docs):
+        least = sorted({zlib.crc32(b" ".join(d[k : k + 3])) for k in range(max(1, len(d) - 2))})[:4]
+        if len(least) < 2 or sum(h in seen for h in least) < 2:
+            out.append(i)
+        seen.update(least)
+    return out
+
+
 def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Fit to (text, toxic) rows; ``weights``: of a clean and of a toxic row, to undo sampling by class."""
     base = sum(weights[1] for _, y in rows if y)
@@ -191,6 +204,8 @@ def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.
     shared: dict[bytes, bytes] = {}  # each distinct word once in memory
     docs = [[shared.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
     del rows, shared
+    own = distinct(docs)  # a text counts once however often it is copied
+    docs, toxic = [docs[i] for i in own], [toxic[i] for i in own]
     na, nb = sum(toxic), len(docs) - sum(toxic)
     if not na or not nb:
         return flat

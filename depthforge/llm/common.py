@@ -28,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """``df`` in an eighth of the session's shuffle partitions (16 at least): for results that are small against what was shuffled for them, so that they don't become as many small files."""
-    return df.coalesce(max(16, partitions(df.sparkSession) // 8))
+    """``df`` in a quarter of the session's shuffle partitions (32 at least): for results that are small against what was shuffled for them, so that they don't become as many small files."""
+    return df.coalesce(max(32, partitions(df.sparkSession) // 4))
 
 
 def stored(df: DataFrame, free: bool = False) -> DataFrame:

@@ -86,8 +86,12 @@ def spread_bps() -> Column:
 
 
 def balance(left: Column, right: Column, log: bool = False, eps: float = 1e-12) -> Column:
-    """Log ratio, or difference over sum, of two sides."""
-    return flog(left + eps) - flog(right + eps) if log else fdiv(left - right, left + right + eps)
+    """Log ratio, or difference over sum, of two sides that aren't negative.
+
+    Their sums with eps are positive, so logarithm and division need no special cases; expressions stay small
+    enough to be compiled.
+    """
+    return F.log(left + eps) - F.log(right + eps) if log else F.try_divide(left - right, left + right + eps)
 
 
 # ---------------------------------------------------------------- static features
@@ -116,7 +120,7 @@ def average_price(side: str, depth: int, total_size: float) -> Column:
         there = F.when(valid(px(side, i), sz(side, i)), sz(side, i)).otherwise(0.0)
         take = F.least(there, F.greatest(F.lit(size) - before, F.lit(0.0)))
         before, qty, cost = before + there, qty + take, cost + take * F.when(there > 0, num(px(side, i))).otherwise(0.0)
-    return F.when(qty > 0, cost / F.when(qty > 0, qty).otherwise(1.0))
+    return F.try_divide(cost, qty)  # null where nothing is taken
 
 
 def size_weighted_price_gap(depth: int, total_size: float, log: bool = False, eps: float = 1e-12) -> Column:
@@ -126,7 +130,7 @@ def size_weighted_price_gap(depth: int, total_size: float, log: bool = False, ep
 def size_weighted_price(depth: int, total_size: float) -> Column:
     """Mean of both sides' average prices against the mid, in log basis points."""
     both = average_price("bid", depth, total_size) + average_price("ask", depth, total_size)
-    return flog(fdiv(both, num(px("bid", 0)) + num(px("ask", 0)))) * 1e4
+    return F.log(F.try_divide(both, num(px("bid", 0)) + num(px("ask", 0)))) * 1e4
 
 
 # ---------------------------------------------------------------- flows
@@ -193,5 +197,5 @@ def combine_flows(buy: Column, sell: Column, combine: str = "diff", log: bool =
     if combine == "diff":
         return balance(1.0 + buy, 1.0 + sell, log, eps)
     if combine == "sum":
-        return flog((1.0 + buy) * (1.0 + sell) + eps) if log else buy + sell
+        return F.log((1.0 + buy) * (1.0 + sell) + eps) if log else buy + sell
     raise ValueError("momentum combine is diff or sum")

@@ -250,9 +250,9 @@ def _(s, d):
     return quotes(s, d).select("row_nr", forward_fill(F.col("trade_side")).alias("value"))
 
 
-def _node(name, node, ctes, value, lagged=True):
-    sql = with_quotes((f", {LAGGED}" if lagged else "") + "".join(f", {c}" for c in ctes) + f" SELECT q.row_nr, round({value}, 6) AS value FROM {'lagged' if lagged else 'quotes'} q " + " ".join(f"LEFT JOIN {n} ON {n}.row_nr = q.row_nr" for n in _joined(value)))
-    query(name, sql)(lambda s, d: P.add_features(quotes(s, d), [node("value")]).select("row_nr", F.round("value", 6).alias("value")))
+def _node(name, node, ctes, value, lagged=True, digits=6):
+    sql = with_quotes((f", {LAGGED}" if lagged else "") + "".join(f", {c}" for c in ctes) + f" SELECT q.row_nr, round({value}, {digits}) AS value FROM {'lagged' if lagged else 'quotes'} q " + " ".join(f"LEFT JOIN {n} ON {n}.row_nr = q.row_nr" for n in _joined(value)))
+    query(name, sql)(lambda s, d: P.add_features(quotes(s, d), [node("value")]).select("row_nr", F.round("value", digits).alias("value")))
 
 
 def _joined(value: str) -> list[str]:
@@ -297,7 +297,7 @@ def _correlation(mode):
         ctes.append(mean_sql("c_w", "pairs", "v * v", HOUR))
         s2 = "c_w.s"
     value = f"CASE WHEN c_m.s > 1e-12 THEN least(greatest((c_q.s - c_v.s * c_v.s) / ({s2} - c_v.s * c_v.s + 1e-12), -1), 1) END"
-    _node(f"trade_corr_{mode}", lambda n: P.trade_correlation(n, "1h", mode), ctes, value, False)
+    _node(f"trade_corr_{mode}", lambda n: P.trade_correlation(n, "1h", mode), ctes, value, False, 3)
 
 
 _correlation("side")
@@ -430,15 +430,16 @@ def _(s, d):
 
 # ---------------------------------------------------------------- scores
 
-PRED_SQL = f"pred AS (SELECT row_nr, instrument_id, ts_ns, ((row_nr * 7919) % 2001 - 1000) / 100.0::DOUBLE AS y, ((row_nr * 104729) % 2003 - 1000) / 50.0::DOUBLE AS p, ((row_nr * 31) % 7)::DOUBLE AS w, ((row_nr * 13) % 101 - 60) / 10.0::DOUBLE AS q0, ((row_nr * 17) % 101 - 40) / 10.0::DOUBLE AS q1 FROM quotes)"
+PRED_SQL = f"pred AS (SELECT row_nr, instrument_id, ts_ns, ((row_nr * 7919) % 2001 - 1000) / 4.0::DOUBLE AS y, ((row_nr * 104729) % 2003 - 1000) / 8.0::DOUBLE AS p, ((row_nr * 31) % 7)::DOUBLE AS w, ((row_nr * 13) % 101 - 60) / 8.0::DOUBLE AS q0, ((row_nr * 17) % 101 - 40) / 8.0::DOUBLE AS q1 FROM quotes)"
 
 
 def predictions(s, d) -> DataFrame:
+    """Targets, predictions, weights and quantiles in exact binary fractions, so that sums don't depend on their order."""
     q = quotes(s, d)
     n = F.col("row_nr")
     return q.select(
-        "row_nr", *KEYS, "ts_ns", (((n * 7919) % 2001 - 1000) / 100.0).alias("y"), (((n * 104729) % 2003 - 1000) / 50.0).alias("p"), ((n * 31) % 7).cast("double").alias("w"),
-        (((n * 13) % 101 - 60) / 10.0).alias("q0"), (((n * 17) % 101 - 40) / 10.0).alias("q1"),
+        "row_nr", *KEYS, "ts_ns", (((n * 7919) % 2001 - 1000) / 4.0).alias("y"), (((n * 104729) % 2003 - 1000) / 8.0).alias("p"), ((n * 31) % 7).cast("double").alias("w"),
+        (((n * 13) % 101 - 60) / 8.0).alias("q0"), (((n * 17) % 101 - 40) / 8.0).alias("q1"),
     )
 
 

@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/depthforge/{uuid.uuid4().hex}"
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand texts to Python in batches of 1,000 rows at most: whole documents are long."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return df
+
+
 def fewer(df: DataFrame) -> DataFrame:
     """``df`` in a quarter of the session's shuffle partitions (32 at least): for results that are small against what was shuffled for them, so that they don't become as many small files."""
     return df.coalesce(max(32, partitions(df.sparkSession) // 4))

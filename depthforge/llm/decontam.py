@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depthforge.llm.common import table, text_batches
+
 WINDOW = 13
 #: Words of benchmark text per broadcast block (some 100 MB of Python objects).
 BLOCK_WORDS = 2_000_000
@@ -135,7 +137,7 @@ def _scan(df: DataFrame, sets, keys: list[str]) -> DataFrame:
                 names=[*keys, "n_words", "hits", "items"],
             )
 
-    return wanted.mapInArrow(run, f"{schema}, {SPAN_SCHEMA}")
+    return text_batches(wanted).mapInArrow(run, f"{schema}, {SPAN_SCHEMA}")
 
 
 def _merge(hits: list[int]) -> list[int]:
@@ -206,7 +208,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    from depthforge.llm.common import table
-
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decide(found).drop("items")

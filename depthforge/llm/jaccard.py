@@ -7,9 +7,9 @@ alone fill the front of the order and link nothing, so only documents that share
 1. Equal sets collapse to their smallest document, and documents of equal size and prefix to one group.
 2. Groups are filtered by shared prefix shingles (three at least, and as many as the sizes ask for) and size.
 3. Groups are expanded to members and pairs verified on whole sets.  First each member meets at most two
-   pivots, the smallest documents it shares most prefix shingles with, then a few drawn by hash from other
-   components; last, all pairs that may still join different components are verified.  So no link between
-   components is lost, and the members of a group of near copies, joined by their pivots, aren't paired.
+   pivots, the smallest documents it shares most prefix shingles with; then all pairs that may still join
+   different components are verified.  So no link between components is lost, and the members of a group of near
+   copies, joined by their pivots, aren't paired.
 
 Shingles travel as compressed columns; copies within a batch don't travel.  Components come from
 :mod:`depthforge.llm.components`.  Null and empty texts have no shingles and no links; texts of 1 to 4 words have
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import fewer, partitions, stored, table
+from depthforge.llm.common import SPACES, fewer, partitions, stored, table, text_batches
 from depthforge.llm.components import components
 from depthforge.llm.decontam import LOWER
 from depthforge.llm.repeats import BATCH, SPLIT, Hasher, U, dealt, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
@@ -34,9 +34,6 @@ from depthforge.llm.substrings import word_values
 
 SHINGLE = 5
 SHARED = 3
-#: Rounds of drawn pivots, and pivots a group is compared with in each; what they leave is compared in full.
-ROUNDS = 2
-PIVOTS = 4
 #: Pairs up to which their documents' keys (two longs each) are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_PAIRS = 1_000_000
 
@@ -146,7 +143,7 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 held.append(columns)
         yield from done()
 
-    sent = docs.where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
+    sent = text_batches(docs).where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
     return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint"))
 
 
@@ -165,14 +162,27 @@ def _dealt(by: np.ndarray, cols: list[np.ndarray], kind: int, planes: tuple[int,
     return rows
 
 
-def enough(k: str, a: str, b: str):
-    """Whether k shared prefix shingles of sets of a and b can belong to sets that are alike.
+def _least(n) -> F.Column:
+    """Shingles that sets alike to one of n share with it at least."""
+    return F.floor((3 * F.col(n) + 3) / 4)
 
-    A shared shingle outside both prefixes lies behind the prefix that ends first, so sets share k and at most what
-    follows one prefix, ceil(3n/4) - SHARED; alike sets share 3/7 of both sizes.
+
+def in_core(a: str, b: str, pos_a: str, pos_b: str):
+    """Whether a shared shingle stands early enough in both orders to be the first that alike sets of a and b share.
+
+    A shared shingle outside both prefixes lies behind the prefix that ends first, so alike sets, which share 3/7 of
+    both sizes, share all of that but ceil(3n/4) - SHARED within both prefixes; the first of k shared ones has k - 1
+    behind it in each prefix.
     """
-    tail = F.greatest(*(F.floor((3 * F.col(n) + 3) / 4) for n in (a, b))) - SHARED
-    return F.col(k) + tail >= F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7)
+    k = F.greatest(F.lit(SHARED), F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7) - F.greatest(_least(a), _least(b)) + SHARED)
+    last = lambda n: F.least(F.col(n), F.col(n) - _least(n) + SHARED) - k + 1
+    return (F.col(pos_a) <= last(a)) & (F.col(pos_b) <= last(b))
+
+
+def may_be_alike(a: str, b: str, held_a: str, held_b: str):
+    """Whether sets of sizes a and b, of which held_a and held_b shingles are in other documents too, can be alike: they share 3/7 of both sizes."""
+    least = F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7)
+    return similar_sizes(a, b) & (F.col(held_a) >= least) & (F.col(held_b) >= least)
 
 
 def _verified(pairs: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
@@ -199,13 +209,13 @@ def similar_sizes(a: str, b: str):
 
 
 def _open(members: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (key, grp, n) with their component, groups with their lowest and highest, and the (tok, grp, n, low, high) of shingles in several components."""
+    """Members (key, grp, n) with their component, groups with their lowest and highest, and the (tok, grp, n, held, low, high) of shingles in several components."""
     label = components(links).withColumnRenamed("node", "key")
     labelled = stored(members.join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
     spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    placed = tokens.select("tok", "grp", "n").join(spread, "grp")
+    placed = tokens.select("tok", "grp", "n", "held", "pos").join(spread, "grp")
     mixed = placed.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
-    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "low", "high"))
+    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "held", "pos", "low", "high"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -219,40 +229,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df")).join(owners, "key")
     own_order = Window.partitionBy("key").orderBy("df", "tok")
     placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
-    length = F.least(F.col("n"), F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + SHARED)
-    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok"), free=True)
+    length = F.least(F.col("n"), F.col("n") - _least("n") + SHARED)
+    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok", (F.col("alone") + F.col("r")).alias("pos")), free=True)
     alike = prefixes.groupBy("key", "n", "alone").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
-    alike = alike.select("key", "n", F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
+    alike = alike.select("key", "n", (F.col("n") - F.col("alone")).alias("held"), F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
     heads = alike.groupBy("n", "g").agg(F.min("key").alias("grp"))
-    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n"), free=True)
-    sizes = members.where("key = grp").select("grp", "n")
-    tokens = prefixes.select(F.col("key").alias("grp"), "tok").join(sizes.select("grp"), "grp")
+    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n", "held"), free=True)
+    sizes = members.groupBy("grp").agg(F.first("n").alias("n"), F.max("held").alias("held"))
+    tokens = prefixes.select(F.col("key").alias("grp"), "tok", "pos").join(sizes.select("grp"), "grp")
     shared = tokens.groupBy("tok").agg(F.min("grp").alias("pivot"), F.max("grp").alias("last")).where("pivot < last")
-    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n").distinct())
-    n_pivot = sizes.select(F.col("grp").alias("pivot"), F.col("n").alias("n_pivot"))
-    star = tokens.where("grp <> pivot").groupBy("grp", "pivot").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= SHARED)
-    star = star.join(n_pivot, "pivot").where(similar_sizes("n", "n_pivot"))
+    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n", "held", "pos").distinct())
+    n_pivot = sizes.select(F.col("grp").alias("pivot"), F.col("n").alias("n_pivot"), F.col("held").alias("held_pivot"))
+    star = tokens.where("grp <> pivot").groupBy("grp", "pivot").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("held").alias("held")).where(F.col("k") >= SHARED)
+    star = star.join(n_pivot, "pivot").where(may_be_alike("n", "n_pivot", "held", "held_pivot"))
     best = star.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("k"), "pivot"))).where("r <= 2")
     inner = members.where("key <> grp").select(F.col("key").alias("u"), F.col("grp").alias("v"))
     pairs = stored(members.join(best.select("grp", "pivot"), "grp").select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(inner).distinct())
     links = stored(_verified(pairs, slim, shingle))
     active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
     members = stored(members.join(active, "grp"))
-    # pivots drawn anew for each shingle join what did not meet a like one, at one comparison per shingle
-    for again in range(ROUNDS):
-        labelled, spread, open_tokens = _open(members, tokens, links)
-        order = F.xxhash64("grp", "tok", F.lit(again))
-        pivots = open_tokens.groupBy("tok").agg(F.min_by(F.struct(*(F.col(c).alias(f"p_{c}") for c in ("grp", "n", "low", "high"))), order).alias("p")).select("tok", "p.*")
-        met = open_tokens.join(pivots, "tok").where((F.col("grp") != F.col("p_grp")) & similar_sizes("n", "p_n") & ((F.col("low") != F.col("p_low")) | (F.col("high") != F.col("p_high"))))
-        met = met.groupBy("grp", "p_grp").agg(F.count(F.lit(1)).alias("k"))
-        near = met.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("k"), F.xxhash64("p_grp", F.lit(again))))).where(F.col("r") <= PIVOTS)
-        drawn = stored(labelled.join(near.select("grp", "p_grp"), "grp").select(F.col("key").alias("u"), F.col("p_grp").alias("v")))
-        links = stored(links.unionByName(_verified(drawn, slim, shingle)))
     # pairs that may still join components
     labelled, spread, open_tokens = _open(members, tokens, links)
-    x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "low", "high"))) for i in (1, 2))
+    x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "held", "pos", "low", "high"))) for i in (1, 2))
     apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
-    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & similar_sizes("n_1", "n_2") & apart).groupBy("grp_1", "grp_2").agg(F.count(F.lit(1)).alias("k"), F.first("n_1").alias("n_1"), F.first("n_2").alias("n_2")).where((F.col("k") >= SHARED) & enough("k", "n_1", "n_2")).select("grp_1", "grp_2")
+    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & may_be_alike("n_1", "n_2", "held_1", "held_2") & apart & in_core("n_1", "n_2", "pos_1", "pos_2")).select("grp_1", "grp_2").distinct()
     within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
     one, two = (labelled.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
     late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct())
@@ -264,8 +264,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def _without(slim: DataFrame, documents: DataFrame) -> DataFrame:
     """(key, 0) of the rows without shingles."""
-    from depthforge.llm.common import SPACES
-
     return slim.where(~F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")).select("key", F.lit(0).cast("bigint").alias("n"))
 
 

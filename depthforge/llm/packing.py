@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import fewer, stored, table
+from depthforge.llm.common import fewer, stored, table, text_batches
 
 SIZE = 2048
 END = 0
@@ -110,7 +110,7 @@ def tokenised(docs: DataFrame, size: int = SIZE, tokenizer: tuple[str, str | Non
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return wanted.mapInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return text_batches(wanted).mapInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 # ---------------------------------------------------------------- solver

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import fewer, partitions, stored
+from depthforge.llm.common import fewer, partitions, stored, text_batches
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -253,7 +253,7 @@ def repeat_marks(docs: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
         if held:
             yield _blob_rows(list(_send(held, buckets)))
 
-    sent = docs.where("key is not null").mapInArrow(send, BLOBS)
+    sent = text_batches(docs).where("key is not null").mapInArrow(send, BLOBS)
     return decided(sent, _decide, PLANES, lambda pos: pos * 2)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import table
+from depthforge.llm.common import table, text_batches
 
 #: Labelled documents at most of each class in the training sample.
 SAMPLE = 2000
@@ -298,7 +298,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                 names=["key", "score", "predicted", "toxic_spans"],
             )
 
-    return wanted.mapInArrow(run, f"key {kind}, score double, predicted int, toxic_spans string").withColumnRenamed("key", key)
+    return text_batches(wanted).mapInArrow(run, f"key {kind}, score double, predicted int, toxic_spans string").withColumnRenamed("key", key)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

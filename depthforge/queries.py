@@ -205,7 +205,7 @@ def _(s, d):
 
 
 def _feature(name: str, column, sql: str, lagged: bool = False):
-    source = f", {LAGGED} SELECT row_nr, round({sql}, 6) AS value FROM lagged" if lagged else f"SELECT row_nr, round({sql}, 6) AS value FROM quotes"
+    source = f", {LAGGED} SELECT row_nr, round(CAST({sql} AS DOUBLE), 6) AS value FROM lagged" if lagged else f"SELECT row_nr, round(CAST({sql} AS DOUBLE), 6) AS value FROM quotes"
     query(name, with_quotes(source))(lambda s, d: quotes(s, d).select("row_nr", r6(column(by_row()), "value")))
 
 
@@ -251,7 +251,7 @@ def _(s, d):
 
 
 def _node(name, node, ctes, value, lagged=True, digits=6):
-    sql = with_quotes((f", {LAGGED}" if lagged else "") + "".join(f", {c}" for c in ctes) + f" SELECT q.row_nr, round({value}, {digits}) AS value FROM {'lagged' if lagged else 'quotes'} q " + " ".join(f"LEFT JOIN {n} ON {n}.row_nr = q.row_nr" for n in _joined(value)))
+    sql = with_quotes((f", {LAGGED}" if lagged else "") + "".join(f", {c}" for c in ctes) + f" SELECT q.row_nr, round(CAST({value} AS DOUBLE), {digits}) AS value FROM {'lagged' if lagged else 'quotes'} q " + " ".join(f"LEFT JOIN {n} ON {n}.row_nr = q.row_nr" for n in _joined(value)))
     query(name, sql)(lambda s, d: P.add_features(quotes(s, d), [node("value")]).select("row_nr", F.round("value", digits).alias("value")))
 
 

@@ -77,7 +77,7 @@ def scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | Non
     Filters are alternatives.  Columns and filters reach the reader; days are pruned by the paths given.
     """
     df = with_row_nr(spark.read.parquet(*paths))
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*_full_day\.parquet)", 1)  # a file, or a folder of parts
     date = F.regexp_extract(name, r"_(\d{8}|\d{4}-\d{2}-\d{2})_", 1)
     tag = F.regexp_extract(name, r"_(?:\d{8}|\d{4}-\d{2}-\d{2})_(.+?)_[^_]+_full_day", 1)
     df = df.withColumn("date", F.regexp_replace(date, "-", "")).withColumn("tag", tag).withColumn("nature", nature(tag))

@@ -92,8 +92,8 @@ class State:
         return out
 
 
-def decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns") -> DataFrame:
-    """``df`` with a column for each decay, along ``order`` within ``keys``.
+def decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns", placed: bool = False) -> DataFrame:
+    """``df`` with a column for each decay, along ``order`` within ``keys``; ``placed``: its rows are dealt out by them already.
 
     One key's rows pass through one task in order (state is sequential), in Arrow batches, not as a group in memory.
     """
@@ -132,5 +132,5 @@ def decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str] = KEYS,
                     o[a:b], v[a:b] = s.run(x[a:b], null[a:b], t[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, mask=v) for o, v in zip(outs, voids, strict=True))], names=schema.names)
 
-    placed = df.repartition(*keys) if keys else df.repartition(1)
-    return placed.sortWithinPartitions(*keys, order).mapInArrow(fold, schema)
+    dealt = df if placed else df.repartition(*keys) if keys else df.repartition(1)
+    return dealt.sortWithinPartitions(*keys, order).mapInArrow(fold, schema)

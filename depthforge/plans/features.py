@@ -1,7 +1,7 @@
 """Stateful features as trees of nodes, compiled to few passes over the data.
 
 A node has a name, an expression over the columns and over its children's names, and the children.  Children come
-first; all decayed sums whose inputs are ready run in one fold, and equal ones (input, half-life, kind) once.
+first; all decayed sums that can be ready together run in one fold, and equal ones (input, half-life, kind) once.
 """
 
 from __future__ import annotations
@@ -74,10 +74,6 @@ def check(features: Sequence[Node]) -> None:
         raise ValueError(f"names used twice: {sorted({n for n in own if own.count(n) > 1})}")
 
 
-def _depth(node: Node) -> int:
-    return 1 + max((_depth(c) for c in node.children), default=-1)
-
-
 def add_features(df: DataFrame, features: Sequence[Node | CustomFeature], keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns") -> DataFrame:
     """``df`` with a column for each feature, states running along ``order`` within ``keys``."""
     nodes = [f for f in features if isinstance(f, Node)]
@@ -91,28 +87,31 @@ def add_features(df: DataFrame, features: Sequence[Node | CustomFeature], keys:
 
     for f in nodes:
         visit(f)
-    levels: dict[int, list[Node]] = {}
-    for n in every.values():
-        levels.setdefault(_depth(n), []).append(n)
-    w, out, alias = by_row(keys, order), df.repartition(*keys) if keys else df, {}
-    for level in sorted(levels):
-        sums = [n for n in levels[level] if isinstance(n, Ewma)]
-        plain = [n for n in levels[level] if not isinstance(n, Ewma)]
+    w, alias, done = by_row(keys, order), {}, set()
+    out = df.repartition(*keys) if keys else df.repartition(1)  # the one shuffle, unless windows follow a fold
+    left = list(every.values())
+    while left:
+        ready = [n for n in left if all(c.name in done for c in n.children)]
+        # expressions first, so that a fold takes all the sums there are
+        plain = [n for n in ready if not isinstance(n, Ewma)]
+        sums = [] if plain else ready
         if plain:
             out = out.withColumns({n.name: carry_forward(X.num(n.expr(w)), keys, order) if isinstance(n, CarryForward) else n.expr(w) for n in plain})
         if sums:
-            inputs, decays = {}, []
+            inputs, decays, copies = {}, [], {}
             for n in sums:
                 value = f"__in_{n.tag or n.name}"
                 inputs.setdefault(value, X.num(n.expr(w)))
                 key = (value, half_life_ns(n.half_life), n.normalized)
                 if key in alias:
-                    continue
-                alias[key] = n.name
-                decays.append(Decay(n.name, value, key[1], n.normalized))
-            out = decayed(out.withColumns(inputs), decays, keys, order, time).drop(*inputs)
-            copies = {n.name: F.col(alias[f"__in_{n.tag or n.name}", half_life_ns(n.half_life), n.normalized]) for n in sums}
-            out = out.withColumns({k: c for k, c in copies.items() if k not in {d.name for d in decays}})
+                    copies[n.name] = alias[key]
+                else:
+                    alias[key] = n.name
+                    decays.append(Decay(n.name, value, key[1], n.normalized))
+            out = decayed(out.withColumns(inputs), decays, keys, order, time, placed=True).drop(*inputs)
+            out = out.withColumns({k: F.col(c) for k, c in copies.items()}) if copies else out
+        done |= {n.name for n in plain + sums}
+        left = [n for n in left if n.name not in done]
     wanted = {f.name for f in nodes}
     out = out.drop(*(n for n in every if n not in wanted))
     for f in features:

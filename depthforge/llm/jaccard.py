@@ -94,7 +94,7 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     if len(s):
                         held.append((key, s))
                         n += len(s)
-                    if n >= 2 * BATCH:
+                    if n >= BATCH:
                         yield flush(held)
                         held, n = [], 0
         if held:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,18 @@ from depthforge.operators.ordering import KEYS, ORDER
 from depthforge.operators.scores import Score, evaluate
 
 
+def _ranges(values: DataFrame, column: str) -> Column:
+    """The number of the range a value is in, ranges being cut at approximate quantiles that the driver fetches.
+
+    The bounds are literals, so a plan that reads the ranges twice gets the same ones; null comes first, NaN last.
+    """
+    parts = max(2, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = [i / parts for i in range(1, parts)]
+    bounds = values.agg(F.percentile_approx(column, steps, 1000).alias("b")).first().b or []
+    cuts = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(column))))
+
+
 def ranked(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """``df`` with the average rank of ``column`` from 1, without sorting all rows in one task.
 
@@ -20,8 +32,7 @@ def ranked(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     the rows of the ranges before it.
     """
     counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
+    placed = counts.withColumn("_p", _ranges(counts, "_v"))
     totals = placed.groupBy("_p").agg(F.sum("_n").alias("_t"))
     before = totals.select("_p", (F.sum("_t").over(W.orderBy("_p")) - F.col("_t")).alias("_before"))  # a row per range
     inside = F.sum("_n").over(W.partitionBy("_p").orderBy("_v"))
@@ -30,12 +41,26 @@ def ranked(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
 
 
 def decile_report(df: DataFrame, prediction: str, target: str, bins: int = 10) -> DataFrame:
-    """Per bin of the average rank of predictions: rows, means of prediction, target and signed target."""
-    n = df.select(F.count(F.lit(1)).alias("_rows"))
-    r = ranked(df, prediction, "_rank").crossJoin(F.broadcast(n))  # one row
-    decile = F.least(F.greatest(F.floor((F.col("_rank") - 1) * bins / F.col("_rows")), F.lit(0)), F.lit(bins - 1)).cast("int")
+    """Per bin of the average rank of predictions: rows, means of prediction, target and signed target.
+
+    Rows are summed per distinct prediction first; ranks and bins are those of the sums, so rows are never joined.
+    """
     p, y = num(F.col(prediction)), num(F.col(target))
-    return r.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_prediction"), F.avg(y).alias("mean_return"), F.avg(F.signum(p) * y).alias("mean_signed_return"))
+    each = df.groupBy(p.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count(y).alias("_ny"), F.sum(y).alias("_y"))
+    placed = each.withColumn("_p", _ranges(each, "_v"))
+    totals = placed.groupBy("_p").agg(F.sum("_n").alias("_t"))
+    every = W.orderBy("_p")
+    before = totals.select("_p", (F.sum("_t").over(every) - F.col("_t")).alias("_before"), F.sum("_t").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_rows"))
+    upto = F.sum("_n").over(W.partitionBy("_p").orderBy("_v"))
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0
+    decile = F.least(F.greatest(F.floor((rank - 1) * bins / F.col("_rows")), F.lit(0)), F.lit(bins - 1)).cast("int")
+    ranked_sums = placed.withColumn("_upto", upto).join(F.broadcast(before), "_p")  # a row per range
+    mean = lambda total, n: F.try_divide(F.sum(total), F.sum(n))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    return ranked_sums.groupBy(decile.alias("decile")).agg(
+        F.sum("_n").alias("n"), mean(F.col("_v") * F.col("_n"), known).alias("mean_prediction"), mean("_y", "_ny").alias("mean_return"),
+        mean(F.signum("_v") * F.col("_y"), F.when(F.col("_v").isNotNull(), F.col("_ny")).otherwise(0)).alias("mean_signed_return"),
+    )
 
 
 def interval_coverage(df: DataFrame, target: str, low: str, high: str) -> DataFrame:

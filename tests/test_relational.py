@@ -208,3 +208,22 @@ def test_registry(tmp_path):
     t.log(1, score=2.0)
     t.close()
     assert json.loads((tmp_path / "t.jsonl").read_text())["score"] == 2.0
+
+
+def test_deciles_against_a_loop(spark):
+    rng = np.random.default_rng(2)
+    p = [float(v) for v in rng.integers(-20, 20, 300)] + [math.nan, math.nan]
+    rows = [(i, v, None if i % 17 == 0 else float(i % 7 - 3)) for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "row_nr bigint, p double, y double").repartition(5)
+    key = lambda v: (math.isnan(v), 0 if math.isnan(v) else v)
+    rank = {key(v): np.mean([i + 1 for i, u in enumerate(sorted(map(key, p))) if u == key(v)]) for v in p}
+    assert {(key(r.p), r["rank"]) for r in reports.ranked(df, "p").collect()} == set(rank.items())
+    want = {}
+    for _, v, y in rows:
+        b = want.setdefault(min(max(int((rank[key(v)] - 1) * 10 // len(p)), 0), 9), [0, []])
+        b[0] += 1
+        b[1] += [] if y is None else [y]
+    got = {r.decile: r for r in reports.decile_report(df, "p", "y").collect()}
+    assert {k: r.n for k, r in got.items()} == {k: b[0] for k, b in want.items()}
+    assert all(math.isclose(got[k].mean_return, np.mean(b[1]), abs_tol=1e-9) for k, b in want.items())
+    assert reports.decile_report(df.limit(0), "p", "y").count() == 0

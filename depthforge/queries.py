@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from depthforge.functions import exprs as X
 from depthforge.operators import asof, book, filters, linear, quality, relational, reports, sampling, scores, transforms
+from depthforge.operators.kernels import Decay
 from depthforge.operators.ordering import KEYS, by_row, carry_forward, forward_fill
 from depthforge.plans import features as P
 from depthforge.plans import search
-from depthforge.sources.views import MBO_SQL, QUOTES_SQL, mbo, quotes
+from depthforge.sources.views import MBO_SQL, QUOTES_SQL, event_stream, mbo, mbo_of, quotes, quotes_of
+from depthforge.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -633,6 +636,28 @@ def _(s, d):
     return book.build_depth(mbo(s, d), 1).where("trade_sz is not null").groupBy("instrument_id").agg(F.sum("trade_sz").alias("traded"), F.sum("trade_levels").cast("bigint").alias("trades"))
 
 
+# ---------------------------------------------------------------- streams
+
+
+def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream over the files there are gives, as a table in memory."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name)
+
+
+@query("stream_ewma", with_quotes(f", {decay_sql('c_a', 'quotes', 'trade_sz', HOUR)} SELECT row_nr, round(c_a.s, 6) AS value FROM c_a"))
+def _(s, d):
+    q = quotes_of(event_stream(s, d)).select(*KEYS, "row_nr", "ts_ns", F.col("trade_sz").cast("double").alias("x"))
+    return _drained(s, states.stream_decayed(q, [Decay("value", "x", HOUR)], KEYS), "stream_ewma").select("row_nr", F.round("value", 6).alias("value"))
+
+
+@query("stream_book")
+def _(s, d):
+    return _drained(s, states.stream_depth(mbo_of(event_stream(s, d)), 3), "stream_book")
+
+
 # ---------------------------------------------------------------- flagship
 
 

@@ -40,11 +40,23 @@ QUOTES_SQL = f"quotes AS (SELECT {', '.join(_QUOTES)}, epoch_us(ts) * 1000 AS ts
 MBO_SQL = f"mbo AS (SELECT {', '.join(_MBO)}, epoch_us(ts) * 1000 AS ts_ns FROM events)"
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def quotes_of(events: DataFrame) -> DataFrame:
     return events.select(*(F.expr(c) for c in _QUOTES), ts_ns(F.col("ts")).alias("ts_ns"), F.col("ts").alias("ts_event"))
 
 
-def mbo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def mbo_of(events: DataFrame) -> DataFrame:
     return events.select(*(F.expr(c) for c in _MBO), ts_ns(F.col("ts")).alias("ts_ns"))
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def mbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mbo_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import time
@@ -15,15 +16,17 @@ from pyspark.sql import functions as F
 SPACES = "\\x20\\x09-\\x0D"
 
 
+@functools.cache
+def _own_dir() -> str:
+    return Path(tempfile.mkdtemp(prefix="depthforge-")).as_uri()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 
     Only where that setting is absent (tests on one machine) a temporary folder is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="depthforge-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{base.rstrip('/')}/depthforge/{uuid.uuid4().hex}"
 
 

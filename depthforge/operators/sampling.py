@@ -63,3 +63,21 @@ def relative_ns(df: DataFrame, time: str = "ts_ns", name: str = "x_ns") -> DataF
 
 def display_time(ts: Column, timezone: str, form: str = "yyyy-MM-dd HH:mm:ss.SSSSSS") -> Column:
     return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), timezone), form)
+
+
+def shuffled_dates(dates: Sequence[str], seed: int = 0, sizes: dict[str, int] | None = None, buckets: int = 4) -> list[str]:
+    """Dates in a seeded order; with sizes, those of the largest quarter (``buckets``) first."""
+    import random
+
+    rng = random.Random(seed)
+    mixed = sorted(dates)
+    rng.shuffle(mixed)
+    if not sizes:
+        return mixed
+    rank = {d: i * buckets // len(mixed) for i, d in enumerate(sorted(mixed, key=lambda d: -sizes.get(d, 0)))}
+    return sorted(mixed, key=lambda d: rank[d])
+
+
+def shuffled_rows(df: DataFrame, window: int, seed: int = 0, order: str = ORDER) -> DataFrame:
+    """Rows mixed within runs of ``window`` rows, the runs in order; the same rows in the same order for a seed."""
+    return df.orderBy(F.floor(F.col(order) / window), F.xxhash64(F.col(order), F.lit(seed)), order)

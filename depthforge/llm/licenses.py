@@ -1,9 +1,11 @@
 """Licence recognition by sentence rules.
 
-Sentences are normalised (lower case, runs of other characters than letters and digits as one space) and
-mapped to identifiers of known licence sentences; a document's sequence of identifiers is then matched
-against ordered rules.  All of it is one projection of built-in functions: no shuffle, no state, and a hot
-source or group of copies makes no difference.
+Texts are normalised (lower case, runs of other characters than letters and digits as one space) and known
+licence sentences in them are mapped to identifiers; a document's sequence of identifiers is then matched
+against ordered rules.  A known sentence starts where a line or a sentence does, its words may be wrapped over
+lines, and further clauses may follow, so licence texts and headers count as well as one-line notices.  All of
+it is one projection of built-in functions: no shuffle, no state, and a hot source or group of copies makes no
+difference.
 
 Null and empty texts have no sentences and no licence.  A sentence known to several rules serves them all.
 Further columns stay.
@@ -11,13 +13,16 @@ Further columns stay.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthforge.llm.common import table
 
-#: Normalised licence sentences and their identifiers.
-SENTENCES = {
+#: One-line notices, as the SQL has them, and their identifiers.
+NOTICES = {
     "this work is licensed under the gnu general public license version 3": "gpl3-work",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-free",
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
@@ -40,8 +45,26 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
-#: (licence, identifiers that must follow one another, others may stand between).
-RULES = (
+_GPL = "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+
+#: Normalised licence sentences and their identifiers; * is any few words.
+SENTENCES = NOTICES | {
+    "apache license version 2 0 january 2004": "apache2-short",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-name",
+    "gnu general public license version 2 june 1991": "gpl2-work",
+    "gnu general public license version 3 29 june 2007": "gpl3-work",
+    _GPL: "gpl-free",
+    **{f"{_GPL} {version}": f"gpl{n}-work" for n in (2, 3) for version in (
+        f"as published by the free software foundation either version {n} of the license",
+        f"as published by the free software foundation version {n} of the license",
+        f"version {n} as published by the free software foundation",
+    )},
+    "* is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+}
+
+#: (licence, identifiers that must follow one another, others may stand between), for the notices.
+NOTICE_RULES = (
     ("Apache-2.0", ("apache2-short", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-short",)),
     ("GPL-3.0", ("gpl3-work",)),
@@ -55,20 +78,31 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("Proprietary", ("reserved",)),
 )
+RULES = (*NOTICE_RULES, ("GPL-2.0", ("gpl2-work",)))
+
+#: Ends of lines and sentences: line ends, or closing marks before a space.
+BREAK = r"[.!?;:](?<![.!?;:]{2})[.!?;:]*+(?:[ \t]*(?:\r?\n|\r)|(?=\s|$))|\r?\n|\r"
+
 
-#: Ends of sentences: line ends, or closing marks before a space.
-BREAK = r"[\n\r]+|[.!?;:]+(?=\s|$)"
+def _pattern(sentence: str) -> str:
+    """What ``sentence`` looks like in normalised text, where B stands for a break: between words there is one at most."""
+    some = lambda i: "[a-z0-9 B]{1,80}?" if i else "[a-z0-9 ]{1,40}?"
+    return "(?: ?B ?| )".join(some(i) if w == "*" else w for i, w in enumerate(sentence.split(" ")))
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of known sentences in their order in ``text``.
 
-    A sentence in brackets or quotes counts; a sentence with a comma part more doesn't.
+    A sentence starts after a break, brackets, quotes, comment marks or a number; of sentences with the same
+    start the longest counts.  What precedes it in its line otherwise makes it another sentence.
     """
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), normal), lambda s: s.isin(*sentences))
-    return F.transform(found, lambda s: F.element_at(known, s))
+    known = {_pattern(s): i for s, i in sorted(sentences.items(), key=lambda x: -len(x[0]))}
+    low = F.lower(text)
+    # each sentence's longest word tells most texts without any from the rest
+    some = reduce(or_, (F.contains(low, F.lit(w)) for w in sorted({max(s.split(), key=len) for s in sentences})))
+    normal = F.concat(F.lit("B"), F.regexp_replace(F.regexp_replace(low, BREAK, "B"), "[^a-z0-9B]+", " "))
+    found = F.regexp_extract_all(F.when(some, normal).otherwise(""), F.lit(f"B ?(?:[0-9]{{1,2}} )?({'|'.join(known)})(?![a-z0-9])"), F.lit(1))
+    return F.transform(found, lambda s: F.coalesce(*(F.when(s.rlike(f"^{p}$"), i) for p, i in known.items())))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:
@@ -89,8 +123,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    cases = ", ".join("CASE WHEN regexp_matches(line, '" + "".join(f"( .*)? {i}" if k else f" {i}" for k, i in enumerate(seq)) + f" ') THEN '{name}' END" for name, seq in RULES)
+    known = ", ".join(f"('{s}', '{i}')" for s, i in NOTICES.items())
+    cases = ", ".join("CASE WHEN regexp_matches(line, '" + "".join(f"( .*)? {i}" if k else f" {i}" for k, i in enumerate(seq)) + f" ') THEN '{name}' END" for name, seq in NOTICE_RULES)
     return f"""
 WITH s AS (SELECT doc_id, i, p[i] AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
   SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n\\r]+|[.!?;:]+(\\s|$)') AS p FROM documents))),

@@ -423,12 +423,12 @@ _SMALL = f"small AS (SELECT * FROM quotes WHERE row_nr < 40), prices AS ({' UNIO
 
 @query("depth_price_semi_join", with_quotes(f", {MBO_SQL}, {_SMALL} SELECT row_nr, price FROM mbo WHERE price IN (SELECT price FROM prices)"))
 def _(s, d):
-    return filters.depth_price_filter(mbo(s, d), quotes(s, d).where("row_nr < 40"), 2).select("row_nr", "price")
+    return filters.depth_price_filter(mbo(s, d), quotes(s, d), 2).select("row_nr", "price")
 
 
 @query("depth_price_range", with_quotes(f", {MBO_SQL}, {_SMALL} SELECT row_nr, price FROM mbo WHERE price BETWEEN (SELECT min(price) FROM prices) AND (SELECT max(price) FROM prices)"))
 def _(s, d):
-    return filters.depth_price_filter(mbo(s, d), quotes(s, d).where("row_nr < 40"), 2, "range").select("row_nr", "price")
+    return filters.depth_price_filter(mbo(s, d), quotes(s, d), 2, "range").select("row_nr", "price")
 
 
 # ---------------------------------------------------------------- scores

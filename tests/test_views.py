@@ -8,6 +8,7 @@ from depthforge import cli
 from depthforge.functions.bounds import between, to_utc
 from depthforge.operators.filters import depth_price_filter, depth_prices
 from depthforge.plans import view
+from depthforge.queries import QUERIES
 from depthforge.sources.views import mbo, quotes
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,15 @@ def test_depth_price_modes(spark):
         depth_price_filter(m, q, 2, "other")
 
 
+def test_depth_price_queries_use_all_quotes(spark, tmp_path):
+    d = str(tmp_path)
+    spark.read.parquet(f"{SF}/events.parquet").where("event_id >= 500").write.parquet(f"{d}/events.parquet")
+    seen = {r[f"{s}_px_{i}"] for r in quotes(spark, d).collect() for s in ("bid", "ask") for i in range(2) if r[f"{s}_sz_{i}"] > 0}
+    events = {(r.row_nr, r.price) for r in mbo(spark, d).collect()}
+    assert {tuple(r) for r in QUERIES["depth_price_semi_join"](spark, d).collect()} == {e for e in events if e[1] in seen} != set()
+    assert {tuple(r) for r in QUERIES["depth_price_range"](spark, d).collect()} == {e for e in events if min(seen) <= e[1] <= max(seen)} != set()
+
+
 def test_cli(spark, tmp_path, capsys):
     mbo(spark, SF).coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     cli.main([str(tmp_path / "in.parquet"), "--levels", "2", "--out", str(tmp_path / "out.parquet")])

@@ -24,7 +24,9 @@ from depthforge.llm.quality import normal_line
 #: A line on more than this share of a host's pages goes...
 RATIO = 0.2
 #: ...if on this many pages at least.
-LEAST = 10
+LEAST = 3
+#: The floor of the query's SQL.
+SQL_LEAST = 10
 
 
 def _lines(text):
@@ -63,7 +65,7 @@ def drop_lines(pages: DataFrame, key: str = "doc_id", host: str = "source", text
 
 def op9(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_lines(pages).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
+    return drop_lines(pages, least=SQL_LEAST).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
 
 
 OP9_SQL = """

@@ -107,6 +107,14 @@ def test_line_dedup(spark):
     assert got[99].text is None and got[98].text == "" and got[0].line == "x"
 
 
+def test_line_dedup_small_hosts(spark):
+    import corpus_pipeline
+
+    rows = [(10 * h + i, f"own {chr(97 + 7 * h + i)}\nAll about us", f"host {h}", "h", 1) for h, n in enumerate((1, 2, 3, 9)) for i in range(n)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert got == {i: t if i < 20 else t.split("\n")[0] for i, t, *_ in rows}
+
+
 def test_licenses(spark):
     texts = [None, "", "Licensed under the Apache License, Version 2.0.", "All Rights Reserved!\nThis work is licensed under the GNU General Public License, version 3.", "not licensed under the mit license text"]
     texts.append("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. x. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind.")

@@ -99,6 +99,13 @@ def frequent_lines(docs: DataFrame, key: str, host: str, limit: int = LIMIT, tex
     return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
 
 
+def cut_frequent(docs: DataFrame, key: str = "doc_id", host: str = "source", limit: int = LIMIT, text: str = "text") -> DataFrame:
+    """``docs`` without the lines of :func:`frequent_lines` in ``text``, and n_lines and n_dropped added."""
+    from depthforge.llm.lines import drop_lines  # which imports this module
+
+    return drop_lines(docs, key, host, text, ratio=0.0, least=limit + 1)
+
+
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", limit: int = LIMIT, keep_share: float = KEEP_SHARE, text: str = "text") -> DataFrame:
     """(key, the rules' columns, n_boilerplate_words, kept) per document."""
     slim = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))

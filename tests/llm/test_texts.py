@@ -99,6 +99,15 @@ def test_frequent_lines_deplete(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_frequent_lines_are_cut(spark):
+    rows = [(i, f"own {i % 2} text\nShare  page {i}\n\nend {chr(97 + i)}", "a" if i < 4 else "b", "h", 0) for i in range(7)] + [(9, None, "a", "h", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.text for r in quality.cut_frequent(df, limit=3).collect()}
+    assert got == {i: None if t is None else f"\nend {chr(97 + i)}" if i < 4 else t for i, t, *_ in rows}
+    for r in quality.judge(df, limit=3).collect():
+        assert r.n_words - r.n_boilerplate_words == len((got[r.doc_id] or "").split())
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own {chr(97 + i)}\nFooter 12\n\nFooter  7", "a", "h", 0) for i in range(10)] + [(99, None, "a", "h", 0), (98, "", None, None, None), (97, "Footer 1", "b", "h", 0)]
     rows[3] = (3, "Footer 1", "a", "h", 0)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import gc
 import tempfile
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +14,20 @@ from pyspark.sql import functions as F
 SPACES = "\\x20\\x09-\\x0D"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return Path(tempfile.mkdtemp(prefix="depthforge-")).as_uri()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Where that setting is absent, a folder set by ``setCheckpointDir`` serves; with neither, a session on one
+    machine gets a temporary folder and any other an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="depthforge-"))
+        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/depthforge/{uuid.uuid4().hex}"
 
 
@@ -38,11 +39,6 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """``df`` in a quarter of the session's shuffle partitions (32 at least): for results that are small against what was shuffled for them, so that they don't become as many small files."""
-    return df.coalesce(max(32, partitions(df.sparkSession) // 4))
-
-
 def stored(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -54,7 +50,7 @@ def stored(df: DataFrame, free: bool = False) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
-    fewer(df).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

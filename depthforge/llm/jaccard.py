@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import SPACES, fewer, partitions, stored, table, text_batches
+from depthforge.llm.common import SPACES, partitions, stored, table, text_batches
 from depthforge.llm.components import components
 from depthforge.llm.decontam import LOWER
 from depthforge.llm.repeats import BATCH, SPLIT, Hasher, U, dealt, first_of_run, firsts, mix, pack_columns, text_slices, unpack_columns
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     more = stored(_verified(late, slim, shingle))
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
-    return fewer(own.join(final.withColumnRenamed("node", "key"), "key", "left")).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    return own.join(final.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def _without(slim: DataFrame, documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import fewer, stored, table, text_batches
+from depthforge.llm.common import stored, table, text_batches
 
 SIZE = 2048
 END = 0
@@ -270,7 +270,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer=None, key: str = "doc_id",
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece")) - 1
     ranked = dealt.withColumn("rank", rank).join(before, (F.col("length") == F.col("b_length")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("rank") + F.col("before"))
     out = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return fewer(out).select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
+    return out.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

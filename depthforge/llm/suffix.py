@@ -1,31 +1,36 @@
 """Suffix-array dedup: bytes inside 50-byte strings that a smaller document has too are removed.
 
-Candidate regions come from :mod:`depthforge.llm.repeats`: long repeats are decided by their contexts there, what
-surrounds their ends and edits is left.  A task joins such regions of many documents, builds the suffix array
-of the first 64 bytes of each suffix and its Burrows-Wheeler transform, and expands intervals breadth first:
-level l holds an interval for each string of l bytes that occurs twice; a step backwards by each preceding byte
-gives level l + 1; intervals of one suffix are dropped, and the expansion stops at the minimum length.  The
-intervals left are the repeated windows, each a class of equal strings.  All but the smallest document's are
-repeats; one of each class, and the windows without a partner in this task, go on to meet other tasks' by the
-hash of their content.
+Texts are cut into runs of windows that share an anchor, and runs whose anchor several documents have meet by
+anchor, as bytes (:mod:`depthforge.llm.repeats`).  A task joins the runs of a block of anchors, builds their suffix
+array and Burrows-Wheeler transform, and expands all intervals backwards, breadth first: the intervals of level l
+are the strings of l bytes, and a step back by every byte at once gives those of level l + 1.  A border that first
+appears at a level lies between suffixes whose common prefix is one byte shorter, so common prefixes come out by
+increasing value, and the expansion stops at the window's length.  The intervals left are the classes of equal
+windows; those of any document but a class's smallest are repeats.  No hash decides what is equal.
 
 Texts are UTF-8 bytes, matches never cross documents, windows are judged on the input.  Null and empty texts and
-texts of fewer bytes than a window lose nothing.  Repeated rows of one id don't repeat each other.
+texts of fewer bytes than a window lose nothing.  Repeated rows of one id don't repeat each other; ties are theirs
+only, as the smallest id of a class is kept.  Very long texts are hashed in segments and dealt out run by run.  An
+empty table gives an empty result.  Only the key and the text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depthforge.llm import repeats
 from depthforge.llm.common import table
-from depthforge.llm.repeats import Hasher, Shape, U, with_repeats
+from depthforge.llm.repeats import Rows, Runs, Shape, U
 
 WIDTH = 50
 SHAPE = Shape(WIDTH, 20)
+#: A byte that UTF-8 never has: it ends each run.
+STOP = 0xFF
 _rng = np.random.default_rng(20240502)
 BYTES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
@@ -34,129 +39,94 @@ def byte_values(raws: list[bytes]) -> list[np.ndarray]:
     return [BYTES[np.frombuffer(r, np.uint8)] for r in raws]
 
 
-#: Windows whose regions share a transform.
-BLOCK = 1_000_000
-DEPTH = 64
+def bytes_of(raw: bytes):
+    return lambda lo, hi: raw[lo:hi]
 
 
-def suffix_array(s: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Order of the suffixes of a byte array by their first ``depth`` bytes (a power of 2, 8 at least), by prefix doubling."""
+PLACE = U(20)
+
+
+def ordered(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of pairs of numbers and the rank of each pair, equal pairs having equal ranks; both below 2^20 if there are no more pairs than that."""
+    n = len(major)
+    if n <= 1 << PLACE:
+        both = np.sort((major << U(2 * PLACE)) | (minor << PLACE) | np.arange(n, dtype=U))
+        order, value = (both & ((U(1) << PLACE) - U(1))).astype(np.int64), both >> PLACE
+        change = value[1:] != value[:-1]
+    else:
+        order = np.lexsort((minor, major))
+        change = (major[order][1:] != major[order][:-1]) | (minor[order][1:] != minor[order][:-1])
+    rank = np.empty(n, U)
+    rank[order] = np.concatenate(([0], np.cumsum(change))).astype(U)[:n]
+    return order, rank
+
+
+def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a byte array by their first ``depth`` bytes at least, by prefix doubling from 5 bytes."""
     n = len(s)
-    padded = np.concatenate((s, np.zeros(8, np.uint8))).astype(U)
-    key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | padded[i : i + n]
-    step = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        if step >= depth:
-            return order
-        sorted_key = key[order]
-        rank = np.empty(n, U)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1]))).astype(U) + U(1)
+    padded = np.concatenate((s, np.full(5, STOP, np.uint8))).astype(U)
+    high = (padded[:n] << U(8)) | padded[1 : n + 1]
+    low = (padded[2 : n + 2] << U(16)) | (padded[3 : n + 3] << U(8)) | padded[4 : n + 4]
+    order, rank = ordered((high << U(4)) | (low >> U(20)), low & U(0xFFFFF))
+    step = 5
+    while step < depth:
         later = np.zeros(n, U)
-        later[:-step] = rank[step:] if step < n else 0
-        key = rank * U(n + 2) + later
+        later[:-step] = rank[step:]
+        order, rank = ordered(rank, later)
         step *= 2
+    return order
 
 
-def repeated_intervals(s: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """[first, past) intervals of ``order`` whose suffixes share their first ``length`` bytes, two suffixes at least; byte 0 matches nothing."""
-    n = len(s)
-    before = s[order - 1]
-    before[order == 0] = 0
-    counts = np.bincount(s, minlength=256)
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    # place of each suffix among those with the same byte before it: rank within the byte, up to each position
-    by = np.argsort(before, kind="stable")
-    last = np.empty(n, np.int64)
-    last[by] = np.arange(n) - np.concatenate(([0], np.cumsum(np.bincount(before, minlength=256))[:-1]))[before[by]]
-    step = starts[before] + last  # where a suffix goes when its preceding byte is put in front
-    used = np.flatnonzero(counts[1:] > 1) + 1
-    first, past = starts[used], starts[used] + counts[used]
+def window_classes(s: np.ndarray, length: int) -> np.ndarray:
+    """For each position of ``s`` the number of the interval of its first ``length`` bytes: equal numbers, equal strings.
+
+    Strings with a STOP in them equal nothing; ``s`` ends with one.
+    """
+    order = suffix_array(s, length)
+    before = s[order - 1]  # the transform; the first suffix has the last byte before it, a STOP
+    back = np.argsort(before, kind="stable").astype(np.int32)  # the row from which a step back leads to each row
+    byte = before[back]
+    apart = np.ones(len(s), bool)
+    apart[1:] = (byte[1:] != byte[:-1]) | (byte[1:] == STOP)
+    border = apart.copy()  # of the intervals of one byte
     for _ in range(length - 1):
-        size = past - first
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        interval = np.repeat(np.arange(len(first)), size)
-        byte = before[at]
-        go = byte > 0
-        at, interval, byte = at[go], interval[go], byte[go]
-        # a stable sort by preceding byte leaves each (byte, interval) in one run, in the order of the next level
-        deal = np.argsort(byte, kind="stable")
-        at, interval, byte = at[deal], interval[deal], byte[deal]
-        new = np.zeros(len(at) + 1, bool)
-        new[:1] = new[-1:] = True
-        new[1:-1] = (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])
-        cut = np.flatnonzero(new)
-        size = np.diff(cut)
-        keep = size > 1
-        first = step[at[cut[:-1][keep]]]
-        past = first + size[keep]
-        if not len(first):
+        interval = np.cumsum(border, dtype=np.int32)[back]
+        np.not_equal(interval[1:], interval[:-1], out=border[1:])
+        border |= apart
+        if border.all():
             break
-    return first, past
-
-
-def transform_kernel(keys, values, starts, raws, width):
-    """Window classes by interval expansion over blocks of regions; see :mod:`depthforge.llm.repeats` for the arguments."""
-    block, total = [], 0
-    for key, v, s, raw in zip(keys, values, starts, raws, strict=True):
-        if not len(s):
+    out = np.empty(len(s), np.int32)
+    out[order] = np.cumsum(border, dtype=np.int32) - 1
+    return out
+
+
+def repeated_windows(runs: Runs, block: int = repeats.BLOCK, classes=window_classes) -> Iterator[Rows]:
+    """(0, (key, first window, windows)) of the windows that a smaller document has too."""
+    size = np.array([len(c) + 1 for c in runs.content])
+    for part in runs.blocks(size, block):
+        stop = bytes([STOP])
+        text = np.frombuffer(stop.join([*part.content, b""]), np.uint8)
+        start = np.cumsum([0, *(len(c) + 1 for c in part.content)])[:-1]
+        n = part.count
+        entry = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = len(part.content[0]) - int(n[0]) + 1
+        number = classes(text, width)[start[entry] + nth]
+        least = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        key = part.key[entry]
+        np.minimum.at(least, number, key)
+        at = np.flatnonzero(key > least[number])
+        if not len(at):
             continue
-        block.append((key, v, s, np.frombuffer(raw, np.uint8)))
-        total += len(s)
-        if total > BLOCK:
-            yield _expand(block, width)
-            block, total = [], 0
-    if block:
-        yield _expand(block, width)
-
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (entry[at[1:]] != entry[at[:-1]])
+        head = np.flatnonzero(new)
+        yield 0, (key[at[head]], part.first[entry[at[head]]] + nth[at[head]], np.diff(np.append(head, len(at))))
 
-def _expand(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, key, start) of the windows; windows of an interval get the hash of its first one.
 
-    Windows whose hash is alone in the block have no partner in it and don't enter the transform.
-    """
-    h = np.concatenate([Hasher(v)(s, s + width) for _, v, s, _ in block])
-    key = np.concatenate([np.full(len(s), k, np.int64) for k, _, s, _ in block])
-    start = np.concatenate([s for _, _, s, _ in block])
-    order = np.argsort(h)
-    same = h[order[1:]] == h[order[:-1]]
-    paired = np.zeros(len(h), bool)
-    paired[order[1:][same]] = paired[order[:-1][same]] = True
-    texts, window_at, which, at, seen = [], [], [], 0, 0
-    for _, _, s, raw in block:
-        own = np.flatnonzero(paired[seen : seen + len(s)])
-        if len(own):
-            few = s[own]
-            edge = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(edge, few, 1)
-            np.add.at(edge, few + width, -1)
-            inside = np.cumsum(edge[:-1]) > 0
-            # regions one after another, each closed by a byte 0; windows across a 0 of a text match by hash only
-            gap = inside & ~np.concatenate((inside[1:], [False]))
-            place = np.cumsum(inside) + np.concatenate(([0], np.cumsum(gap)[:-1])) - 1
-            region = np.zeros(int(inside.sum() + gap.sum()), np.uint8)
-            region[place[inside]] = raw[inside]
-            texts.append(region)
-            window_at.append(place[few] + at)
-            which.append(own + seen)
-            at += len(region)
-        seen += len(s)
-    if not texts:
-        return h, key, start
-    text, window_at, which = np.concatenate(texts), np.concatenate(window_at), np.concatenate(which)
-    suffixes = suffix_array(text)
-    first, past = repeated_intervals(text, suffixes, width)
-    window = np.full(len(text), -1)
-    window[window_at] = which
-    size = past - first
-    heads = np.cumsum(size) - size
-    members = window[suffixes[np.repeat(first - heads, size) + np.arange(size.sum())]]
-    lead = members[np.repeat(heads, size)]
-    both = (members >= 0) & (lead >= 0)
-    h[members[both]] = h[lead[both]]
-    return h, key, start
+def _follow(key, first, count, lead, lead_first) -> Rows:
+    """A run that a smaller document of its batch has too is repeated as a whole."""
+    return 0, (key, first, count)
 
 
 def _digest(raw: bytes, values: np.ndarray, mask: np.ndarray | None):
@@ -167,10 +137,24 @@ def _digest(raw: bytes, values: np.ndarray, mask: np.ndarray | None):
     return len(raw), int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = SHAPE) -> DataFrame:
+def _texts(raw: bytes, values: np.ndarray, mask: np.ndarray | None):
+    """As :func:`_digest`, with what is left as text; parts of characters, as bytes are cut, are left out."""
+    n, gone, spans, _ = _digest(raw, values, mask)
+    return n, gone, spans, (raw if mask is None else np.frombuffer(raw, np.uint8)[~mask].tobytes()).decode("utf-8", "ignore")
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = SHAPE, digest: bool = False, values=byte_values, solver=repeated_windows) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, text): the bytes left; ``digest``: their kept_sha256 instead.  ``values`` hashes the bytes, ``solver`` compares runs."""
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return with_repeats(slim, byte_values, shape, _digest, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", transform_kernel).withColumnRenamed("key", key)
+
+    def found(rows: DataFrame) -> DataFrame:
+        at, hot = repeats.shared_anchors(rows, values, shape)
+        sent = repeats.dealt_runs(repeats.squeezed(rows).join(at, "key"), hot, values, bytes_of, shape)
+        return repeats.solved(sent, solver, _follow).select(F.col("a").alias("key"), F.col("b").alias("first"), F.col("c").alias("count"))
+
+    last, finish = ("kept_sha256", _digest) if digest else ("text", _texts)
+    return repeats.with_repeats(slim, found, byte_values, shape.width, finish, f"n_bytes bigint, n_removed bigint, n_spans bigint, {last} string").withColumnRenamed("key", key)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)

@@ -56,54 +56,113 @@ def rows():
     return [(i * 3 - 50, t) for i, t in enumerate(out)]
 
 
-def test_substring_dedup(spark, rows, monkeypatch):
+SETTINGS = {"plain": {}, "small": {"BATCH": 2000, "BYTES": 3000}, "hot": {"HOT": 3, "HOT_SHARE": 0.0}}
+
+
+@pytest.fixture(params=[*SETTINGS, "weak"])
+def setting(request, monkeypatch):
+    for name, value in SETTINGS.get(request.param, {}).items():
+        monkeypatch.setattr(repeats, name, value)
+    return request.param
+
+
+def test_substring_dedup(spark, rows, setting):
     words = {i: re.findall(WORDS, t or "") for i, t in rows}
     want = removed(sorted(words.items()))
-    for batch, segment in ((repeats.BATCH, repeats.SEGMENT), (2000, 120)):
-        monkeypatch.setattr(repeats, "BATCH", batch)
-        monkeypatch.setattr(repeats, "SEGMENT", segment)
-        got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, rows)).collect()}
-        assert got.keys() == want.keys()
-        for i, mask in want.items():
-            assert (got[i].n_words, got[i].n_removed) == (len(mask), sum(mask)) and got[i].text == " ".join(w for w, m in zip(words[i], mask, strict=True) if not m)
-    assert substrings.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+    more = {}
+    if setting == "weak":  # all words have one hash, so all windows meet
+        more = {"values": lambda raws: [np.ones(len(r.split()), np.uint64) for r in raws]}
+    elif setting == "small":
+        more = {"nodes": repeats.Shape(49, 12, 120), "solver": lambda runs: substrings.graph_rows(runs, 500)}
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, rows), **more).collect()}
+    assert got.keys() == want.keys()
+    for i, mask in want.items():
+        assert (got[i].n_words, got[i].n_removed) == (len(mask), sum(mask)) and got[i].text == " ".join(w for w, m in zip(words[i], mask, strict=True) if not m)
 
 
-def test_suffix_dedup(spark, rows):
+def test_suffix_dedup(spark, rows, setting):
     raw = {i: (t or "").encode() for i, t in rows}
     want = removed(sorted(raw.items()))
-    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, rows)).collect()}
+    more = {}
+    if setting == "weak":
+        few = rows[::3]
+        raw = {i: (t or "").encode() for i, t in few}
+        want, rows = removed(sorted(raw.items())), few
+        more = {"values": lambda raws: [np.ones(len(r), np.uint64) for r in raws]}
+    elif setting == "small":
+        more = {"shape": repeats.Shape(50, 20, 1000), "solver": lambda runs: suffix.repeated_windows(runs, 500)}
+    got = {r.doc_id: r for r in suffix.remove_repeats(frame(spark, rows), digest=True, **more).collect()}
+    assert got.keys() == want.keys()
     for i, mask in want.items():
         kept = bytes(b for b, m in zip(raw[i], mask, strict=True) if not m)
         spans = sum(b and not a for a, b in zip([False, *mask], mask, strict=False))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(mask), sum(mask), spans, hashlib.sha256(kept).hexdigest())
-    assert suffix.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_interval_expansion():
+@pytest.mark.parametrize("operator", [substrings.remove_repeats, suffix.remove_repeats])
+def test_repeats_on_odd_rows(spark, operator):
+    rng = random.Random(2)
+    a, b = (" ".join(f"{rng.random():.6f}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, f"{a} {b}"), (None, a), (None, None), (4, None), (5, ""), (6, "\0" * 90), (7, "\0" * 90)]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed, r.text) for r in operator(frame(spark, rows)).collect()), key=str)
+    assert [g[:2] for g in got] == sorted([(k is None, k or 0) for k, _ in rows], key=str)
+    left = {(k, n) for _, k, n, _ in got}
+    size = (lambda t: len(t.split())) if operator is substrings.remove_repeats else len
+    assert {(1, 0), (2, size(b)), (4, 0), (5, 0), (6, 0), (0, 0)} <= left and not any(k == 1 and n for k, n in left)
+    assert sum(n for k, n in left if k == 3) >= size(a) + size(b) - (operator is suffix.remove_repeats)
+    assert sum(n for k, n in left if k == 7) == (90 if operator is suffix.remove_repeats else 0)
+    assert operator(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_passage_in_a_third_of_all_rows(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *(passage if i % 3 == 0 else []), *(word() for _ in range(30))])) for i in range(600)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {i: 60 if i % 3 == 0 and i else 0 for i in range(600)}
+
+
+def test_window_classes():
     rng = np.random.default_rng(0)
-    s = np.concatenate([rng.integers(97, 100, 400), [0], rng.integers(97, 100, 300), [0]]).astype(np.uint8)
+    s = np.concatenate([rng.integers(97, 100, 400), [suffix.STOP], rng.integers(97, 100, 300), [suffix.STOP]]).astype(np.uint8)
     s[500:540] = s[100:140]
-    order = suffix.suffix_array(s)
-    for length in (1, 5, 12, 30):
-        first, past = suffix.repeated_intervals(s, order, length)
-        got = sorted(tuple(sorted(order[a:b].tolist())) for a, b in zip(first, past, strict=True))
-        groups = {}
+    for length in (1, 5, 12, 30, 39):
+        number = suffix.window_classes(s, length)
+        classes = {}
         for i in range(len(s) - length + 1):
             w = bytes(s[i : i + length])
-            if 0 not in w:
-                groups.setdefault(w, []).append(i)
-        assert got == sorted(tuple(g) for g in groups.values() if len(g) > 1)
+            classes.setdefault(w if suffix.STOP not in w else i, set()).add(int(number[i]))
+        assert all(len(c) == 1 for c in classes.values()) and len(set.union(*classes.values())) == len(classes)
+
+
+def test_expansion_decides(spark, rows, monkeypatch):
+    """Without the expansion nothing is repeated but whole runs of one batch."""
+    monkeypatch.setattr(repeats, "BYTES", 1)
+    alone = lambda runs: suffix.repeated_windows(runs, classes=lambda s, length: np.arange(len(s)))
+    assert suffix.remove_repeats(frame(spark, rows), digest=True, solver=alone).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_paths_decide(spark, rows, monkeypatch):
+    """Without compaction only single edges are removed."""
+    whole = substrings.remove_repeats(frame(spark, rows)).agg(F.sum("n_removed")).first()[0]
+    monkeypatch.setattr(substrings, "path_ends", lambda pieces: pieces.limit(0))
+    assert substrings.remove_repeats(frame(spark, rows)).agg(F.sum("n_removed")).first()[0] < whole
+
+
+def test_path_ends(spark):
+    pieces = [(1, i, i + 1) for i in range(0, 40)] + [(1, 50, 55), (2, 3, 9), (2, 9, 12)]
+    got = {(r.k, r.a): r.b for r in substrings.path_ends(spark.createDataFrame(pieces, "k bigint, a bigint, b bigint")).collect()}
+    assert got == {**{(1, i): 40 for i in range(40)}, (1, 50): 55, (2, 3): 12, (2, 9): 12}
 
 
-def test_longer_than_a_segment(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SEGMENT", 1000)
+def test_longer_than_a_segment(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     shared = text(2500)
     rows = [(1, text(700) + shared + text(3000)), (2, text(3000) + shared), (3, shared[:1200])]
     want = removed([(i, t.encode()) for i, t in rows])
-    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(frame(spark, rows), shape=repeats.Shape(50, 20, 1000)).collect()}
     assert got == {i: sum(m) for i, m in want.items()}
 
 

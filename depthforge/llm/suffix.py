@@ -104,9 +104,10 @@ def repeated_windows(runs: Runs, block: int = repeats.BLOCK, classes=window_clas
     """(0, (key, first window, windows)) of the windows that a smaller document has too."""
     size = np.array([len(c) + 1 for c in runs.content])
     for part in runs.blocks(size, block):
-        stop = bytes([STOP])
-        text = np.frombuffer(stop.join([*part.content, b""]), np.uint8)
-        start = np.cumsum([0, *(len(c) + 1 for c in part.content)])[:-1]
+        once: dict[bytes, int] = {}  # equal runs enter the transform once
+        which = np.array([once.setdefault(c, len(once)) for c in part.content])
+        text = np.frombuffer(bytes([STOP]).join([*once, b""]), np.uint8)
+        start = np.cumsum([0, *(len(c) + 1 for c in once)])[which]
         n = part.count
         entry = np.repeat(np.arange(len(n)), n)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

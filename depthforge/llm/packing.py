@@ -8,11 +8,11 @@ The solver takes the largest length left and enumerates undominated fillings of
 least waste first; a filling is used as often as the counts allow.  Branches are pruned when the sequences
 used plus the bound on the rest (total length over size) don't beat the incumbent, which starts as the
 best-fit-decreasing solution of the same histogram.  Search effort is a parameter; every piece is placed
-whatever it is.
+whatever it is, and :func:`pack` gives the lower bound beside each place, so a packing that isn't proven least shows.
 
 Null and empty texts are one token (the end mark).  Repeated rows are packed once per row.  Ties: equal
-pieces get places in the order of (key, piece).  An empty table gives an empty result.  Only the key and the
-text are read, so further columns can't clash.
+pieces get places in the order of (key, piece).  Very long texts are tokenised whole and cut.  An empty table gives
+an empty result.  Only the key and the text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,26 +31,27 @@ from depthforge.llm.common import stored, table, text_batches
 
 SIZE = 2048
 END = 0
-#: Branch-and-bound effort: fillings tried per sequence and branchings per packing.
+#: Branch-and-bound effort: steps per search of fillings, fillings tried per sequence and branchings per packing.
 FILL_STEPS = 400
+FILLINGS = 3
 BRANCHINGS = 20_000
 #: Pieces ranked in one task; a length with more is dealt over several.
 RANKED = 100_000
 
 # ---------------------------------------------------------------- tokens
 
-#: Where the pre-tokeniser's letter and number classes are the same in every Unicode version.
-STABLE = re.compile("[^\x00-ɏ]")
+#: Where the pre-tokeniser's letter and number classes may differ between Unicode versions.
+UNSTABLE = re.compile("[^\x00-ɏ]")
 _encoders: dict = {}
 
 
 def _encoder(path: str, ranks: str | None):
-    """text -> ids.  The byte-level ranks give the same ids as the tokeniser file, several times as fast; it is used on text of stable character classes."""
+    """text -> ids.  The byte-level ranks give the same ids as the tokeniser file, several times as fast; it is used on text of stable character classes without a special token."""
     if (path, ranks) not in _encoders:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        special = re.compile("|".join(re.escape(t.content) for t in slow.get_added_tokens_decoder().values()) or "(?!)")
 
         def plain(text):
             return slow.encode(text, add_special_tokens=False).ids
@@ -65,7 +66,7 @@ def _encoder(path: str, ranks: str | None):
             fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
 
             def encode(text):
-                return plain(text) if STABLE.search(text) else fast(text)
+                return plain(text) if UNSTABLE.search(text) or special.search(text) else fast(text)
 
         _encoders[path, ranks] = encode
     return _encoders[path, ranks]
@@ -194,16 +195,20 @@ def fillings(counts: dict[int, int], order: list[int], gap: int, want: int, step
     return [f for _, f in found]
 
 
-def bin_completion(counts: dict[int, int], size: int, fill_steps: int = FILL_STEPS, branchings: int = BRANCHINGS) -> list[Pattern]:
-    """The packing as patterns with their numbers of use."""
+def lower_bound(counts: dict[int, int], size: int) -> int:
+    """Sequences that any packing needs: for the total length, and for pieces of which no two share one."""
+    return max(-(-sum(k * v for k, v in counts.items()) // size), sum(v for k, v in counts.items() if 2 * k > size))
+
+
+def bin_completion(counts: dict[int, int], size: int, fill_steps: int = FILL_STEPS, branchings: int = BRANCHINGS, want: int = FILLINGS) -> list[Pattern]:
+    """The packing as patterns with their numbers of use; proven least if it uses :func:`lower_bound` sequences."""
     counts = {k: v for k, v in counts.items() if v > 0}
     if any(not 0 < k <= size for k in counts):
         raise ValueError("lengths are from 1 to size")
     incumbent = best_fit(counts, size)
     best = sum(t for _, t in incumbent)
-    total = sum(k * v for k, v in counts.items())
-    least = max(-(-total // size), sum(v for k, v in counts.items() if 2 * k > size))
-    left, rest, bins = dict(counts), total, 0
+    least = lower_bound(counts, size)
+    left, rest, bins = dict(counts), sum(k * v for k, v in counts.items()), 0
     order = sorted(left)
     path: list[tuple[Pattern, list]] = []
 
@@ -229,7 +234,7 @@ def bin_completion(counts: dict[int, int], size: int, fill_steps: int = FILL_STE
             left[x] -= 1
             if left[x] == 0:
                 order.pop()
-            fills = fillings(left, order, size - x, 3, fill_steps) or [()]
+            fills = fillings(left, order, size - x, want, fill_steps) or [()]
             if left[x] == 0:
                 order.append(x)
             left[x] += 1
@@ -250,7 +255,7 @@ def bin_completion(counts: dict[int, int], size: int, fill_steps: int = FILL_STE
 
 
 def pack(docs: DataFrame, size: int = SIZE, tokenizer=None, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece of every row of ``docs`` in its place."""
+    """(key, piece, start, length, ids_crc32, sequence_id, offset, least_sequences[, ids]): every piece of every row of ``docs`` in its place."""
     spark = docs.sparkSession
     pieces = stored(tokenised(docs, size, tokenizer, key, with_ids))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
@@ -270,7 +275,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer=None, key: str = "doc_id",
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece")) - 1
     ranked = dealt.withColumn("rank", rank).join(before, (F.col("length") == F.col("b_length")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("rank") + F.col("before"))
     out = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))
+    return out.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("sequence_id"), "offset", F.lit(lower_bound(counts, size)).cast("bigint").alias("least_sequences"), *(["ids"] if with_ids else []))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

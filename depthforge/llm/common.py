@@ -62,6 +62,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores in front until none of ``columns`` is like one of them."""
+    taken = {c.lower() for c in columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-space characters of ``text``; null text: empty."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACES}]+|[{SPACES}]+$", "")

@@ -5,11 +5,14 @@ item's windows are its runs of 13 consecutive words; an item with fewer words is
 word inside any occurrence of a window is hit.
 
 The test windows travel to the executors as a broadcast set.  Its size is checked: items are dealt into
-blocks of at most ``block_words`` words and each block is broadcast and scanned by itself, so that the
-memory of a task doesn't grow with the benchmark.  Documents are never shuffled.
-
-Null texts have no words; null item texts have no windows; a null item_id is skipped.  Repeated items keep
-their own ids.  Further columns of either table are kept or ignored, also where their names clash.
+blocks of at most ``block_words`` words (longer items are cut), each block is broadcast by itself, and a task
+holds one at a time, so that its memory doesn't grow with the benchmark.  A row's result doesn't depend on the
+blocks.  Documents are never shuffled.
+
+Null and empty texts have no words and no hits; null item texts have no windows; a null item_id is skipped.
+Repeated items keep their own ids, repeated rows and ties are judged row by row, null keys stay.  Very long texts
+are scanned whole.  Without benchmark items nothing is hit; an empty table gives an empty result.  Further columns
+of the documents are kept, those of the benchmark ignored, also where their names clash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import table, text_batches
+from depthforge.llm.common import fresh, table, text_batches
 
 WINDOW = 13
 #: Words of benchmark text per broadcast block (some 100 MB of Python objects).
@@ -96,115 +99,107 @@ class Scanner:
         return mask, items
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """Blocks of (item id as text, text), each of about block_words words at most (one item at least)."""
-    block, n = [], 0
+def _blocks(benchmark: DataFrame, block_words: int, window: int):
+    """Blocks of (item id as text, words as text), each of about block_words words; longer items are cut into parts that share a window less a word."""
+    block, n, most = [], 0, max(block_words, window)
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null").toLocalIterator():
-        size = len(normal_words(row.t))
-        if block and n + size > block_words:
-            yield block
-            block, n = [], 0
-        block.append((row.i, row.t))
-        n += size
+        every = normal_words(row.t)
+        for a in range(0, max(1, len(every) - window + 1), most):
+            part = every[a : a + most + window - 1]
+            if block and n + len(part) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((row.i, b" ".join(part)))
+            n += len(part)
     yield block
 
 
-SPAN_SCHEMA = "n_words bigint, hits array<int>, items array<string>"
-
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text: str, added: list[str], cut: bool = False) -> DataFrame:
+    """``docs`` with columns named as ``added``: the number of words, hits (start, end pairs of runs of hit words, flattened) and items; ``cut``: without the hit runs in its texts.
 
-def _scan(df: DataFrame, sets, keys: list[str]) -> DataFrame:
-    """Adds n_words, hits (start, end pairs of hit word runs) and items to the key columns."""
-    value = df.sparkSession.sparkContext.broadcast(sets)
-    wanted = df.select(*keys, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name != "text")
+    A task scans each batch of rows for one block of windows after another, and holds one block at a time if
+    there are several.  Rows stay where they are.
+    """
+    values = [docs.sparkSession.sparkContext.broadcast(window_sets(b, window)) for b in _blocks(benchmark, block_words, window)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index(text)
+    large = docs.schema[text].dataType.simpleString() != "string"
 
     def run(batches):
-        scanner = Scanner(*value.value)
+        scanner = Scanner(*values[0].value) if len(values) == 1 else None
         for batch in batches:
-            n_words, hits, items = [], [], []
-            for text in batch.column("text").cast(pa.binary()):
-                found = normal_words(text.as_py())
-                mask, got = scanner.hits(found)
-                n_words.append(len(found))
-                items.append(sorted(got))
-                if mask is None:
-                    hits.append([])
-                else:
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    hits.append(edge.astype(np.int32).tolist())
+            raws = [t.as_py() for t in batch.column(at).cast(pa.string()).cast(pa.binary())]
+            masks: list[np.ndarray | None] = [None] * len(raws)
+            items: list[set] = [set() for _ in raws]
+            n_words = [0] * len(raws)
+            for value in values:
+                own = scanner or Scanner(*value.value)
+                for i, raw in enumerate(raws):
+                    found = normal_words(raw)
+                    mask, got = own.hits(found)
+                    n_words[i] = len(found)
+                    items[i] |= got
+                    if mask is not None:
+                        masks[i] = mask if masks[i] is None else masks[i] | mask
+                if not scanner:
+                    value.__dict__.pop("_value", None)  # read again for the next batch
+            hits = [[] if m is None else np.flatnonzero(np.diff(np.concatenate(([0], m.view(np.int8), [0])))).astype(np.int32).tolist() for m in masks]
+            columns = list(batch.columns)
+            if cut:
+                columns[at] = pa.array([None if r is None else remove_spans(r, h) if h else r.decode() for r, h in zip(raws, hits, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=[*keys, "n_words", "hits", "items"],
+                [*columns, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                names=[*batch.schema.names, *added],
             )
 
-    return text_batches(wanted).mapInArrow(run, f"{schema}, {SPAN_SCHEMA}")
+    if large:
+        docs = docs.withColumn(text, F.col(text).cast("string"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return text_batches(docs).mapInArrow(run, f"{schema}, " + ", ".join(f"`{a}` {t}" for a, t in zip(added, ("bigint", "array<int>", "array<string>"), strict=True)))
 
 
-def _merge(hits: list[int]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(zip(hits[::2], hits[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, hits, items) for every row of ``docs``; hits are [start, end) pairs of word positions, flattened.  One pass, no shuffle."""
+    slim = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
+    return _scan(slim, benchmark, window, block_words, "text", ["n_words", "hits", "items"])[[key, "n_words", "hits", "items"]]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, hits, items) for every row of ``docs``; hits are [start, end) pairs of word positions, flattened.
+def _n_hit(hits: str) -> F.Column:
+    """Words in the [start, end) pairs of an array."""
+    return F.aggregate(hits, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("sign")), lambda s, x: F.struct((s.n + s.sign * x).alias("n"), (-s.sign).alias("sign")), lambda s: s.n)
 
-    One block of windows, the usual case, needs one pass and no shuffle; more blocks are scanned one by
-    one and merged by key, which then must be unique.
-    """
-    parts = [_scan(docs, window_sets(b, window), [key]) for b in _blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+def _contaminated(n_hit: F.Column, n_words: str) -> F.Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col(n_words))
 
 
 def decide(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The digest columns: n_hit, n_items, items_sha256 and contaminated (at least 1 word in 20 is hit)."""
-    span = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.struct(F.get(F.col("hits"), i).alias("a"), F.get(F.col("hits"), i + 1).alias("b")))
-    spans = F.when(F.size("hits") > 0, F.array_sort(span)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
-        lambda s, x: F.struct((s.n + F.greatest(x.b - F.greatest(x.a, s.end), F.lit(0))).alias("n"), F.greatest(s.end, x.b).alias("end")),
-    )
     return found.select(
-        key, "n_words", merged.n.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        key, "n_words", _n_hit("hits").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items",
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    ).withColumn("contaminated", _contaminated(F.col("n_hit"), "n_words"))
 
 
-def remove_spans(text: str, hits: list[int]) -> str:
-    """``text`` without the characters from each hit run's first word to its last."""
-    raw = text.encode()
+def remove_spans(raw: bytes, hits: list[int]) -> str:
+    """A text without the characters from each hit run's first word to its last."""
     places = [m.span() for m in WORD.finditer(raw.translate(LOWER))]
     out, at = [], 0
-    for a, b in zip(*[iter(_merge(hits))] * 2, strict=True):
+    for a, b in zip(*[iter(hits)] * 2, strict=True):
         out.append(raw[at : places[a][0]])
         at = places[b - 1][1]
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", window: int = WINDOW, block_words: int = BLOCK_WORDS, key: str = "doc_id") -> DataFrame:
-    """``docs`` without contaminated documents (mode "document") or with the hit spans cut out of the texts ("span").
-
-    ``key`` must be unique and not null.
-    """
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
+    """``docs`` without contaminated rows (mode "document") or with the hit spans cut out of the texts ("span").  Each row is judged by itself; keys aren't looked at."""
     if mode not in ("document", "span"):
         raise ValueError("mode is document or span")
-    found = find_contamination(docs, benchmark, window, block_words, key)
+    added = fresh(docs.columns, "_n_words", "_hits", "_items")
+    found = _scan(docs, benchmark, window, block_words, text, added, mode == "span")
     if mode == "document":
-        bad = decide(found, key).where("contaminated").select(key)
-        return docs.join(bad, key, "left_anti")
-    cut = F.udf(lambda t, h: remove_spans(t, h) if t and h else t, "string")
-    hit = found.where(F.size("hits") > 0).select(key, F.col("hits").alias("_hits"))
-    return docs.join(hit, key, "left").withColumn("text", F.when(F.col("_hits").isNotNull(), cut("text", "_hits")).otherwise(F.col("text"))).drop("_hits").select(docs.columns)
+        found = found.where(~_contaminated(_n_hit(added[1]), added[0]))
+    return found.select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ Lines with a word are normalised and hashed.  Per host, pages holding a line are
 lines above ``ratio`` on at least ``least`` pages are boilerplate and dropped from every page of the host.
 
 Counts are pre-aggregated per (host, line) before the shuffle, so a host with a third of all pages is dealt
-over its lines.  A host can't have more than (distinct lines of its average page) / ratio lines above the
-ratio, but hosts are many, so nothing is broadcast by hand: pages' line hashes are joined with the dropped
-lines, and only the numbers of the lines to drop return to the texts.
-
-Null and empty texts have no lines and stay as they are; null hosts are one host; lines without a word are
-kept.  Ties at the ratio are kept.  ``key`` must be unique and not null; further columns stay, also where
-they are named like columns used here.
+over its lines and a line on a third of all pages is one count per task.  The dropped lines go to the pages: as a
+broadcast if they are ``BROADCAST_LINES`` at most, else joined with salt, so that their occurrences, which are the
+frequent ones, don't meet in one task.  Only the numbers of the lines to drop return to the texts.
+
+Null and empty texts have no lines and stay as they are; null hosts are one host; lines without a word are kept.
+Ties at the ratio are kept.  Rows repeated under one key count as one page, each row loses its own lines; rows with a
+null key are no pages, but lose lines too.  Very long texts take time in proportion to their length.  An empty table
+gives an empty result.  Further columns stay, also where they are named like columns used here.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import SPACES, let, table
+from depthforge.llm.common import SPACES, let, stored, table
 from depthforge.llm.quality import normal_line
 
 #: A line on more than this share of a host's pages goes...
@@ -29,37 +30,73 @@ LEAST = 3
 SQL_LEAST = 10
 
 
+#: Lines that are broadcast at most: two longs each.
+BROADCAST_LINES = 500_000
+SALTS = 16
+
+
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(host, line, n_pages, n_host): hashes of lines above the ratio."""
-    slim = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    worded = F.filter(_lines(F.col("text")), lambda x: x.rlike(f"[^{SPACES}]"))
-    own = F.array_distinct(F.transform(worded, lambda x: F.xxhash64(normal_line(x))))
-    counts = slim.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least)
-    totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+def hashed_lines(text):
+    """(line, i, n_words) of the lines with a word: hash of the normal line, its number and words."""
+    one = lambda x, i: let(normal_line(x), lambda y: F.struct(F.when(y != "", F.xxhash64(y)).alias("line"), i.alias("i"), F.size(F.split(y, " ")).alias("n_words")))
+    return F.filter(F.transform(_lines(text), one), lambda s: s.line.isNotNull())
+
+
+def _host(host: str):
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def boilerplate(pages: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """(host, line, n_pages, n_host): hashes of lines above the ratio; pages are distinct keys."""
+    slim = pages.select(F.col(key).alias("key"), _host(host).alias("host"), F.col(text).alias("text")).where("key is not null")
+    each = slim.select("key", "host", F.explode(F.array_distinct(F.transform(hashed_lines(F.col("text")), lambda s: s.line))).alias("line"))
+    once = slim.select("key", "host")
+    if once.groupBy("key").count().where("count > 1").limit(1).count():
+        each, once = each.distinct(), once.distinct()
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least)
+    totals = once.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     return counts.join(totals, "host").where(F.col("n_pages") > ratio * F.col("n_host"))
 
 
+def meet(each: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``each`` whose (host, line) is in ``gone``, a written table without repeats."""
+    if gone.count() <= BROADCAST_LINES:
+        return each.join(F.broadcast(gone), ["host", "line"])
+    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"]).drop("salt")
+
+
+def row_id(key: str, host: str, text: str):
+    """What tells a page's row from others; rows alike in it lose the same lines."""
+    return F.struct(F.col(key).alias("key"), _host(host).alias("host"), F.xxhash64(F.col(text)).alias("h"))
+
+
+def without_lines(lines, drops):
+    """``lines`` without those numbered in the sorted array ``drops``: the slices between them."""
+
+    def kept(d):
+        bounds = F.concat(F.array(F.lit(-1)), d, F.array(F.size(lines)))
+        return let(bounds, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(d)), lambda j: F.slice(lines, F.get(b, j) + 2, F.get(b, j + 1) - F.get(b, j) - 1))))
+
+    return let(drops, kept)
+
+
 def drop_lines(pages: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``pages`` with boilerplate lines cut out of ``text``, and n_lines and n_dropped added."""
-    slim = pages.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    at = F.filter(
-        F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.when(x.rlike(f"[^{SPACES}]"), F.xxhash64(normal_line(x))).alias("line"), i.alias("i"))),
-        lambda s: s.line.isNotNull(),
-    )
-    each = slim.select("key", "host", F.explode(at).alias("x")).select("key", "host", "x.line", "x.i")
-    gone = boilerplate(slim, "host", "text", ratio, least).select("host", "line")
-    drops = each.join(gone, ["host", "line"]).groupBy("key").agg(F.collect_list("i").alias("_drops")).withColumnRenamed("key", "_key")
-    out = pages.join(drops, pages[key] == F.col("_key"), "left")
-    none = F.array().cast("array<int>")
-    drop = F.coalesce("_drops", none)
-    kept = let(drop, lambda d: F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains(d, i)), "\n"))
+    slim = pages.select(row_id(key, host, text).alias("row"), _host(host).alias("host"), F.col(text).alias("text"))
+    each = slim.select("row", "host", F.explode(hashed_lines(F.col("text"))).alias("x")).select("row", "host", "x.line", "x.i")
+    gone = stored(boilerplate(pages, key, host, text, ratio, least).select("host", "line"))
+    drops = meet(each, gone).groupBy("row").agg(F.sort_array(F.collect_set("i")).alias("_drops")).select(F.col("row").alias("_row"), "_drops")
+    packed = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("_page"), row_id(key, host, text).alias("_own"))  # so that no name clashes
+    out = packed.join(drops, F.col("_own").eqNullSafe(F.col("_row")), "left")
+    own = F.col("_page")[text]
+    kept = F.array_join(let(_lines(own), lambda ls: without_lines(ls, F.col("_drops"))), "\n")
     return out.select(
-        *(F.when(F.col("_drops").isNotNull(), kept).otherwise(pages[c]).alias(c) if c == text else pages[c] for c in pages.columns if c not in ("n_lines", "n_dropped")),
-        F.size(_lines(pages[text])).cast("bigint").alias("n_lines"), F.size(drop).cast("bigint").alias("n_dropped"),
+        *(F.when(F.col("_drops").isNotNull(), kept).otherwise(own).alias(c) if c == text else F.col("_page")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")),
+        F.size(_lines(own)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 

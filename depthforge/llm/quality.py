@@ -7,11 +7,13 @@ less than ``keep_share`` of its words is rejected as depleted.
 
 Only built-in functions run.  Per-document counts need no shuffle.  Line counts are pre-aggregated before
 they meet by (host, line hash), so a host with a third of all rows is spread over its lines; a line that
-fills a third of all rows is one count per task, and where it is joined back adaptive skew handling may
-split it.
+fills a third of all rows is one count per task, and frequent lines return to the documents as a broadcast of
+checked size or salted (:mod:`depthforge.llm.lines`).
 
-Null and empty texts have no words and fail the base rule.  Null hosts count as one host.  ``key`` must be
-unique; repeated rows of a key are judged together by their line counts.
+Null and empty texts have no words and fail the base rule.  Null hosts count as one host.  Rows repeated under one
+key count as one document, each row is judged by its own text; rows with a null key are judged, but count as no
+document.  Ties: a line in exactly ``limit`` documents stays.  Very long texts are read whole.  An empty table gives
+an empty result.  Only key, host and text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import SPACES, let, table, words
+from depthforge.llm.common import SPACES, let, stored, table, words
 
 #: A line in more documents of one host than this is boilerplate.
 LIMIT = 50
@@ -82,37 +84,24 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), f"[{SPACES}]+", " "))
 
 
-def line_counts(docs: DataFrame, key: str, host: str, text: str = "text") -> DataFrame:
-    """(key, host, line, n, n_words): each document's distinct normalised lines with a word, hashed, how often each occurs and its words."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(f"[^{SPACES}]"))
-    hashed = F.transform(lines, lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n_words"))))
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(hashed).alias("x")).select("key", "host", "x.line", "x.n_words")
-
-
-def frequent_lines(docs: DataFrame, key: str, host: str, limit: int = LIMIT, text: str = "text") -> DataFrame:
-    """(host, line): normalised lines in more than ``limit`` distinct documents of a host."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(f"[^{SPACES}]"))
-    own = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normal_line(x))))
-    each = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(own).alias("line"))
-    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
-
-
 def cut_frequent(docs: DataFrame, key: str = "doc_id", host: str = "source", limit: int = LIMIT, text: str = "text") -> DataFrame:
-    """``docs`` without the lines of :func:`frequent_lines` in ``text``, and n_lines and n_dropped added."""
+    """``docs`` without the lines that are in more than ``limit`` documents of their host, and n_lines and n_dropped added."""
     from depthforge.llm.lines import drop_lines  # which imports this module
 
     return drop_lines(docs, key, host, text, ratio=0.0, least=limit + 1)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", limit: int = LIMIT, keep_share: float = KEEP_SHARE, text: str = "text") -> DataFrame:
-    """(key, the rules' columns, n_boilerplate_words, kept) per document."""
-    slim = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
-    measured = rules(slim).drop("text", "host")
-    frequent = frequent_lines(slim, "key", "host", limit)
-    lost = line_counts(slim, "key", "host").join(frequent, ["host", "line"]).groupBy("key").agg(F.sum("n_words").alias("lost"))
-    out = measured.join(lost, "key", "left").withColumn("n_boilerplate_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
+    """(key, the rules' columns, n_boilerplate_words, kept) per row."""
+    from depthforge.llm.lines import boilerplate, hashed_lines, meet, row_id
+
+    slim = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
+    gone = stored(boilerplate(slim, "key", "host", "text", 0.0, limit + 1).select("host", "line"))
+    each = slim.select(row_id("key", "host", "text").alias("row"), "host", F.explode(hashed_lines(F.col("text"))).alias("x")).select("row", "host", "x.line", "x.i", "x.n_words")
+    each = meet(each, gone).groupBy("row", "i").agg(F.first("n_words").alias("n_words"))  # rows alike count once
+    lost = each.groupBy("row").agg(F.sum("n_words").alias("lost")).withColumnRenamed("row", "_row")
+    measured = rules(slim.withColumn("_own", row_id("key", "host", "text"))).drop("text", "host")
+    out = measured.join(lost, F.col("_own").eqNullSafe(F.col("_row")), "left").withColumn("n_boilerplate_words", F.coalesce("lost", F.lit(0)).cast("bigint"))
     depleted = F.col("n_words") - F.col("n_boilerplate_words") < keep_share * F.col("n_words")
     return out.select(F.col("key").alias(key), *RULES, "n_boilerplate_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 

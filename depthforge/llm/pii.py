@@ -5,9 +5,11 @@ Only built-in functions run; each expression sees the whole text.  Positions are
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches of their expression that pass a
 validator; their spans always stay.  Further kinds: ``iban`` (mod-97), ``key`` (a hexadecimal secret after an
 assignment).  Each span has a score: the kind's prior, plus ``CONTEXT_GAIN`` where one of the kind's context
-words stands within ``CONTEXT_CHARS`` characters before it; further kinds need ``threshold``.
+words, as a whole word, stands within ``CONTEXT_CHARS`` characters before it; further kinds need ``threshold``.
 
-Null and empty texts have no spans.  Repeated rows are judged one by one.
+Null and empty texts have no spans.  Repeated rows are judged one by one; ties in start are ordered by kind as listed
+in ``KINDS``.  Very long texts take time in proportion to their length.  An empty table gives an empty result; null
+keys stay.  Further columns stay; one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import let, table
+from depthforge.llm.common import fresh, let, table
 
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.3
@@ -24,12 +26,12 @@ THRESHOLD = 0.5
 #: kind: (expression, prior, context words).  Possessive quantifiers and the guards in front give the same
 #: leftmost matches as the plain expressions, in linear time and without recursion on long runs.
 KINDS = {
-    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, ("mail", "contact", "write")),
+    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, ("mail", "email", "e-mail", "contact", "write")),
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.6, ("ip", "host", "server", "address")),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.7, ("card", "credit", "visa", "debit", "payment")),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, ("phone", "tel", "call", "mobile", "fax")),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, ("phone", "telephone", "tel", "call", "mobile", "fax")),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.7, ("iban", "account", "bank", "konto", "compte")),
-    "key": (r"(?<![0-9A-Fa-f])[0-9a-f]{32,64}(?![0-9A-Fa-f])", 0.3, ("token", "key", "secret", "password")),
+    "key": (r"(?<![0-9A-Fa-f])[0-9a-f]{32,64}(?![0-9A-Fa-f])", 0.3, ("token", "key", "api_key", "apikey", "access_key", "secret", "secret_key", "password")),
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must contain for a kind's expression to be worth running.
@@ -70,59 +72,81 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<start:int,ord:int,kind:string,end:int,match:string>"
+SPAN = "struct<start:int,ord:int,kind:string,end:int,match:string,score:double>"
+#: Matches placed one after another before their places are added up.
+CHUNK = 256
 
 
 def _proposed(kind: str, text: Column) -> Column:
-    """Valid matches of one kind: the texts between matches and the matches give the positions."""
+    """Valid matches of one kind: the texts between matches and the matches give the positions.
+
+    Places are summed within chunks of matches and then over chunks, so that no array grows by one match at a time.
+    """
     expr = KINDS[kind][0]
     order = list(KINDS).index(kind)
+    none = F.array().cast(f"array<{SPAN}>")
 
     def located(both):
         matches, gaps = both.m, both.g
-        step = lambda s, i: let(
-            F.struct((s.at + F.length(F.get(gaps, i))).alias("start"), F.get(matches, i).alias("match")),
-            lambda x: F.struct(
-                (x.start + F.length(x.match)).alias("at"),
-                F.concat(s.out, F.array(F.struct(x.start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (x.start + F.length(x.match)).alias("end"), x.match.alias("match")))).alias("out"),
-            ),
-        )
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-        spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s.out)
-        return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+        def before(i):
+            # a match and the gap after it have 3 characters at least, so these are enough
+            some = F.transform(F.sequence(F.greatest(i - CONTEXT_CHARS // 3 - 1, F.lit(0)), i), lambda j: F.concat(F.right(F.get(gaps, j), F.lit(CONTEXT_CHARS)), F.when(j < i, F.get(matches, j)).otherwise("")))
+            return F.lower(F.right(F.array_join(some, ""), F.lit(CONTEXT_CHARS)))
+
+        def step(s, i):
+            start = s.at + F.length(F.get(gaps, i))
+
+            def found(m):
+                span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("match"), _score(kind, before(i)).alias("score"))
+                return F.struct((start + F.length(m)).alias("at"), F.when(_valid(kind, m), F.concat(s.out, F.array(span))).otherwise(s.out).alias("out"))
+
+            return let(F.get(matches, i), found)
+
+        def chunk(lo):
+            return F.aggregate(F.sequence(lo, F.least(lo + CHUNK, F.size(matches)) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+        def shifted(s, c):
+            out = F.transform(c.out, lambda x: F.struct((x.start + s.at).alias("start"), x.ord.alias("ord"), x.kind.alias("kind"), (x.end + s.at).alias("end"), x.match.alias("match"), x.score.alias("score")))
+            return F.struct((s.at + c.at).alias("at"), F.concat(s.out, F.array(out)).alias("out"))
+
+        chunks = F.transform(F.sequence(F.lit(0), F.size(matches) - 1, F.lit(CHUNK)), chunk)
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.when(F.size(matches) > 0, F.flatten(F.aggregate(chunks, first, shifted, lambda s: s.out))).otherwise(none)
 
     both = F.struct(F.regexp_extract_all(text, F.lit(expr), F.lit(0)).alias("m"), F.split(text, expr, -1).alias("g"))
-    found = F.filter(let(both, located), lambda s: _valid(kind, s.match))
-    return F.when(text.rlike(SIGNS[kind]), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(SIGNS[kind]), let(both, located)).otherwise(none)
 
 
-def _scored(text: Column, span: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(span.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span.start, F.lit(CONTEXT_CHARS))))
-    prior, near = F.lit(0.0), F.lit(False)
-    for kind, (_, p, context) in KINDS.items():
-        prior = F.when(span.kind == kind, p).otherwise(prior)
-        near = F.when(span.kind == kind, before.rlike("|".join(context))).otherwise(near)
-    score = F.least(F.lit(1.0), prior + F.when(near, CONTEXT_GAIN).otherwise(0.0))
-    return F.struct(span.start.alias("start"), span.ord.alias("ord"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), score.alias("score"))
+def _score(kind: str, before: Column) -> Column:
+    """The kind's prior, more if one of its context words is in the text before a match."""
+    _, prior, context = KINDS[kind]
+    near = before.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(context)})(?![\p{{L}}\p{{N}}])")
+    return F.when(near, min(1.0, prior + CONTEXT_GAIN)).otherwise(prior)
 
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, out: str = "pii_spans") -> DataFrame:
     """``docs`` with an array of (start, ord, kind, end, match, score), by start and then kind as listed in KINDS."""
     value = F.coalesce(F.col(text), F.lit(""))
     proposed = docs.withColumn(out, F.concat(*(_proposed(k, value) for k in KINDS)))
-    scored = F.transform(out, lambda s: _scored(value, s))
-    kept = F.filter(scored, lambda s: s.kind.isin(*BASE) | (s.score >= threshold))
-    return proposed.withColumn(out, F.when(F.size(out) > 0, F.array_sort(kept)).otherwise(F.array().cast(f"array<{SPAN[:-1]},score:double>>")))
+    kept = F.filter(out, lambda s: s.kind.isin(*BASE) | (s.score >= threshold))
+    return proposed.withColumn(out, F.when(F.size(out) > 0, F.array_sort(kept)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; of overlapping spans the first is named."""
-    found = find_pii(docs, text, threshold, "_pii")
-    step = lambda s, x: F.when(x.start < s.at, F.struct(F.greatest(s.at, x.end).alias("at"), s.out.alias("out"))).otherwise(
-        F.struct(x.end.alias("at"), F.concat(s.out, F.substring(F.col(text), s.at + 1, x.start - s.at), F.lit("<"), x.kind, F.lit(">")).alias("out"))
-    )
-    new = F.aggregate("_pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s.out, F.substring(F.col(text), s.at + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("_pii") > 0, new).otherwise(F.col(text))).drop("_pii")
+    (pii,) = fresh(docs.columns, "_pii")
+    found = find_pii(docs, text, threshold, pii)
+
+    def new(chars):
+        piece = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+        step = lambda s, x: F.when(x.start < s.at, F.struct(F.greatest(s.at, x.end).alias("at"), s.out.alias("out"))).otherwise(
+            F.struct(x.end.alias("at"), F.concat(s.out, F.array(piece(s.at, x.start), F.concat(F.lit("<"), x.kind, F.lit(">")))).alias("out"))
+        )
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(pii, first, step, lambda s: F.array_join(F.concat(s.out, F.array(piece(s.at, F.size(chars)))), ""))
+
+    return found.withColumn(text, F.when(F.size(pii) > 0, let(F.split(F.col(text), ""), new)).otherwise(F.col(text))).drop(pii)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,19 @@ lines, and further clauses may follow, so licence texts and headers count as wel
 it is one projection of built-in functions: no shuffle, no state, and a hot source or group of copies makes no
 difference.
 
-Null and empty texts have no sentences and no licence.  A sentence known to several rules serves them all.
-Further columns stay.
+Rules are ordered, and an earlier one wins over those that need nothing beyond its sentences: a text with the three
+clauses of BSD-3 isn't BSD-2 as well.
+
+Null and empty texts have no sentences and no licence.  A sentence known to several rules serves them all; of known
+sentences with the same start the longest counts.  Repeated rows are judged one by one, null keys stay.  Very long
+texts take time in proportion to their length.  An empty table gives an empty result.  Further columns stay; those
+named as the results are replaced.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +50,15 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 
-_GPL = "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FREE = "* is free software you can redistribute it and or modify it under the terms of the gnu"
+_GPL = f"{_FREE} general public license"
+
+
+def _versions(license: str, name: str, numbers: tuple[str, ...]) -> dict[str, str]:
+    """The sentence that grants ``license`` in each of its versions."""
+    forms = ("as published by the free software foundation either version {} of the license", "as published by the free software foundation version {} of the license", "version {} as published by the free software foundation")
+    return {f"{_FREE} {license} {form.format(n)}": f"{name}{n.replace(' ', '')}-work" for n in numbers for form in forms}
+
 
 #: Normalised licence sentences and their identifiers; * is any few words.
 SENTENCES = NOTICES | {
@@ -55,15 +68,19 @@ SENTENCES = NOTICES | {
     "gnu general public license version 2 june 1991": "gpl2-work",
     "gnu general public license version 3 29 june 2007": "gpl3-work",
     _GPL: "gpl-free",
-    **{f"{_GPL} {version}": f"gpl{n}-work" for n in (2, 3) for version in (
-        f"as published by the free software foundation either version {n} of the license",
-        f"as published by the free software foundation version {n} of the license",
-        f"version {n} as published by the free software foundation",
-    )},
+    **_versions("general public license", "gpl", ("2", "3")),
+    **_versions("lesser general public license", "lgpl", ("2 1", "3")),
+    **_versions("affero general public license", "agpl", ("3",)),
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-work",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-work",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-work",
+    "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-form",
+    "mozilla public license version 2 0": "mpl2-form",
     "* is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
 }
 
-#: (licence, identifiers that must follow one another, others may stand between), for the notices.
+#: (licence, identifiers that must follow one another, others may stand between), for the notices; earlier rules win.
 NOTICE_RULES = (
     ("Apache-2.0", ("apache2-short", "apache2-comply", "apache2-copy")),
     ("Apache-2.0", ("apache2-short",)),
@@ -78,7 +95,16 @@ NOTICE_RULES = (
     ("CC0-1.0", ("cc0",)),
     ("Proprietary", ("reserved",)),
 )
-RULES = (*NOTICE_RULES, ("GPL-2.0", ("gpl2-work",)))
+RULES = (
+    ("BSD-3-Clause", ("bsd-grant", "bsd-binary", "bsd-name")),
+    *NOTICE_RULES,
+    ("BSD-2-Clause", ("bsd-grant", "bsd-binary")),
+    ("GPL-2.0", ("gpl2-work",)),
+    ("LGPL-2.1", ("lgpl21-work",)),
+    ("LGPL-3.0", ("lgpl3-work",)),
+    ("AGPL-3.0", ("agpl3-work",)),
+    ("MPL-2.0", ("mpl2-form",)),
+)
 
 #: Ends of lines and sentences: line ends, or closing marks before a space.
 BREAK = r"[.!?;:](?<![.!?;:]{2})[.!?;:]*+(?:[ \t]*(?:\r?\n|\r)|(?=\s|$))|\r?\n|\r"
@@ -105,21 +131,38 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     return F.transform(found, lambda s: F.coalesce(*(F.when(s.rlike(f"^{p}$"), i) for p, i in known.items())))
 
 
+def _covered(rules) -> list[list[list[int]]]:
+    """For each rule and each of its identifiers that earlier rules have, the numbers of these; rules with an identifier of their own have an empty list among them."""
+    return [[[j for j in range(i) if x in rules[j][1]] for x in seq] for i, (_, seq) in enumerate(rules)]
+
+
 def match_rules(ids: Column, rules=RULES) -> Column:
-    """Sorted distinct licences whose rule's identifiers occur in order in ``ids``."""
+    """The licences, in the order of their rules, whose rule's identifiers occur in order in ``ids``.
+
+    An earlier rule wins: one whose identifiers all belong to earlier rules that hold says nothing new and doesn't count.
+    """
     line = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-    tests = [F.when(line.rlike("".join(f"(?: .*)? {i}(?= )" if k else f" {i}(?= )" for k, i in enumerate(seq))), name) for name, seq in rules]
-    return F.array_sort(F.array_distinct(F.filter(F.array(*tests), lambda x: x.isNotNull())))
+    counts: list[Column] = []
+    for (_, seq), taken in zip(rules, _covered(rules), strict=True):
+        holds = line.rlike("".join(f"(?: .*)? {i}(?= )" if k else f" {i}(?= )" for k, i in enumerate(seq)))
+        if all(taken):
+            holds = holds & ~reduce(and_, (reduce(or_, (counts[j] for j in js)) for js in taken))
+        counts.append(holds)
+    return F.array_distinct(F.filter(F.array(*(F.when(c, name) for c, (name, _) in zip(counts, rules, strict=True))), lambda x: x.isNotNull()))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """``docs`` with ``sentence_ids`` and ``licenses`` (arrays; empty where there is none)."""
-    return docs.withColumn("sentence_ids", sentence_ids(F.col(text), sentences)).withColumn("licenses", match_rules(F.col("sentence_ids"), rules))
+    """``docs`` with ``sentence_ids``, ``licenses`` (arrays; empty where there is none) and ``license``, the first of them."""
+    found = docs.withColumn("sentence_ids", sentence_ids(F.col(text), sentences)).withColumn("licenses", match_rules(F.col("sentence_ids"), rules))
+    return found.withColumn("license", F.get("licenses", 0))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"), F.coalesce("license", F.lit("")).alias("license"),
+    )
 
 
 def _sql() -> str:
@@ -133,7 +176,8 @@ k(s, id) AS (VALUES {known}),
 a AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM n JOIN k USING (s) GROUP BY doc_id),
 b AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, ' ' || replace(coalesce(ids, ''), ',', ' ') || ' ' AS line FROM documents d LEFT JOIN a USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, ids AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ',') AS licenses FROM b
+  array_to_string(list_filter(names, lambda x, i: x IS NOT NULL AND list_position(names, x) = i), ',') AS licenses,
+  coalesce(list_filter(names, lambda x: x IS NOT NULL)[1], '') AS license FROM (SELECT *, [{cases}] AS names FROM b)
 """
 
 

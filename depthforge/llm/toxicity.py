@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
-Training, on the driver, over a bounded sample of labelled documents (``SAMPLE`` per class, by hash order;
-rows whose crc32(doc_id as text) mod 4 is 2 are held out): words and word beginnings whose documents are
+Training, on the driver, over a bounded sample of labelled documents (``SAMPLE`` per class and ``SAMPLE_BYTES``, by
+hash order, of repeated rows of an id the least text; rows whose crc32(doc_id as text) mod 4 is 2 are held out): words and word beginnings whose documents are
 significantly more often toxic label tokens; a two-state chain (neutral, toxic) is fitted to windows around
 those tokens by gradient ascent on the conditional likelihood; document features from its marginals are
 calibrated by logistic regression.  Labels, language, source and ids are no inputs of a score.
@@ -12,7 +12,8 @@ of the neutral transfer matrix.  The model is bounded (``FEATURES`` weights) wha
 
 Null and empty texts get the score of a text without toxic tokens.  Conflicting labels of a document: toxic
 wins; null labels don't count.  Without labels of both classes every score is the base rate (0 without any).
-Repeated rows are scored one by one; only the key and the text are read.
+Repeated rows and rows with a null key are scored one by one; equal texts have equal scores.  Very long texts are
+scored whole.  An empty table gives an empty result.  Rejecting keeps further columns, also with clashing names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import table, text_batches
+from depthforge.llm.common import fresh, table, text_batches
 
 #: Labelled documents at most of each class in the training sample.
 SAMPLE = 2000
+#: Bytes of their texts at most; in hash order, whole texts, the first that doesn't fit ends the sample.
+SAMPLE_BYTES = 64_000_000
 #: Weights at most in a model.
 FEATURES = 20_000
 #: Likelihood ratio from which a feature labels tokens (about 1 chance finding in 10 million).
@@ -44,7 +47,7 @@ HELD_OUT = 2
 WORD = re.compile(rb"[0-9a-z\x80-\xFF]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 NEAR = 7  # tokens of a training window on either side
-STEPS = 256  # longest tabulated run of neutral tokens; past it the chain has forgotten
+STEPS = 256  # longest tabulated run of neutral tokens; longer ones are products of these
 
 
 def features(word: bytes) -> list[bytes]:
@@ -79,8 +82,21 @@ class Model:
             self.powers.append(p / p.sum())
         self.powers = [tuple(map(float, p.ravel())) for p in self.powers]
         self.step = m
+        self.long: dict[int, tuple[float, ...]] = {}
         self.cache: dict[bytes, float] = {}
 
+    def power(self, n: int) -> tuple[float, ...]:
+        """The neutral transfer matrix to the power of n, up to a factor."""
+        if n <= STEPS:
+            return self.powers[n]
+        if n not in self.long:
+            if len(self.long) > 100_000:
+                self.long.clear()
+            half = np.array(self.power(n // 2)).reshape(2, 2)
+            p = half @ half @ (self.step if n % 2 else np.eye(2))
+            self.long[n] = tuple(map(float, (p / p.sum()).ravel()))
+        return self.long[n]
+
     def emission(self, word: bytes) -> float:
         e = self.cache.get(word)
         if e is None:
@@ -95,26 +111,26 @@ class Model:
         at = [i for i, x in enumerate(e) if x]
         if not at:
             return []
-        n, powers, step = len(e), self.powers, self.step
+        n, power, step = len(e), self.power, self.step
         m00, m01, m10, m11 = step[0, 0], step[0, 1], step[1, 0], step[1, 1]
         forward, alpha0, alpha1, last = [], 1.0, math.exp(self.bias), 0
         for k, i in enumerate(at):
             gap = i - last if k or i else 0
-            p = powers[min(gap, STEPS)]
+            p = power(gap)
             a0, a1 = alpha0 * p[0] + alpha1 * p[2], alpha0 * p[1] + alpha1 * p[3]
             a1 *= math.exp(min(e[i], 50.0))
             z = a0 + a1
             alpha0, alpha1, last = a0 / z, a1 / z, i
             forward.append((alpha0, alpha1))
         out = []
-        p = powers[min(n - 1 - at[-1], STEPS)]
+        p = power(n - 1 - at[-1])
         beta0, beta1 = p[0] + p[1], p[2] + p[3]
         for k in range(len(at) - 1, -1, -1):
             a0, a1 = forward[k]
             x0, x1 = a0 * beta0, a1 * beta1
             out.append((at[k], x1 / (x0 + x1)))
             if k:
-                p = powers[min(at[k] - at[k - 1], STEPS)]
+                p = power(at[k] - at[k - 1])
                 g0, g1 = beta0, beta1 * math.exp(min(e[at[k]], 50.0))
                 beta0, beta1 = p[0] * g0 + p[1] * g1, p[2] * g0 + p[3] * g1
                 z = beta0 + beta1
@@ -232,7 +248,7 @@ def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.
     idx, gold, valid = [], [], []
     for d, y in zip(docs, toxic, strict=True):
         is_marked = [any(f in marks for f in features(w)) for w in d]
-        centres = [i for i, m in enumerate(is_marked) if m][:20]
+        centres = [i for i, m in enumerate(is_marked) if m]
         centres += [int(i) for i in rng.integers(0, len(d), 2)] if d else []
         for c in centres:
             row, lab, ok = np.zeros((t, per), np.int64), np.zeros(t, np.int64), np.zeros(t, bool)
@@ -257,7 +273,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key:
     some = [usable.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows at most
     texts = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text")).join(chosen, "k").groupBy("k").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    rows = [(r.text, r.y) for r in sorted(texts.collect(), key=lambda r: r.k)]
+    taken, size = [], 0
+    for r in texts.orderBy(F.xxhash64("k"), "k").toLocalIterator():
+        size += len(r.text or "")
+        if taken and size > SAMPLE_BYTES:
+            break
+        taken.append(r)
+    rows = [(r.text, r.y) for r in sorted(taken, key=lambda r: r.k)]
     have = Counter(y for _, y in rows)
     return rows, tuple(total.get(y, 0) / have[y] if have[y] else 1.0 for y in (0, 1))
 
@@ -266,10 +288,11 @@ def held_out(key) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == HELD_OUT
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted, toxic_spans): spans are [start, end) code point offsets of words likelier toxic than not, as "start:end" joined by commas."""
-    wanted = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    kind = wanted.schema["key"].dataType.simpleString()
+def scored(docs: DataFrame, model: Model, added: list[str], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """``docs`` with columns named as ``added``: score, 0 or 1 by ``threshold``, and toxic spans: [start, end) code point offsets of words likelier toxic than not, as "start:end" joined by commas."""
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index(text)
     value = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.trans, model.calibration))
 
     def spans(raw: bytes, marks) -> str:
@@ -288,28 +311,30 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         fitted = Model(*value.value)
         for batch in batches:
             scores, found = [], []
-            for text in batch.column("text").cast(pa.binary()):
-                raw = text.as_py() or b""
+            for t in batch.column(at).cast(pa.binary()):
+                raw = t.as_py() or b""
                 marks = fitted.marginals(tokens(raw))
                 scores.append(fitted.score(marks))
                 found.append(spans(raw, marks))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, pa.string())],
-                names=["key", "score", "predicted", "toxic_spans"],
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, pa.string())],
+                names=[*batch.schema.names, *added],
             )
 
-    return text_batches(wanted).mapInArrow(run, f"key {kind}, score double, predicted int, toxic_spans string").withColumnRenamed("key", key)
+    return text_batches(docs).mapInArrow(run, f"{schema}, `{added[0]}` double, `{added[1]}` int, `{added[2]}` string")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Train on ``labels`` of ``docs`` and score every row of ``docs``."""
-    return score_documents(docs, train(*training_rows(docs, labels, sample)), threshold)
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """Train on ``labels`` of ``docs`` and score every row of ``docs``: (key, score, predicted, toxic_spans)."""
+    slim = docs.select(F.col(key), F.col("text").cast("string").alias("text"))
+    added = ["score", "predicted", "toxic_spans"]
+    return scored(slim, train(*training_rows(docs, labels, sample, key)), added, threshold)[[key, *added]]
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose documents score below ``threshold``; ``doc_id`` null: kept."""
-    bad = toxicity(docs, labels, sample, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, each judged by its own text; nothing is joined or shuffled."""
+    added = fresh(docs.columns, "_score", "_predicted", "_spans")
+    return scored(docs, train(*training_rows(docs, labels, sample, key)), added, threshold).where(F.col(added[1]) == 0).select(docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ from depthforge.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of ``edges`` (u, v), the smallest node it can reach.
 
-    Each round takes the smallest label among a node's neighbours (pre-aggregated, so a node with a third of
-    all edges is a partial minimum per task) and then the label's own label; rounds are written to the
-    shared folder.  An empty table has no components.
+    Each round takes the smallest label among a node's neighbours, a partial minimum per task, and then the label's
+    own label; rounds are written to the shared folder.  A node with very many neighbours is one key of the join that
+    brings its label to them; adaptive skew handling splits that key's rows, its label being one row on the other
+    side.  An empty table has no components; edges with a null end and loops are left out.
     """
     links = stored(edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))

@@ -13,8 +13,10 @@ alone fill the front of the order and link nothing, so only documents that share
 
 Shingles travel as compressed columns; copies within a batch don't travel.  Components come from
 :mod:`depthforge.llm.components`.  Null and empty texts have no shingles and no links; texts of 1 to 4 words have
-one.  Keys are bigint and not null (rows with a null key are left out); rows repeated under one key are one
-document whose sets are all joined.
+one.  Keys are bigint; a row with a null key is linked with nothing and its component_id is null.  Rows repeated
+under one key are one document whose sets are all joined, and each row has its own n_shingles.  Ties go to the
+smaller key.  Very long texts are shingled whole.  An empty table gives an empty result.  Only the key and the text
+are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -219,8 +221,9 @@ def _open(members: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[Data
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(key, n_shingles, component_id) per row of ``docs`` with a key: the smallest document linked to it by similarities of 3/4 or more."""
-    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
+    """(key, n_shingles, component_id) per row of ``docs``: the smallest document linked to it by similarities of 3/4 or more."""
+    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    every, slim = slim, slim.where("key is not null")
     found = shared_shingles(slim, shingle)
     documents = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("owner"), "n")
     same = documents.where("key <> owner").select(F.col("key").alias("u"), F.col("owner").alias("v"))
@@ -259,7 +262,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     more = stored(_verified(late, slim, shingle))
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
-    return own.join(final.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    found = own.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
+    alone = _counted(every.where("key is null"), shingle)
+    return found.unionByName(alone.select("key", "n", F.lit(None).cast("bigint").alias("component"))).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _counted(rows: DataFrame, shingle: int) -> DataFrame:
+    """(key, n) of ``rows`` (key, text): the sizes of their sets."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, raws in text_slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array([len(s) for s in shingle_sets(raws, shingle)], pa.int64())], names=["key", "n"])
+
+    return text_batches(rows).mapInArrow(run, "key bigint, n bigint")
 
 
 def _without(slim: DataFrame, documents: DataFrame) -> DataFrame:

@@ -32,16 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand texts to Python in batches of 1,000 rows at most: whole documents are long."""
+    """``df``, its session set to hand texts to Python in batches of 250 rows at most: whole documents are long."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= 1000:
-        conf.set(name, "1000")
+    if not 0 < int(conf.get(name)) <= 250:
+        conf.set(name, "250")
     return df
 
 
-def stored(df: DataFrame, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, free: bool = False, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
+    ``few``: in a quarter as many files as the session has shuffle partitions (32 at least); only for what a
+    join or an aggregation leaves, small against what was shuffled for it, never for scans or Python stages.
     ``free``: first let Spark's cleaner drop the shuffle files of earlier steps whose frames are no longer held.
     """
     spark = df.sparkSession
@@ -50,6 +52,8 @@ def stored(df: DataFrame, free: bool = False) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+    if few:
+        df = df.coalesce(max(32, partitions(spark) // 4))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

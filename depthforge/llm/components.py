@@ -16,14 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     brings its label to them; adaptive skew handling splits that key's rows, its label being one row on the other
     side.  An empty table has no components; edges with a null end and loops are left out.
     """
-    links = stored(edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    links = stored(edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), few=True)
+    labels = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), few=True)
     while True:
         near = links.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         met = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
         step = met.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("component"), (F.coalesce("far", "new") != F.col("component")).alias("moved"))
-        step = stored(step)
+        step = stored(step, few=True)
         labels = step.select("node", "component")
         if not step.where("moved").limit(1).count():
             return labels

@@ -213,11 +213,11 @@ def similar_sizes(a: str, b: str):
 def _open(members: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (key, grp, n) with their component, groups with their lowest and highest, and the (tok, grp, n, held, low, high) of shingles in several components."""
     label = components(links).withColumnRenamed("node", "key")
-    labelled = stored(members.join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")))
+    labelled = stored(members.join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")), few=True)
     spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     placed = tokens.select("tok", "grp", "n", "held", "pos").join(spread, "grp")
     mixed = placed.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
-    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "held", "pos", "low", "high"))
+    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "held", "pos", "low", "high"), few=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -233,24 +233,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     own_order = Window.partitionBy("key").orderBy("df", "tok")
     placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
     length = F.least(F.col("n"), F.col("n") - _least("n") + SHARED)
-    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok", (F.col("alone") + F.col("r")).alias("pos")), free=True)
+    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok", (F.col("alone") + F.col("r")).alias("pos")), free=True, few=True)
     alike = prefixes.groupBy("key", "n", "alone").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
     alike = alike.select("key", "n", (F.col("n") - F.col("alone")).alias("held"), F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
     heads = alike.groupBy("n", "g").agg(F.min("key").alias("grp"))
-    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n", "held"), free=True)
+    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n", "held"), free=True, few=True)
     sizes = members.groupBy("grp").agg(F.first("n").alias("n"), F.max("held").alias("held"))
     tokens = prefixes.select(F.col("key").alias("grp"), "tok", "pos").join(sizes.select("grp"), "grp")
     shared = tokens.groupBy("tok").agg(F.min("grp").alias("pivot"), F.max("grp").alias("last")).where("pivot < last")
-    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n", "held", "pos").distinct())
+    tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n", "held", "pos").distinct(), few=True)
     n_pivot = sizes.select(F.col("grp").alias("pivot"), F.col("n").alias("n_pivot"), F.col("held").alias("held_pivot"))
     star = tokens.where("grp <> pivot").groupBy("grp", "pivot").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("held").alias("held")).where(F.col("k") >= SHARED)
     star = star.join(n_pivot, "pivot").where(may_be_alike("n", "n_pivot", "held", "held_pivot"))
     best = star.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("k"), "pivot"))).where("r <= 2")
     inner = members.where("key <> grp").select(F.col("key").alias("u"), F.col("grp").alias("v"))
-    pairs = stored(members.join(best.select("grp", "pivot"), "grp").select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(inner).distinct())
-    links = stored(_verified(pairs, slim, shingle))
+    pairs = stored(members.join(best.select("grp", "pivot"), "grp").select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(inner).distinct(), few=True)
+    links = stored(_verified(pairs, slim, shingle), few=True)
     active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
-    members = stored(members.join(active, "grp"))
+    members = stored(members.join(active, "grp"), few=True)
     # pairs that may still join components
     labelled, spread, open_tokens = _open(members, tokens, links)
     x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "held", "pos", "low", "high"))) for i in (1, 2))
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & may_be_alike("n_1", "n_2", "held_1", "held_2") & apart & in_core("n_1", "n_2", "pos_1", "pos_2")).select("grp_1", "grp_2").distinct()
     within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
     one, two = (labelled.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
-    late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct())
-    more = stored(_verified(late, slim, shingle))
+    late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct(), few=True)
+    more = stored(_verified(late, slim, shingle), few=True)
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
     found = own.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))

@@ -328,7 +328,7 @@ def shared_anchors(docs: DataFrame, tokens: Tokens, shape: Shape) -> tuple[DataF
             yield from bucket_rows(held, current)
 
     sent = text_batches(docs).mapInArrow(send, "bucket int, kind int, blob binary")
-    shared = stored(dealt(sent).mapInArrow(decide, "key bigint, at bigint").groupBy("key").agg(F.collect_list("at").alias("at")), free=True)
+    shared = stored(dealt(sent).mapInArrow(decide, "key bigint, at bigint").groupBy("key").agg(F.collect_list("at").alias("at")), free=True, few=True)
     return shared.where("key is not null"), [x for r in shared.where("key is null").collect() for x in r["at"]]
 
 
@@ -518,7 +518,7 @@ def with_repeats(docs: DataFrame, repeats: Repeats, tokens: Tokens, width: int,
     """
     rows = numbered(docs)
     # all marks as one small table; the shuffles behind them can go before the texts are dealt out again
-    marks = stored(repeats(rows.where("key is not null")).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("marks")), free=True)
+    marks = stored(repeats(rows.where("key is not null")).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("marks")), free=True, few=True)
     names = [f.strip().split()[0] for f in schema.split(",")]
 
     def run(batches):

@@ -160,7 +160,7 @@ def path_ends(pieces: DataFrame) -> DataFrame:
     """(k, a, b): pieces from edge a to edge b of source k, each extended by those that begin where it ends.  Pointer jumping: reach doubles with each round."""
     while True:
         nxt = pieces.select("k", F.col("a").alias("b"), F.col("b").alias("further"))
-        step = stored(pieces.join(nxt, ["k", "b"], "left").select("k", "a", F.coalesce("further", "b").alias("b"), F.col("further").isNotNull().alias("moved")))
+        step = stored(pieces.join(nxt, ["k", "b"], "left").select("k", "a", F.coalesce("further", "b").alias("b"), F.col("further").isNotNull().alias("moved")), few=True)
         pieces = step.select("k", "a", "b")
         if not step.where("moved").limit(1).count():
             return pieces
@@ -174,7 +174,7 @@ def repeated_spans(rows: DataFrame, shape: Shape, values=word_values, solver=gra
     pieces = found.where(f"kind = {PIECE}").select(F.col("a").alias("k"), F.col("b").alias("a"), F.col("c").alias("b"))
     ends = path_ends(pieces).withColumnRenamed("k", "source").withColumnRenamed("a", "edge")
     entries = found.where(f"kind = {ENTRY}").select(F.col("a").alias("key"), F.col("b").alias("run"), F.col("c").alias("first"), F.col("d").alias("source"), F.col("e").alias("edge"))
-    entries = stored(entries.join(ends, ["source", "edge"], "left").select("key", "run", "first", "source", (F.coalesce("b", "edge") - F.col("edge") + 1).alias("count")))
+    entries = stored(entries.join(ends, ["source", "edge"], "left").select("key", "run", "first", "source", (F.coalesce("b", "edge") - F.col("edge") + 1).alias("count")), few=True)
     followers = found.where(f"kind = {FOLLOWER}").select(F.col("a").alias("follower"), F.col("b").alias("its_run"), F.col("c").alias("key"), F.col("d").alias("run"))
     theirs = followers.join(entries, ["key", "run"]).select(F.col("follower").alias("key"), (F.col("its_run") + F.col("first") - F.col("run")).alias("first"), "count")
     return entries.where("key > source").select("key", "first", "count").unionByName(theirs)

@@ -100,7 +100,7 @@ class Model:
     def emission(self, word: bytes) -> float:
         e = self.cache.get(word)
         if e is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             e = self.cache[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return e

@@ -308,8 +308,9 @@ def book_stats(events: DataFrame, levels: int = 5, date: str | None = None) -> D
 
 
 def with_context(depth: DataFrame, events: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Depth rows with further columns of the event they are named after."""
-    return depth.join(events.select("row_nr", *columns), "row_nr", "left")
+    """Depth rows with further columns of the event they are named after: by date and book, where both have them, and row."""
+    on = [c for c in ("date", *(k for k, _ in KEYS), "row_nr") if c in depth.columns and c in events.columns]
+    return depth.join(events.select(*on, *columns), on, "left").select(*depth.columns, *columns)
 
 
 def write_depth(depth: DataFrame, path: str) -> None:

@@ -67,6 +67,38 @@ def gram(df: DataFrame, features: Sequence[str], target: str, weight: str | None
     return Gram(m[:k, :k], m[:k, k], m[:k, k + 1], m[k, k + 1], m[k + 1, k + 1], n)
 
 
+def grams_by(df: DataFrame, features: Sequence[str], target: str, weight: str | None, by: str) -> dict:
+    """{value of ``by``: its Gram} in one job; for columns of few values, as dates."""
+    features = list(features)
+    k = len(features)
+    cols = [*(num(F.col(c)).alias(f"c{i}") for i, c in enumerate([*features, target])), (num(F.col(weight)) if weight else F.lit(1.0)).alias("w"), F.col(by).cast("string").alias("by")]
+
+    def add(batches):
+        totals: dict[str, list] = {}
+        for b in batches:
+            m = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns[:-2]), np.ones(b.num_rows)])
+            w = b.columns[-2].to_numpy(zero_copy_only=False)
+            names, which = np.unique(b.columns[-1].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            for j, name in enumerate(names.tolist()):
+                own = which == j
+                one = totals.setdefault(name, [np.zeros((k + 2, k + 2)), 0])
+                one[0] += m[own].T @ (m[own] * w[own, None])
+                one[1] += int(own.sum())
+        i, j = np.triu_indices(k + 2)
+        for name, (total, n) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(i) + 1)), pa.array([*i, -1]).cast(pa.int32()), pa.array([*j, -1]).cast(pa.int32()), pa.array([*total[i, j], float(n)])], names=["by", "i", "j", "value"])
+
+    parts = df.select(*cols).dropna().mapInArrow(add, "by string, i int, j int, value double")
+    out: dict = {}
+    for r in parts.groupBy("by", "i", "j").agg(F.sum("value").alias("value")).collect():  # values x (features + 2) ** 2 / 2 rows
+        m, n = out.setdefault(r.by, (np.zeros((k + 2, k + 2)), [0]))
+        if r.i < 0:
+            n[0] = int(r.value)
+        else:
+            m[r.i, r.j] = m[r.j, r.i] = r.value
+    return {v: Gram(m[:k, :k], m[:k, k], m[:k, k + 1], m[k, k + 1], m[k + 1, k + 1], n[0]) for v, (m, n) in sorted(out.items())}
+
+
 @dataclass
 class LinearModel:
     features: list[str]

@@ -54,6 +54,27 @@ def segment_bounds(df: DataFrame, keys: Sequence[str], time: str = "ts_ns") -> D
     return df.groupBy(*keys, segment(time).alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("min"), F.max(time).alias("max"))
 
 
+def segment_overlaps(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, segment, overlaps) of :func:`segment_bounds` rows: whether a segment begins before an earlier one has ended."""
+    earlier = W.partitionBy(*keys).orderBy("min", "max", "segment").rowsBetween(W.unboundedPreceding, -1)
+    return segments.select(*keys, "segment", F.coalesce(F.col("min") <= F.max("max").over(earlier), F.lit(False)).alias("overlaps"))
+
+
+def row_sums(segments: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_segments, n_whole, equal): rows of the segments against those of the whole days."""
+    parts = segments.groupBy(*keys).agg(F.sum("n").alias("n_segments"))
+    total = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_whole"))
+    both = parts.join(total, list(keys), "full").na.fill(0, ["n_segments", "n_whole"])
+    return both.withColumn("equal", F.col("n_segments") == F.col("n_whole"))
+
+
+def schema_differences(a: DataFrame, b: DataFrame) -> list[str]:
+    """Columns that one frame lacks or has in another type or place; empty where schemas are equal."""
+    one, two = ([(f.name, f.dataType.simpleString()) for f in x.schema.fields] for x in (a, b))
+    places = {c: i for i, c in enumerate(two)}
+    return sorted({n for n, _ in set(one) ^ set(two)} | {c[0] for i, c in enumerate(one) if places.get(c, i) != i})
+
+
 def issues(stats: DataFrame, rules: Sequence[tuple[str, str, Column]], keys: Sequence[str]) -> DataFrame:
     """(keys, severity, rule) for each rule whose condition holds; rules are (severity, name, condition)."""
     found = F.array(*(F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("rule"))) for severity, name, test in rules))

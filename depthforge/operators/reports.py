@@ -13,7 +13,7 @@ from depthforge.operators.ordering import KEYS, ORDER
 from depthforge.operators.scores import Score, evaluate
 
 
-def _ranges(values: DataFrame, column: str) -> Column:
+def value_ranges(values: DataFrame, column: str) -> Column:
     """The number of the range a value is in, ranges being cut at approximate quantiles that the driver fetches.
 
     The bounds are literals, so a plan that reads the ranges twice gets the same ones; null comes first, NaN last.
@@ -26,18 +26,18 @@ def _ranges(values: DataFrame, column: str) -> Column:
 
 
 def ranked(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """``df`` with the average rank of ``column`` from 1, without sorting all rows in one task.
+    """``df`` with the average rank of ``column`` from 1, without sorting all rows in one task; null has no rank.
 
     Distinct values are counted first, dealt into ranges of their quantiles, ranked inside each range and offset by
     the rows of the ranges before it.
     """
-    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.withColumn("_p", _ranges(counts, "_v"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumn("_p", value_ranges(counts, "_v"))
     totals = placed.groupBy("_p").agg(F.sum("_n").alias("_t"))
     before = totals.select("_p", (F.sum("_t").over(W.orderBy("_p")) - F.col("_t")).alias("_before"))  # a row per range
     inside = F.sum("_n").over(W.partitionBy("_p").orderBy("_v"))
     ranks = placed.withColumn("_upto", inside).join(F.broadcast(before), "_p").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
+    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def decile_report(df: DataFrame, prediction: str, target: str, bins: int = 10) -> DataFrame:
@@ -47,7 +47,7 @@ def decile_report(df: DataFrame, prediction: str, target: str, bins: int = 10) -
     """
     p, y = num(F.col(prediction)), num(F.col(target))
     each = df.groupBy(p.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count(y).alias("_ny"), F.sum(y).alias("_y"))
-    placed = each.withColumn("_p", _ranges(each, "_v"))
+    placed = each.withColumn("_p", value_ranges(each, "_v"))
     totals = placed.groupBy("_p").agg(F.sum("_n").alias("_t"))
     every = W.orderBy("_p")
     before = totals.select("_p", (F.sum("_t").over(every) - F.col("_t")).alias("_before"), F.sum("_t").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_rows"))

@@ -71,8 +71,7 @@ ADAPTERS = {a.name: a for a in (MeanAdapter, LeastSquaresAdapter, RidgeAdapter,
 
 
 def gram_by_date(df: DataFrame, features: Sequence[str], target: str, weight: str | None = None, date: str = "date") -> dict[str, linear.Gram]:
-    dates = [r[0] for r in df.select(date).distinct().collect()]  # days
-    return {d: linear.gram(df.where(F.col(date) == d), features, target, weight) for d in sorted(dates)}
+    return linear.grams_by(df, features, target, weight, date)
 
 
 @dataclass

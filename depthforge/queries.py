@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from depthforge.functions import exprs as X
 from depthforge.operators import asof, book, filters, linear, quality, relational, reports, sampling, scores, transforms
 from depthforge.operators.kernels import Decay
-from depthforge.operators.ordering import KEYS, by_row, carry_forward, forward_fill
+from depthforge.operators.ordering import KEYS, average_rank, by_row, carry_forward, forward_fill
 from depthforge.plans import features as P
 from depthforge.plans import search
+from depthforge.sources.dated import DataSource, nature, session_days, with_row_nr
 from depthforge.sources.views import MBO_SQL, QUOTES_SQL, event_stream, mbo, mbo_of, quotes, quotes_of
 from depthforge.streaming import states
 
@@ -617,6 +619,131 @@ def _(s, d):
     return sampling.over_budget(quotes(s, d).where("trade_side = 0"), 500)
 
 
+@query("segment_overlaps", f"WITH {MBO_SQL}, x AS (SELECT *, (ts_ns // 1000000000) % 86400 AS sec FROM mbo), g AS (SELECT instrument_id, CASE WHEN sec < 47700 THEN 'gap_before' WHEN sec < 72300 THEN 'window' ELSE 'gap_after' END AS segment, min(ts_ns) AS a, max(ts_ns) AS b FROM x GROUP BY ALL) SELECT instrument_id, segment, coalesce(a <= max(b) OVER (PARTITION BY instrument_id ORDER BY a, b, segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM g")
+def _(s, d):
+    return quality.segment_overlaps(quality.segment_bounds(mbo(s, d), ["instrument_id"]), ["instrument_id"])
+
+
+@query("segment_row_sums", f"WITH {MBO_SQL} SELECT instrument_id, count(*) AS n_segments, count(*) AS n_whole, true AS equal FROM mbo GROUP BY 1")
+def _(s, d):
+    return quality.row_sums(quality.segment_bounds(mbo(s, d), ["instrument_id"]), mbo(s, d), ["instrument_id"])
+
+
+@query("integrity_issues", f"WITH {MBO_SQL}, c AS (SELECT instrument_id, count(*) FILTER (flags & 128 <> 0) AS l, count(*) AS n, count(*) FILTER (flags & 32 <> 0) AS snap FROM mbo GROUP BY 1) SELECT instrument_id, 'error' AS severity, 'few_blocks' AS rule FROM c WHERE 4 * l < n UNION ALL SELECT instrument_id, 'warning', 'no_snapshot' FROM c WHERE snap = 0")
+def _(s, d):
+    rules = [("error", "few_blocks", 4 * F.col("n_last") < F.col("n_rows")), ("warning", "no_snapshot", F.col("n_snapshot") == 0)]
+    return quality.issues(quality.flag_counts(mbo(s, d), ["instrument_id"]), rules, ["instrument_id"])
+
+
+# ---------------------------------------------------------------- rows, columns and sources
+
+
+@query("row_positions", with_quotes(f"SELECT instrument_id, row_nr, row_number() {OVER} AS position FROM quotes"))
+def _(s, d):
+    return quotes(s, d).select("instrument_id", "row_nr", F.row_number().over(by_row()).alias("position"))
+
+
+@query("average_ranks", with_quotes("SELECT row_nr, CASE WHEN trade_sz IS NOT NULL THEN rank() OVER (PARTITION BY trade_sz IS NULL ORDER BY trade_sz) + (count(*) OVER (PARTITION BY trade_sz) - 1) / 2.0 END AS rank FROM quotes"))
+def _(s, d):
+    return reports.ranked(quotes(s, d), "trade_sz").select("row_nr", F.col("rank").cast("double").alias("rank"))
+
+
+@query("average_ranks_of_groups", with_quotes(", g AS (SELECT instrument_id, trade_sz, count(*) AS n FROM quotes GROUP BY ALL) SELECT instrument_id, trade_sz, n, CAST(rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS DOUBLE) AS rank FROM g"))
+def _(s, d):
+    groups = quotes(s, d).groupBy("instrument_id", "trade_sz").agg(F.count(F.lit(1)).alias("n"))
+    return groups.withColumn("rank", average_rank(F.col("n")).cast("double"))
+
+
+@query("row_index", "SELECT event_id, event_id AS row_nr FROM events")
+def _(s, d):
+    return with_row_nr(s.read.parquet(f"{d}/events.parquet")).select("event_id", "row_nr")
+
+
+@query("valid_size", with_quotes(f"SELECT row_nr, CASE WHEN bid_px_0 > 0 AND bid_px_0 < {UND} AND bid_sz_0 > 0 THEN CAST(bid_sz_0 AS DOUBLE) END AS size FROM quotes"))
+def _(s, d):
+    return quotes(s, d).select("row_nr", filters.valid_size("bid_sz_0", "bid_px_0").alias("size"))
+
+
+@query("all_filters", with_quotes(f"SELECT row_nr FROM quotes WHERE trade_side = 0 AND trade_sz > 3 AND {VALID}"))
+def _(s, d):
+    return quotes(s, d).where(filters.all_of([F.col("trade_side") == 0, F.col("trade_sz") > 3, X.bbo_valid()])).select("row_nr")
+
+
+@query("optional_columns", with_quotes("SELECT row_nr, bid_px_0, ask_px_2 FROM quotes"))
+def _(s, d):
+    q = quotes(s, d)
+    return q.select(relational.existing(q, ["row_nr", "bid_px_0", "bid_px_9", "ask_px_2", "symbol"]))
+
+
+@query("drop_nulls", with_quotes("SELECT row_nr, trade_side, trade_sz FROM quotes WHERE trade_side IS NOT NULL AND trade_sz IS NOT NULL"))
+def _(s, d):
+    return quotes(s, d).select("row_nr", "trade_side", "trade_sz").dropna()
+
+
+@query("display_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS shown FROM events")
+def _(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", sampling.display_time(F.col("ts"), "UTC").alias("shown"))
+
+
+@query("relative_times", with_quotes("SELECT row_nr, ts_ns - min(ts_ns) OVER () AS x_ns FROM quotes"))
+def _(s, d):
+    return sampling.relative_ns(quotes(s, d)).select("row_nr", "x_ns")
+
+
+@query("rows_between", with_quotes("SELECT row_nr, ts_ns FROM quotes WHERE row_nr >= 100 AND row_nr < 300"))
+def _(s, d):
+    return sampling.rows_between(quotes(s, d), 100, 300).select("row_nr", "ts_ns")
+
+
+@query("union_of_days", with_quotes("SELECT row_nr, instrument_id FROM quotes UNION ALL SELECT row_nr, instrument_id FROM quotes WHERE trade_side = 1"))
+def _(s, d):
+    q = quotes(s, d).select("row_nr", "instrument_id", "trade_side")
+    return relational.union_same(q, q.where("trade_side = 1")).select("row_nr", "instrument_id")
+
+
+@query("union_missing_columns", with_quotes("SELECT row_nr, bid_sz_0, CAST(NULL AS BIGINT) AS trade_sz FROM quotes UNION ALL SELECT row_nr, CAST(NULL AS BIGINT), trade_sz FROM quotes"))
+def _(s, d):
+    q = quotes(s, d)
+    return relational.union_relaxed(q.select("row_nr", F.col("bid_sz_0").cast("bigint").alias("bid_sz_0")), q.select("row_nr", F.col("trade_sz").cast("bigint").alias("trade_sz")))
+
+
+@query("context_join", f"WITH {QUOTES_SQL}, {MBO_SQL} SELECT q.row_nr, q.bid_px_0, m.action, m.size FROM quotes q LEFT JOIN mbo m ON m.row_nr = q.row_nr AND m.instrument_id = q.instrument_id AND m.publisher_id = q.publisher_id")
+def _(s, d):
+    q = quotes(s, d).select(*KEYS, "row_nr", "bid_px_0")
+    return book.with_context(q, mbo(s, d), ["action", "size"]).select("row_nr", "bid_px_0", "action", "size")
+
+
+@query("nature_tags", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'stress' WHEN event_type = 'click' THEN 'normal' ELSE event_type END AS nature FROM events")
+def _(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    tag = F.when(F.col("event_type") == "view", "Stress_a").when(F.col("event_type") == "click", "b_NORMAL_c").otherwise(F.col("event_type"))
+    return e.select("event_id", nature(tag).alias("nature"))
+
+
+@query("session_days", "SELECT CAST(g AS DATE) AS date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(g) WHERE isodow(g) < 6 AND CAST(g AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup')")
+def _(s, d):
+    closed = s.read.parquet(f"{d}/events.parquet").where("event_type = 'signup'").select(F.to_date("ts").alias("date")).distinct()
+    return session_days(s, "2024-01-01", "2024-12-31", closed)
+
+
+def _source(s, d) -> DataSource:
+    loader = lambda dates: quotes(s, d).withColumn("date", F.date_format("ts_event", "yyyyMMdd"))
+    return DataSource(loader, (), "bid_sz_0", ["ask_sz_0", "bid_sz_1"], [F.col("trade_side") == 0, F.col("trade_sz") > 5], weight="trade_sz")
+
+
+_SOURCE = "SELECT *, strftime(ts_event, '%Y%m%d') AS date FROM quotes WHERE trade_side = 0 OR trade_sz > 5"
+
+
+@query("source_frame", with_quotes(f"SELECT CAST(ask_sz_0 AS DOUBLE) AS ask_sz_0, CAST(bid_sz_1 AS DOUBLE) AS bid_sz_1, CAST(bid_sz_0 AS DOUBLE) AS bid_sz_0, CAST(trade_sz AS DOUBLE) AS trade_sz, date, row_nr FROM ({_SOURCE})"))
+def _(s, d):
+    return _source(s, d).frame()
+
+
+@query("source_labels", with_quotes(f"SELECT date, count(*) AS n, sum(CAST(bid_sz_0 AS DOUBLE)) AS total FROM ({_SOURCE}) GROUP BY 1"))
+def _(s, d):
+    return _source(s, d).labels().groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("bid_sz_0").alias("total"))
+
+
 # ---------------------------------------------------------------- books
 
 
@@ -640,11 +767,16 @@ def _(s, d):
 
 
 def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream over the files there are gives, as a table in memory."""
-    name = f"{name}_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """All that a stream over the files there are gives, written by its tasks to the folder that all executors share."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="depthforge-")
+    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/offsets").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query("stream_ewma", with_quotes(f", {decay_sql('c_a', 'quotes', 'trade_sz', HOUR)} SELECT row_nr, round(c_a.s, 6) AS value FROM c_a"))

@@ -95,6 +95,47 @@ def frame_source(spark: SparkSession, source: DataFrame | str, dates: Sequence[s
     return df.where(day.isin(*[d.replace("-", "") for d in dates]))
 
 
+def ipc_blobs(df: DataFrame) -> DataFrame:
+    """(ipc): the rows of ``df`` as Arrow IPC streams, one per batch; what :func:`from_ipc` reads."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+    return df.mapInArrow(run, "ipc binary")
+
+
+def from_ipc(blobs: DataFrame, schema: str) -> DataFrame:
+    """The rows of Arrow IPC streams in the binary column ``content`` (as of files) or ``ipc``."""
+    import pyarrow as pa
+
+    name = "content" if "content" in blobs.columns else "ipc"
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0):
+                yield from pa.ipc.open_stream(blob.as_py())
+
+    return blobs.select(name).mapInArrow(run, schema)
+
+
+def arrow_batches(df: DataFrame):
+    """Arrow batches of ``df`` on the driver, in its order, one task's at a time."""
+    import pyarrow as pa
+
+    for row in ipc_blobs(df).toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row.ipc)
+
+
+def write_ipc(df: DataFrame, path: str) -> None:
+    """Parquet-free export: a table of IPC streams below ``path``, one per Arrow batch."""
+    ipc_blobs(df).write.parquet(path)
+
+
 @dataclass(frozen=True)
 class DataSource:
     """What a query reads: loader, target, features, filters (alternatives), transform, weight, further columns."""
@@ -130,17 +171,20 @@ class DataSource:
         return self.frame().count()
 
     def batches(self, rows: int = 100_000):
-        """(X, y, rest) pieces on the driver, in order, one task's rows at a time."""
-        import pandas as pd
-
-        held: list = []
-        for row in self.frame().orderBy(*[c for c in ("date", ORDER) if c in self.frame().columns]).toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict())
-            if len(held) == rows:
-                yield self._batch(pd.DataFrame(held))
-                held = []
-        if held:
-            yield self._batch(pd.DataFrame(held))
+        """(X, y, rest) pieces on the driver, in order: Arrow batches, one task's at a time."""
+        import pyarrow as pa
+
+        frame = self.frame()
+        held, n = [], 0
+        for batch in arrow_batches(frame.orderBy(*[c for c in ("date", ORDER) if c in frame.columns])):
+            held.append(batch)
+            n += batch.num_rows
+            while n >= rows:
+                every = pa.Table.from_batches(held)
+                yield self._batch(every.slice(0, rows).to_pandas())
+                held, n = every.slice(rows).to_batches(), n - rows
+        if n:
+            yield self._batch(pa.Table.from_batches(held).to_pandas())
 
     def _batch(self, pdf):
         return pdf[list(self.features)].to_numpy(), pdf[self.target].to_numpy(), pdf.drop(columns=[*self.features, self.target])

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of ``documents``.  :func:`run` writes each stage's result as Parquet to the shared folder and reads it back.
 
-Rows with a null doc_id or text go through all stages: null texts are never toxic, duplicates or contaminated and pack
+Rows with a null doc_id or text go through all stages: null texts count as empty, are no duplicates, never contaminated and pack
 as one end mark.  Repeated rows are judged row by row, but by id where documents are counted or compared: rows of an id
 that isn't its group's smallest go together.  Very long texts are read whole.  An empty table gives an empty result.
 Further columns stay up to the last stage, also where they are named like columns that the operators use.

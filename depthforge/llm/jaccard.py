@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & may_be_alike("n_1", "n_2", "held_1", "held_2") & apart & in_core("n_1", "n_2", "pos_1", "pos_2")).select("grp_1", "grp_2").distinct()
     within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
     one, two = (labelled.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
-    late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2").select("u", "v").where("u <> v").distinct(), few=True)
+    late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2 and (grp_1 < grp_2 or u < v)").select("u", "v").distinct(), few=True)
     more = stored(_verified(late, slim, shingle), few=True)
     final = components(same.unionByName(links).unionByName(more))
     own = documents.select("key", "n").unionByName(_without(slim, documents))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depthforge import book_sql
 from depthforge.functions import exprs as X
 from depthforge.operators import asof, book, filters, linear, quality, relational, reports, sampling, scores, transforms
 from depthforge.operators.kernels import Decay
@@ -420,15 +421,15 @@ def _(s, d):
     return filters.depth_prices(quotes(s, d), 3)
 
 
-_SMALL = f"small AS (SELECT * FROM quotes WHERE row_nr < 40), prices AS ({' UNION '.join(f'SELECT {s}_px_{i} AS price FROM small WHERE {s}_px_{i} <> {UND} AND {s}_sz_{i} > 0' for s in ('bid', 'ask') for i in range(2))})"
+_PRICES = f"prices AS ({' UNION '.join(f'SELECT {s}_px_{i} AS price FROM quotes WHERE {s}_px_{i} <> {UND} AND {s}_sz_{i} > 0' for s in ('bid', 'ask') for i in range(2))})"
 
 
-@query("depth_price_semi_join", with_quotes(f", {MBO_SQL}, {_SMALL} SELECT row_nr, price FROM mbo WHERE price IN (SELECT price FROM prices)"))
+@query("depth_price_semi_join", with_quotes(f", {MBO_SQL}, {_PRICES} SELECT row_nr, price FROM mbo WHERE price IN (SELECT price FROM prices)"))
 def _(s, d):
     return filters.depth_price_filter(mbo(s, d), quotes(s, d), 2).select("row_nr", "price")
 
 
-@query("depth_price_range", with_quotes(f", {MBO_SQL}, {_SMALL} SELECT row_nr, price FROM mbo WHERE price BETWEEN (SELECT min(price) FROM prices) AND (SELECT max(price) FROM prices)"))
+@query("depth_price_range", with_quotes(f", {MBO_SQL}, {_PRICES} SELECT row_nr, price FROM mbo WHERE price BETWEEN (SELECT min(price) FROM prices) AND (SELECT max(price) FROM prices)"))
 def _(s, d):
     return filters.depth_price_filter(mbo(s, d), quotes(s, d), 2, "range").select("row_nr", "price")
 
@@ -500,19 +501,22 @@ def _(s, d):
     return transforms.ReturnNormalizer("w", "y", 0.5).apply(predictions(s, d)).select("row_nr", F.round("y", 6).alias("y"))
 
 
+_TARGET = "2 * p - q0 + 0.1::DOUBLE * y"
+
+
 @query("gram_stats", with_quotes(f", {PRED_SQL}, v AS (SELECT [p, q0, y, 1.0::DOUBLE] AS x, w FROM pred), c AS (SELECT i, j, round(sum(w * x[i + 1] * x[j + 1]), 4) AS value FROM v, range(4) a(i), range(4) b(j) WHERE i <= j GROUP BY i, j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, value FROM c"))
 def _(s, d):
     return linear.gram_rows(predictions(s, d), ["p", "q0"], "y", "w").where("i >= 0").select("i", "j", F.round("value", 4).alias("value"))
 
 
-@query("ridge_fit_predict")
+@query("ridge_fit_predict", book_sql.ridge_predictions(PRED_SQL, _TARGET, 1.0))
 def _(s, d):
     df = predictions(s, d).withColumn("t", 2 * F.col("p") - F.col("q0") + 0.1 * F.col("y"))
     model = linear.ridge(linear.gram(df, ["p", "q0"], "t"), ["p", "q0"], 1.0)
     return model.predict(df).select("row_nr", F.round("prediction", 6).alias("prediction"))
 
 
-@query("lasso_path_score")
+@query("lasso_path_score", book_sql.lasso_scores(PRED_SQL, _TARGET, [0.0, 0.1, 1.0, 10.0]))
 def _(s, d):
     df = predictions(s, d).withColumn("t", 2 * F.col("p") - F.col("q0") + 0.1 * F.col("y"))
     path = linear.lasso_path(linear.gram(df, ["p", "q0", "q1"], "t"), ["p", "q0", "q1"])
@@ -747,12 +751,12 @@ def _(s, d):
 # ---------------------------------------------------------------- books
 
 
-@query("book_depth")
+@query("book_depth", book_sql.depth_rows(3))
 def _(s, d):
     return book.build_depth(mbo(s, d), 3)
 
 
-@query("book_stats")
+@query("book_stats", book_sql.replay_counters(3))
 def _(s, d):
     return book.book_stats(mbo(s, d), 3)
 
@@ -785,7 +789,7 @@ def _(s, d):
     return _drained(s, states.stream_decayed(q, [Decay("value", "x", HOUR)], KEYS), "stream_ewma").select("row_nr", F.round("value", 6).alias("value"))
 
 
-@query("stream_book")
+@query("stream_book", book_sql.closed_depth_rows(3))
 def _(s, d):
     return _drained(s, states.stream_depth(mbo_of(event_stream(s, d)), 3), "stream_book")
 

@@ -7,9 +7,9 @@ alone fill the front of the order and link nothing, so only documents that share
 1. Equal sets collapse to their smallest document, and documents of equal size and prefix to one group.
 2. Groups are filtered by shared prefix shingles (three at least, and as many as the sizes ask for) and size.
 3. Groups are expanded to members and pairs verified on whole sets.  First each member meets at most two
-   pivots, the smallest documents it shares most prefix shingles with; then all pairs that may still join
-   different components are verified.  So no link between components is lost, and the members of a group of near
-   copies, joined by their pivots, aren't paired.
+   pivots, the smallest documents it shares most prefix shingles with; then a few heads of each group meet members of
+   other components, then more heads, and so on, until components have met or all their pairs are verified.  So no
+   link between components is lost, and the members of a group of near copies, joined by pivots or heads, aren't paired.
 
 Shingles travel as compressed columns; copies within a batch don't travel.  Components come from
 :mod:`depthforge.llm.components`.  Null and empty texts have no shingles and no links; texts of 1 to 4 words have
@@ -38,6 +38,8 @@ SHINGLE = 5
 SHARED = 3
 #: Pairs up to which their documents' keys (two longs each) are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_PAIRS = 1_000_000
+#: Members of a group that meet its others first, and the growth of their number from turn to turn.
+HEADS = 8
 
 
 def shingle_sets(raws: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -190,7 +192,10 @@ def may_be_alike(a: str, b: str, held_a: str, held_b: str):
 def _verified(pairs: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
     """The (u, v) of ``pairs`` (a written table) whose sets in ``slim`` (key, text) have 4 * shared >= 3 * united."""
     keys = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
+    if n_pairs <= BROADCAST_PAIRS:
         keys = F.broadcast(keys)
 
     def collect_sets(batches):
@@ -210,14 +215,60 @@ def similar_sizes(a: str, b: str):
     return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
 
 
-def _open(members: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (key, grp, n) with their component, groups with their lowest and highest, and the (tok, grp, n, held, low, high) of shingles in several components."""
+def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, grp, turn) with their component, and groups with their lowest and highest component and last turn."""
     label = components(links).withColumnRenamed("node", "key")
-    labelled = stored(members.join(label, "key", "left").select("key", "grp", "n", F.coalesce("component", "key").alias("comp")), few=True)
-    spread = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    labelled = stored(members.join(label, "key", "left").select("key", "grp", "turn", F.coalesce("component", "key").alias("comp")), few=True)
+    return labelled, labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("turn").alias("last"))
+
+
+def _turns(members: DataFrame) -> DataFrame:
+    """``members`` (key, grp) with their turn: some HEADS of a group have turn 0, HEADS times as many the next, and so on.
+
+    A key's hash says how many of its group are expected before it, so no group is sorted; those of at most HEADS members have turn 0 only.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    before = F.col("m") * (F.pmod(F.xxhash64("key"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    return members.join(sizes, "grp").select("key", "grp", F.greatest(F.lit(0), F.ceil(F.log(float(HEADS), before)) - 1).cast("int").alias("turn"))
+
+
+def _between(todo: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+    """The (u, v) of the pairs of groups ``todo`` whose components differ and of whose turns the earlier one is ``turn``."""
+    here, later = labelled.where(F.col("turn") == turn), labelled.where(F.col("turn") > turn)
+
+    def pairs(one, two):
+        one, two = (x.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for x, i, k in ((one, 1, "u"), (two, 2, "v")))
+        return todo.join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2 and (grp_1 < grp_2 or u < v)").select("u", "v")
+
+    return pairs(here, here.unionByName(later)).unionByName(pairs(later, here)).distinct()
+
+
+def _late(members: DataFrame, tokens: DataFrame, links: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
+    """``links`` with those between members (key, grp) whose components ``links`` leave apart.
+
+    Every such pair of two groups with enough shared shingles, or of one group, has its turn, that of the earlier
+    member.  Between turns components are found anew and what has met is left out, so a few heads join near copies
+    to each other; only members that stay apart to the end are verified pair by pair.
+    """
+    members = stored(_turns(members), few=True)
+    labelled, spread = _labelled(members, links)
     placed = tokens.select("tok", "grp", "n", "held", "pos").join(spread, "grp")
     mixed = placed.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("tok")
-    return labelled, spread, stored(placed.join(mixed, "tok").select("tok", "grp", "n", "held", "pos", "low", "high"), few=True)
+    shared = stored(placed.join(mixed, "tok").select("tok", "grp", "n", "held", "pos", "low", "high", "last"), few=True)
+    x, y = (shared.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "held", "pos", "low", "high", "last"))) for i in (1, 2))
+    apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
+    last = F.least("last_1", "last_2").alias("last")
+    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & may_be_alike("n_1", "n_2", "held_1", "held_2") & apart & in_core("n_1", "n_2", "pos_1", "pos_2")).select("grp_1", "grp_2", last).distinct()
+    within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"), "last")
+    todo, turn = stored(cross.unionByName(within), few=True), 0
+    while True:
+        links = stored(links.unionByName(_verified(stored(_between(todo, labelled, turn), few=True), slim, shingle)), few=True)
+        todo, turn = todo.where(F.col("last") > turn), turn + 1
+        if not todo.limit(1).count():
+            return links
+        labelled, spread = _labelled(members, links)
+        one, two = (spread.select(F.col("grp").alias(f"grp_{i}"), F.col("low").alias(f"low_{i}"), F.col("high").alias(f"high_{i}")) for i in (1, 2))
+        todo = stored(todo.join(one, "grp_1").join(two, "grp_2").where(apart).select("grp_1", "grp_2", "last"), few=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -251,16 +302,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     links = stored(_verified(pairs, slim, shingle), few=True)
     active = tokens.select("grp").unionByName(inner.select(F.col("v").alias("grp"))).distinct()
     members = stored(members.join(active, "grp"), few=True)
-    # pairs that may still join components
-    labelled, spread, open_tokens = _open(members, tokens, links)
-    x, y = (open_tokens.select("tok", *(F.col(c).alias(f"{c}_{i}") for c in ("grp", "n", "held", "pos", "low", "high"))) for i in (1, 2))
-    apart = (F.col("low_1") != F.col("low_2")) | (F.col("high_1") != F.col("high_2")) | (F.col("low_1") != F.col("high_1"))
-    cross = x.join(y, "tok").where((F.col("grp_1") < F.col("grp_2")) & may_be_alike("n_1", "n_2", "held_1", "held_2") & apart & in_core("n_1", "n_2", "pos_1", "pos_2")).select("grp_1", "grp_2").distinct()
-    within = spread.where("low < high").select(F.col("grp").alias("grp_1"), F.col("grp").alias("grp_2"))
-    one, two = (labelled.select(F.col("grp").alias(f"grp_{i}"), F.col("key").alias(k), F.col("comp").alias(f"comp_{i}")) for i, k in ((1, "u"), (2, "v")))
-    late = stored(cross.unionByName(within).join(one, "grp_1").join(two, "grp_2").where("comp_1 <> comp_2 and (grp_1 < grp_2 or u < v)").select("u", "v").distinct(), few=True)
-    more = stored(_verified(late, slim, shingle), few=True)
-    final = components(same.unionByName(links).unionByName(more))
+    links = _late(members, tokens, links, slim, shingle)
+    final = components(same.unionByName(links))
     own = documents.select("key", "n").unionByName(_without(slim, documents))
     found = own.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
     alone = _counted(every.where("key is null"), shingle)

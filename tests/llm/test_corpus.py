@@ -207,6 +207,42 @@ def test_near_duplicates_chain(spark):
     assert got == linked(rows)
 
 
+def test_near_duplicates_in_turns(spark, monkeypatch):
+    """One prefix whose smallest document is like none of the others, and two further classes: pivots fail, heads don't, and few pairs are verified."""
+    rng = random.Random(4)
+    front = [f"f{i}" for i in range(20)]
+    tails = [[f"t{c}x{i}" for i in range(40)] for c in range(4)]
+    rows, n = [], 0
+    for c, copies in enumerate((1, 60, 50, 1)):
+        for _ in range(copies):
+            tail = list(tails[c])
+            if n:
+                tail[rng.randrange(30, 40)] = f"z{n}"
+            rows.append((n, " ".join(front + tail)))
+            n += 1
+    members = spark.createDataFrame([(i, 0) for i, _ in rows], "key bigint, grp bigint")
+    seen = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    tokens = spark.createDataFrame([], "tok bigint, grp bigint, n bigint, held bigint, pos bigint")
+    slim = spark.createDataFrame(rows, "key bigint, text string")
+    links = jaccard._late(members, tokens, spark.createDataFrame([], "u bigint, v bigint"), slim, 5)
+    comp = {r.node: r.component for r in components(links).collect()}
+    want = linked(rows)
+    assert {i: comp.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
+    assert len(seen) > 1 and max(seen) < n * (n - 1) // 2
+
+
+def test_turns_cover_all_pairs(spark):
+    """Without any link, each pair of a group and of two groups has exactly one turn."""
+    members = jaccard._turns(spark.createDataFrame([(i, i // 40) for i in range(80)], "key bigint, grp bigint"))
+    last = members.agg(F.max("turn")).first()[0]
+    apart = members.withColumn("comp", F.col("key"))
+    todo = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "grp_1 bigint, grp_2 bigint")
+    got = [(r.u, r.v) for t in range(last + 1) for r in jaccard._between(todo, apart, t).collect()]
+    assert last >= 1 and sorted(got) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (3, 2), (9, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

@@ -61,13 +61,21 @@ def shingle_sets(raws: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
 
 
 SETS = (8, 8, 8, 8)  # set (two columns), size, key
-TOKENS = (8, 8)  # shingle (40 bits, as differences), key
+TOKENS = (8, 8, 4)  # shingle (40 bits, as differences), key, documents of the batch that the entry stands for
+COMMON = (8, 8)  # bucket and shingle, key
 TOKEN_BITS = U((1 << 40) - 1)
+#: Documents of a batch from which a shingle sends one entry with their number to its bucket, and their keys elsewhere.
+COMMON_FROM = 16
 
 
 def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(kind, a, b, n) of ``docs`` (key, text): kind 0: shingle a is in the set of b and in n documents, two at least; kind 1: document a has the set of b, of n shingles."""
-    buckets = SPLIT * partitions(docs.sparkSession)
+    """(kind, a, b, n) of ``docs`` (key, text), by kind.
+
+    0: shingle a is in the set of b and in n documents, two at least.  1: document a has the set of b, of n shingles.
+    2: common shingle a is in the set of b.  3: common shingle a is shingle b of kind 0, in n documents.  A shingle that
+    many documents of a batch have is counted there, and its keys are dealt out by key, so that its bucket stays small.
+    """
+    buckets, common_from = SPLIT * partitions(docs.sparkSession), COMMON_FROM
 
     def flush(held):
         """Rows of a batch's documents (key, set)."""
@@ -85,8 +93,20 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         sizes = np.array([len(one[1]) for one in by_set.values()])
         sid = np.frombuffer(b"".join(by_set), U).reshape(-1, 2)
         rows += _dealt(mix(sid[:, 0]), [sid[:, 0], sid[:, 1], sizes.astype(U), owners], 1, SETS, buckets)
-        tokens = np.concatenate([one[1] for one in by_set.values()])
-        rows += _dealt(mix(tokens), [tokens & TOKEN_BITS, np.repeat(owners, sizes)], 0, TOKENS, buckets)
+        tokens, keys = np.concatenate([one[1] for one in by_set.values()]), np.repeat(owners, sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, keys = tokens[order], keys[order]
+        starts = np.flatnonzero(firsts(tokens))
+        held_by = np.diff(np.append(starts, len(tokens)))
+        common = held_by >= common_from
+        stands_for = np.ones(len(tokens), U)
+        stands_for[starts[common]] = held_by[common]
+        away = np.repeat(common, held_by)
+        away[starts] = False
+        near, far = tokens[~away], tokens[away]
+        rows += _dealt(mix(near), [near & TOKEN_BITS, keys[~away], stands_for[~away]], 0, TOKENS, buckets)
+        if len(far):
+            rows += _dealt(mix(keys[away]), [(mix(far) % U(buckets) << U(40)) + (far & TOKEN_BITS), keys[away]], 3, COMMON, buckets)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
     def send(batches):
@@ -110,15 +130,17 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c.view(np.int64)) for c in part)], names=["kind", "a", "b", "n"])
 
     def decide_tokens(parts, bucket):
-        tok, key = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        tok, key, stands_for = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((key, tok))
-        tok, key = tok[order], key[order]
+        tok, key, stands_for = tok[order], key[order], stands_for[order]
         first = firsts(tok)
-        new = firsts(tok, key)
-        documents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(first)) if len(tok) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(first)
+        documents = np.add.reduceat(stands_for.astype(np.int64) - ~firsts(tok, key), starts)
         number = np.cumsum(first) - 1
         many = documents[number] > 1
         yield from out(0, (number + (bucket << 40))[many].astype(U), key[many], documents[number[many]].astype(U))
+        common = np.flatnonzero(np.maximum.reduceat(stands_for, starts) > 1)
+        yield from out(3, tok[starts[common]] + U(bucket << 40), (common + (bucket << 40)).astype(U), documents[common].astype(U))
 
     def decide_sets(parts, bucket):
         s1, s2, n, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -138,6 +160,10 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 if kind == 2:
                     yield from out(1, *unpack_columns(blob, (8, 8, 8)))
                     continue
+                if kind == 3:
+                    a, b = unpack_columns(blob, COMMON)
+                    yield from out(2, a, b, np.zeros(len(a), U))
+                    continue
                 if (bucket, kind) != current:
                     yield from done()
                     held, current = [], (bucket, kind)
@@ -280,7 +306,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     same = documents.where("key <> owner").select(F.col("key").alias("u"), F.col("owner").alias("v"))
     owners = documents.where("key = owner").select("key", "n").distinct()
     # prefixes: shingles of one document alone come first, and there are n - held of them
-    held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df")).join(owners, "key")
+    held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df"))
+    common = found.where("kind = 3").select("a", F.col("b").alias("tok"), F.col("n").alias("df"))
+    common = found.where("kind = 2").select("a", F.col("b").alias("key")).join(common, "a").select("key", "tok", "df")
+    held = held.unionByName(common).join(owners, "key")
     own_order = Window.partitionBy("key").orderBy("df", "tok")
     placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
     length = F.least(F.col("n"), F.col("n") - _least("n") + SHARED)

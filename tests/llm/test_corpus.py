@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,6 +196,29 @@ def test_near_duplicates(spark, rows):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect()) == [("1", 1, 1), ("1", 2, 1), ("2", 1, 1), ("3", 2, 1), ("None", 0, None), ("None", 2, None)]
 
 
+@pytest.mark.parametrize("common", [2, 3])
+def test_near_duplicates_of_common_shingles(spark, monkeypatch, common):
+    """Shingles of a third of all documents, dealt by key or not, give the same counts and components."""
+    monkeypatch.setattr(jaccard, "COMMON_FROM", common)
+    rng = random.Random(9)
+    header = " ".join(f"h{i}" for i in range(12))
+    rows = [(i, (header + " " if i % 3 == 0 else "") + " ".join(f"w{rng.randrange(12 if i % 5 else 400)}" for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, f"{t} u{i}") for i, t in rows[:40]] + [(7, "one more row of a key")]
+    docs = frame(spark, rows)
+    found = jaccard.shared_shingles(docs.select(F.col("doc_id").cast("bigint").alias("key"), "text"))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(i, set()).update(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    counts = Counter(s for own in sets.values() for s in own)
+    spread = {r.a: (r.b, r.n) for r in found.where("kind = 3").collect()}
+    got = {(r.b, r.a, r.n) for r in found.where("kind = 0").collect()} | {(r.b, *spread[r.a]) for r in found.where("kind = 2").collect()}
+    assert spread and len(got) == sum(n for n in counts.values() if n > 1)
+    assert Counter(n for _, _, n in got) == Counter({k: sum(n for n in counts.values() if n == k) for k in set(counts.values()) - {1}})
+    one = [r for r in rows if r != (7, "one more row of a key")]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, one)).collect()} == linked(one)
+
+
 def test_near_duplicates_chain(spark):
     rng = random.Random(8)
     w = [f"w{i}" for i in range(120)]

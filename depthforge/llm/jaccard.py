@@ -69,11 +69,12 @@ COMMON_FROM = 16
 
 
 def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(kind, a, b, n) of ``docs`` (key, text), by kind.
+    """(kind, a, b, n, keys) of ``docs`` (key, text), by kind.
 
     0: shingle a is in the set of b and in n documents, two at least.  1: document a has the set of b, of n shingles.
-    2: common shingle a is in the set of b.  3: common shingle a is shingle b of kind 0, in n documents.  A shingle that
-    many documents of a batch have is counted there, and its keys are dealt out by key, so that its bucket stays small.
+    2: common shingle a is in the sets of keys.  3: common shingle a is shingle b of kind 0, in n documents.  A shingle
+    that many documents of a batch have is counted there; its keys, one list a batch, go elsewhere, so that its bucket
+    stays small.
     """
     buckets, common_from = SPLIT * partitions(docs.sparkSession), COMMON_FROM
 
@@ -106,7 +107,7 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         near, far = tokens[~away], tokens[away]
         rows += _dealt(mix(near), [near & TOKEN_BITS, keys[~away], stands_for[~away]], 0, TOKENS, buckets)
         if len(far):
-            rows += _dealt(mix(keys[away]), [(mix(far) % U(buckets) << U(40)) + (far & TOKEN_BITS), keys[away]], 3, COMMON, buckets)
+            rows += _dealt(np.full(len(far), mix(keys[:1])[0]), [(mix(far) % U(buckets) << U(40)) + (far & TOKEN_BITS), keys[away]], 3, COMMON, buckets)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
     def send(batches):
@@ -127,7 +128,16 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def out(kind, *cols):
         for a in range(0, len(cols[0]), 200_000):
             part = [c[a : a + 200_000] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *(pa.array(c.view(np.int64)) for c in part)], names=["kind", "a", "b", "n"])
+            yield row_batch(kind, *(pa.array(c.view(np.int64)) for c in part), pa.nulls(len(part[0]), pa.list_(pa.int64())))
+
+    def row_batch(kind, *cols):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *cols], names=["kind", "a", "b", "n", "keys"])
+
+    def key_lists(shingles, keys):
+        """One row a shingle; ``shingles`` are sorted."""
+        starts = np.flatnonzero(firsts(shingles))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(keys.view(np.int64)))
+        return row_batch(2, pa.array(shingles[starts].view(np.int64)), *[pa.nulls(len(starts), pa.int64())] * 2, lists)
 
     def decide_tokens(parts, bucket):
         tok, key, stands_for = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -161,8 +171,7 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     yield from out(1, *unpack_columns(blob, (8, 8, 8)))
                     continue
                 if kind == 3:
-                    a, b = unpack_columns(blob, COMMON)
-                    yield from out(2, a, b, np.zeros(len(a), U))
+                    yield key_lists(*unpack_columns(blob, COMMON))
                     continue
                 if (bucket, kind) != current:
                     yield from done()
@@ -174,7 +183,7 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         yield from done()
 
     sent = text_batches(docs).where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
-    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint"))
+    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint, keys array<bigint>"))
 
 
 def _dealt(by: np.ndarray, cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets: int) -> list[tuple[int, int, bytes]]:
@@ -308,7 +317,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # prefixes: shingles of one document alone come first, and there are n - held of them
     held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df"))
     common = found.where("kind = 3").select("a", F.col("b").alias("tok"), F.col("n").alias("df"))
-    common = found.where("kind = 2").select("a", F.col("b").alias("key")).join(common, "a").select("key", "tok", "df")
+    common = found.where("kind = 2").select("a", "keys").join(common, "a").select(F.explode("keys").alias("key"), "tok", "df")
     held = held.unionByName(common).join(owners, "key")
     own_order = Window.partitionBy("key").orderBy("df", "tok")
     placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))

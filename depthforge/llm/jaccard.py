@@ -1,9 +1,13 @@
 """N-gram Jaccard join: groups of documents whose sets of five-word shingles are alike, by a grouped prefix join.
 
-A document's shingles are ordered rarest first, by the exact number of documents that hold them.  Two sets with a
+A document's shingles are ordered rarest first, by the exact number of documents that hold them (equal
+sets and rows of one key count once a batch).  Two sets with a
 Jaccard similarity of 3/4 share three shingles among the first n - ceil(3n/4) + 3 of each; shingles of one document
 alone fill the front of the order and link nothing, so only documents that share most of their text have any to join.
 
+Frequencies are counted where a shingle's entries meet, one entry a batch, and answered to the batches, which keep the
+prefixes of their own documents: no row is made per document and shingle.
+
 1. Equal sets collapse to their smallest document, and documents of equal size and prefix to one group.
 2. Groups are filtered by shared prefix shingles (three at least, and as many as the sizes ask for) and size.
 3. Groups are expanded to members and pairs verified on whole sets.  First each member meets at most two
@@ -25,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +66,24 @@ def shingle_sets(raws: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
 
 
 SETS = (8, 8, 8, 8)  # set (two columns), size, key
-TOKENS = (8, 8, 4)  # shingle (40 bits, as differences), key, documents of the batch that the entry stands for
-COMMON = (8, 8)  # bucket and shingle, key
+TOKENS = (8, 4)  # shingle (40 bits, as differences), documents of the batch that have it
+ANSWERS = (4, 4)  # documents that have a shingle, its number among those of two (as differences)
+OWN = ((8, 8), (4,), (4,))  # a batch's documents: key, size; documents of each shingle; these documents' places
 TOKEN_BITS = U((1 << 40) - 1)
-#: Documents of a batch from which a shingle sends one entry with their number to its bucket, and their keys elsewhere.
+#: Documents of a batch from which :func:`shared_shingles` gives one list of keys.
 COMMON_FROM = 16
 
 
-def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(kind, a, b, n, keys) of ``docs`` (key, text), by kind.
+def counted_batches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(kind, a, b, n, blob) of ``docs`` (key, text), by kind.
 
-    0: shingle a is in the set of b and in n documents, two at least.  1: document a has the set of b, of n shingles.
-    2: common shingle a is in the sets of keys.  3: common shingle a is shingle b of kind 0, in n documents.  A shingle
-    that many documents of a batch have is counted there; its keys, one list a batch, go elsewhere, so that its bucket
-    stays small.
+    1: document a has the set of b, of n shingles.  Others are of batch a: its own documents and sets (b < 0), and
+    what bucket b answers about its shingles, in the batch's order.  A batch sends each distinct shingle once, with the
+    number of its documents, so a shingle that all documents have is one entry a batch.
     """
-    buckets, common_from = SPLIT * partitions(docs.sparkSession), COMMON_FROM
+    buckets = SPLIT * partitions(docs.sparkSession)
 
-    def flush(held):
+    def flush(held, place):
         """Rows of a batch's documents (key, set)."""
         by_set: dict[bytes, list] = {}
         for key, s in held:
@@ -94,24 +99,22 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         sizes = np.array([len(one[1]) for one in by_set.values()])
         sid = np.frombuffer(b"".join(by_set), U).reshape(-1, 2)
         rows += _dealt(mix(sid[:, 0]), [sid[:, 0], sid[:, 1], sizes.astype(U), owners], 1, SETS, buckets)
-        tokens, keys = np.concatenate([one[1] for one in by_set.values()]), np.repeat(owners, sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, keys = tokens[order], keys[order]
-        starts = np.flatnonzero(firsts(tokens))
+        tokens, who = np.concatenate([one[1] for one in by_set.values()]), np.repeat(np.arange(len(sizes)), sizes)
+        bucket = mix(tokens) % U(buckets)
+        order = np.argsort((bucket << U(40)) | (tokens & TOKEN_BITS), kind="stable")
+        tokens, bucket, who = tokens[order], bucket[order], who[order]
+        starts = np.flatnonzero(firsts(bucket, tokens & TOKEN_BITS))
         held_by = np.diff(np.append(starts, len(tokens)))
-        common = held_by >= common_from
-        stands_for = np.ones(len(tokens), U)
-        stands_for[starts[common]] = held_by[common]
-        away = np.repeat(common, held_by)
-        away[starts] = False
-        near, far = tokens[~away], tokens[away]
-        rows += _dealt(mix(near), [near & TOKEN_BITS, keys[~away], stands_for[~away]], 0, TOKENS, buckets)
-        if len(far):
-            rows += _dealt(np.full(len(far), mix(keys[:1])[0]), [(mix(far) % U(buckets) << U(40)) + (far & TOKEN_BITS), keys[away]], 3, COMMON, buckets)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+        rows += _dealt(bucket[starts], [tokens[starts] & TOKEN_BITS, held_by.astype(U)], 0, TOKENS, buckets)
+        for i, cols in enumerate(([owners, sizes.astype(U)], [held_by.astype(U)], [who.astype(U)])):
+            rows.append((place % buckets, 3 + i, pack_columns(cols, OWN[i])))
+        # by content, so answers to another attempt at these rows can't be taken for this one's
+        name = hashlib.blake2b(b"%d %d" % (place, len(held)) + owners.tobytes() + b"".join(by_set), digest_size=8).digest()
+        cols = [[r[0] for r in rows], [r[1] for r in rows], [int.from_bytes(name, "little", signed=True)] * len(rows), [place] * len(rows), [r[2] for r in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "batch", "place", "blob"])
 
     def send(batches):
-        held, n = [], 0
+        held, n, place = [], 0, 31 * TaskContext.get().partitionId()
         for batch in batches:
             keys = batch.column("key").to_pylist()
             for lo, hi, raws in text_slices(batch.column("text")):
@@ -120,70 +123,147 @@ def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         held.append((key, s))
                         n += len(s)
                     if n >= BATCH:
-                        yield flush(held)
-                        held, n = [], 0
+                        yield flush(held, place)
+                        held, n, place = [], 0, place + 1
         if held:
-            yield flush(held)
+            yield flush(held, place)
+
+    def row_batch(kind, *cols):
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([kind] * len(cols[0]), *cols), types, strict=True)], names=["kind", "a", "b", "n", "blob"])
 
-    def out(kind, *cols):
+    def out(*cols):
         for a in range(0, len(cols[0]), 200_000):
             part = [c[a : a + 200_000] for c in cols]
-            yield row_batch(kind, *(pa.array(c.view(np.int64)) for c in part), pa.nulls(len(part[0]), pa.list_(pa.int64())))
-
-    def row_batch(kind, *cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *cols], names=["kind", "a", "b", "n", "keys"])
-
-    def key_lists(shingles, keys):
-        """One row a shingle; ``shingles`` are sorted."""
-        starts = np.flatnonzero(firsts(shingles))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(keys.view(np.int64)))
-        return row_batch(2, pa.array(shingles[starts].view(np.int64)), *[pa.nulls(len(starts), pa.int64())] * 2, lists)
-
-    def decide_tokens(parts, bucket):
-        tok, key, stands_for = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((key, tok))
-        tok, key, stands_for = tok[order], key[order], stands_for[order]
-        first = firsts(tok)
-        starts = np.flatnonzero(first)
-        documents = np.add.reduceat(stands_for.astype(np.int64) - ~firsts(tok, key), starts)
-        number = np.cumsum(first) - 1
-        many = documents[number] > 1
-        yield from out(0, (number + (bucket << 40))[many].astype(U), key[many], documents[number[many]].astype(U))
-        common = np.flatnonzero(np.maximum.reduceat(stands_for, starts) > 1)
-        yield from out(3, tok[starts[common]] + U(bucket << 40), (common + (bucket << 40)).astype(U), documents[common].astype(U))
-
-    def decide_sets(parts, bucket):
+            yield row_batch(1, *(c.view(np.int64) for c in part), [None] * len(part[0]))
+
+    def decide_tokens(parts, senders, bucket):
+        cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+        tok, held_by = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order = np.argsort(tok, kind="stable")
+        first = firsts(tok[order])
+        documents = np.add.reduceat(held_by[order], np.flatnonzero(first))
+        of = np.empty(len(tok), np.int64)
+        of[order] = np.cumsum(first) - 1
+        number = np.cumsum(documents > 1) - (documents > 1)
+        blobs = [pack_columns([documents[of[a:b]], np.diff(number[of[a:b]], prepend=0).astype(U)], ANSWERS) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield row_batch(0, [s[0] for s in senders], [bucket] * len(senders), [s[1] for s in senders], blobs)
+
+    def decide_sets(parts, senders, bucket):
         s1, s2, n, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((key.view(np.int64), s2, s1))
         s1, s2, n, key = (x[order] for x in (s1, s2, n, key))
-        yield from out(1, key, key[first_of_run(firsts(s1, s2))], n)
+        yield from out(key, key[first_of_run(firsts(s1, s2))], n)
 
     def decide(batches):
-        held, current = [], None
+        held, senders, current = [], [], None
 
         def done():
             if held:
-                yield from (decide_sets if current[1] else decide_tokens)(held, current[0])
+                yield from (decide_sets if current[1] else decide_tokens)(held, senders, current[0])
 
         for batch in batches:
-            for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
+            for bucket, kind, sender, place, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "batch", "place", "blob")), strict=True):
                 if kind == 2:
-                    yield from out(1, *unpack_columns(blob, (8, 8, 8)))
+                    yield from out(*unpack_columns(blob, (8, 8, 8)))
                     continue
-                if kind == 3:
-                    yield key_lists(*unpack_columns(blob, COMMON))
+                if kind >= 3:
+                    yield row_batch(0, [sender], [kind - 6], [place], [blob])
                     continue
                 if (bucket, kind) != current:
                     yield from done()
-                    held, current = [], (bucket, kind)
+                    held, senders, current = [], [], (bucket, kind)
                 columns = unpack_columns(blob, SETS if kind else TOKENS)
                 if not kind:
                     columns[0] = np.cumsum(columns[0])
                 held.append(columns)
+                senders.append((sender, place))
         yield from done()
 
-    sent = text_batches(docs).where("key is not null").mapInArrow(send, "bucket int, kind int, blob binary")
-    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint, keys array<bigint>"))
+    sent = text_batches(docs).where("key is not null").mapInArrow(send, "bucket int, kind int, batch bigint, place bigint, blob binary")
+    return stored(dealt(sent).mapInArrow(decide, "kind int, a bigint, b bigint, n bigint, blob binary"))
+
+
+def _by_batch(found: DataFrame, body, schema: str) -> DataFrame:
+    """``body`` of each batch of ``found``: keys and sizes of its documents, how many of them have each shingle, which (shingle by shingle), and the shingles' frequencies and numbers."""
+
+    def whole(parts):
+        (keys, sizes), (held_by,), (who,) = (unpack_columns(blob, planes) for (_, blob), planes in zip(parts, OWN, strict=False))
+        df, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bucket, blob in parts[3:]:
+            d, n = (c.astype(np.int64) for c in unpack_columns(blob, ANSWERS))
+            df.append(d)
+            number.append(np.cumsum(n) + (bucket << 40))
+        df, number = np.concatenate(df), np.concatenate(number)
+        if [b for b, _ in parts[:3]] != [-3, -2, -1] or len(df) != len(held_by):
+            raise RuntimeError("the answers to a batch aren't of its shingles: its rows were read again in another order")
+        return body(keys.view(np.int64), sizes.astype(np.int64), held_by.astype(np.int64), who.astype(np.int64), df, number)
+
+    def run(batches):
+        current, parts = None, []
+        for batch in batches:
+            for name, b, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "blob")), strict=True):
+                if name != current:
+                    if parts:
+                        yield from whole(parts)
+                    current, parts = name, []
+                parts.append((b, blob))
+        if parts:
+            yield from whole(parts)
+
+    n = partitions(found.sparkSession)
+    rows = found.where("kind = 0").select("a", "b", "n", "blob")
+    return rows.repartitionById(n, F.pmod("n", F.lit(n)).cast("int")).sortWithinPartitions("a", "b").mapInArrow(run, schema)
+
+
+def shared_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(kind, a, b, n, keys): the shingles that two documents at least have, :func:`counted_batches` spelled out.
+
+    0: shingle a is in the set of b and in n documents.  2: shingle a, of COMMON_FROM documents of a batch, is in the
+    sets of keys.  3: that shingle a is shingle b of kind 0, in n documents.
+    """
+    common_from = COMMON_FROM
+
+    def body(keys, sizes, held_by, who, df, number):
+        ends, many, common = np.cumsum(held_by), df > 1, held_by >= common_from
+
+        def rows(kind, a, b, n, lists):
+            cols = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c) for c in (a, b, n)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *cols, pa.array(lists or [None] * len(a), pa.list_(pa.int64()))], names=["kind", "a", "b", "n", "keys"])
+
+        each = np.repeat(many & ~common, held_by)
+        yield rows(0, np.repeat(number, held_by)[each], keys[who[each]], np.repeat(df, held_by)[each], None)
+        j = np.flatnonzero(many & common)
+        yield rows(2, number[j], None, None, [keys[who[e - m : e]] for e, m in zip(ends[j], held_by[j], strict=True)])
+        yield rows(3, number[j], number[j], df[j], None)
+
+    return _by_batch(counted_batches(docs, shingle), body, "kind int, a bigint, b bigint, n bigint, keys array<bigint>")
+
+
+def prefixes(found: DataFrame) -> DataFrame:
+    """(key, n, held, toks) of ``found``: sets of n shingles, held of them in other documents too, and of these the ones in the set's prefix, in order.
+
+    Shingles of one document alone come first, and there are n - held of them; the others come by frequency and
+    number.  Sets whose prefix has none of them are left out: they're like no other.
+    """
+
+    def body(keys, sizes, held_by, who, df, number):
+        order = np.lexsort((number, df))
+        rank = np.empty(len(df), np.int64)
+        rank[order] = np.arange(len(df))
+        many = np.repeat(df > 1, held_by)
+        placed = np.sort((who[many] << 32) | np.repeat(rank, held_by)[many])
+        doc, tok = placed >> 32, number[order[placed & 0xFFFFFFFF]]
+        held = np.bincount(doc, minlength=len(keys))
+        before = np.arange(len(doc)) - (np.cumsum(held) - held)[doc]
+        alone, length = sizes - held, np.minimum(sizes, sizes - (3 * sizes + 3) // 4 + SHARED)
+        kept = alone[doc] + before < length[doc]
+        counts = np.bincount(doc[kept], minlength=len(keys))
+        some = counts > 0
+        toks = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts[some]]), pa.int32()), pa.array(tok[kept]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(sizes[some]), pa.array(held[some]), toks], names=["key", "n", "held", "toks"])
+
+    return _by_batch(found, body, "key bigint, n bigint, held bigint, toks array<bigint>")
 
 
 def _dealt(by: np.ndarray, cols: list[np.ndarray], kind: int, planes: tuple[int, ...], buckets: int) -> list[tuple[int, int, bytes]]:
@@ -310,25 +390,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """(key, n_shingles, component_id) per row of ``docs``: the smallest document linked to it by similarities of 3/4 or more."""
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     every, slim = slim, slim.where("key is not null")
-    found = shared_shingles(slim, shingle)
+    found = counted_batches(slim, shingle)
     documents = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("owner"), "n")
     same = documents.where("key <> owner").select(F.col("key").alias("u"), F.col("owner").alias("v"))
     owners = documents.where("key = owner").select("key", "n").distinct()
-    # prefixes: shingles of one document alone come first, and there are n - held of them
-    held = found.where("kind = 0").select(F.col("b").alias("key"), F.col("a").alias("tok"), F.col("n").alias("df"))
-    common = found.where("kind = 3").select("a", F.col("b").alias("tok"), F.col("n").alias("df"))
-    common = found.where("kind = 2").select("a", "keys").join(common, "a").select(F.explode("keys").alias("key"), "tok", "df")
-    held = held.unionByName(common).join(owners, "key")
-    own_order = Window.partitionBy("key").orderBy("df", "tok")
-    placed = held.withColumn("r", F.row_number().over(own_order)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key")))
-    length = F.least(F.col("n"), F.col("n") - _least("n") + SHARED)
-    prefixes = stored(placed.where(F.col("alone") + F.col("r") <= length).select("key", "n", "alone", "tok", (F.col("alone") + F.col("r")).alias("pos")), free=True, few=True)
-    alike = prefixes.groupBy("key", "n", "alone").agg(F.sort_array(F.collect_list("tok")).alias("toks"))
-    alike = alike.select("key", "n", (F.col("n") - F.col("alone")).alias("held"), F.when(F.col("alone") == 0, F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")).alias("g"))
+    placed = stored(prefixes(found), free=True)
+    alike = placed.join(owners, ["key", "n"]).withColumn("g", F.when(F.col("held") == F.col("n"), F.xxhash64("toks")).otherwise(F.xxhash64("toks", "key")))
     heads = alike.groupBy("n", "g").agg(F.min("key").alias("grp"))
-    members = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n", "held"), free=True, few=True)
+    placed = stored(alike.join(heads, ["n", "g"]).select("key", "grp", "n", "held", F.when(F.col("key") == F.col("grp"), F.col("toks")).alias("toks")), free=True, few=True)
+    members = placed.select("key", "grp", "n", "held")
     sizes = members.groupBy("grp").agg(F.first("n").alias("n"), F.max("held").alias("held"))
-    tokens = prefixes.select(F.col("key").alias("grp"), "tok", "pos").join(sizes.select("grp"), "grp")
+    tokens = placed.where("key = grp").select("grp", (F.col("n") - F.col("held")).alias("alone"), F.posexplode("toks").alias("i", "tok")).select("grp", "tok", (F.col("alone") + F.col("i") + 1).alias("pos"))
     shared = tokens.groupBy("tok").agg(F.min("grp").alias("pivot"), F.max("grp").alias("last")).where("pivot < last")
     tokens = stored(tokens.join(shared.select("tok", "pivot"), "tok").join(sizes, "grp").select("tok", "grp", "pivot", "n", "held", "pos").distinct(), few=True)
     n_pivot = sizes.select(F.col("grp").alias("pivot"), F.col("n").alias("n_pivot"), F.col("held").alias("held_pivot"))

@@ -219,6 +219,35 @@ def test_near_duplicates_of_common_shingles(spark, monkeypatch, common):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, one)).collect()} == linked(one)
 
 
+def test_prefixes_of_near_copies(spark, monkeypatch):
+    """One row a document with its prefix only, by exact frequencies; twice as many near copies have twice as many entries."""
+    monkeypatch.setattr(jaccard, "BATCH", 700)
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        w = [f"w{j}" for j in range(40)]
+        w[rng.randrange(40)], w[rng.randrange(40)] = f"e{i}", f"f{i % 7}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"u{i}x{j}" for j in range(20))) for i in range(5)]
+    entries = []
+    for some in (rows[:120], rows):
+        docs = spark.createDataFrame(some, "key bigint, text string").repartition(3, "key")
+        found = jaccard.counted_batches(docs)
+        got = jaccard.prefixes(found).collect()
+        sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in some}
+        df = Counter(s for own in sets.values() for s in own)
+        shared = {i: sorted(df[s] for s in own if df[s] > 1) for i, own in sets.items()}
+        least = {i: (3 * len(own) + 3) // 4 for i, own in sets.items()}
+        want = {i: (len(sets[i]), len(held), held[: max(0, len(held) - max(0, least[i] - 3))]) for i, held in shared.items()}
+        numbers = {r.a: r.n for r in jaccard.shared_shingles(docs).where("kind <> 2").select("kind", F.when(F.col("kind") == 0, F.col("a")).otherwise(F.col("b")).alias("a"), "n").collect()}
+        assert {r.key: (r.n, r.held, [numbers[t] for t in r.toks]) for r in got} == {i: w for i, w in want.items() if w[2]}
+        assert len(got) <= len(some) and found.count() < 4 * sum(map(len, sets.values())) / 5
+        entries.append(sum(len(r.toks) for r in got))
+    assert 0 < entries[1] <= 2.5 * entries[0] and 3 * entries[1] < sum(map(len, shared.values()))
+    with pytest.raises(Exception, match="answers to a batch"):
+        jaccard.prefixes(found.where("kind = 1 or b < 3")).collect()
+
+
 def test_near_duplicates_chain(spark):
     rng = random.Random(8)
     w = [f"w{i}" for i in range(120)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depthforge.llm import decontam, jaccard, licenses, lines, manifest, packing, pii, quality, substrings, suffix, toxicity
+from depthforge.llm import alignment, decontam, html, jaccard, licenses, lines, manifest, packing, pii, quality, substrings, suffix, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_line_dedup": lines.op9,
     "op10_jaccard_join": jaccard.op10,
+    "op11_token_alignment": alignment.op11,
+    "op12_html_extraction": html.op12,
     "op13_merkle_manifest": manifest.op13,
 }
 
@@ -22,5 +24,7 @@ ORACLES = {
     "op4_quality_rules": quality.OP4_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op11_token_alignment": alignment.op11,
+    "op12_html_extraction": html.op12,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }

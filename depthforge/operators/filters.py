@@ -33,7 +33,7 @@ def trade_size(threshold: float, size: str = "trade_sz", side: str = "trade_side
 
     def large(depth: str) -> Column:
         d = num(F.col(depth))
-        return F.when(d > 0, num(F.col(size)) > threshold * d)
+        return F.when(d > 0, num(F.col(size)) / d > threshold)
 
     hit = F.when(F.col(side) == BUY, large(ask)).when(F.col(side) == SELL, large(bid))
     return F.coalesce(hit, F.lit(False))
@@ -41,7 +41,7 @@ def trade_size(threshold: float, size: str = "trade_sz", side: str = "trade_side
 
 def level_taken(bid: str = "bid_px_0", ask: str = "ask_px_0", eps: float = 1e-10, keys: Sequence[str] = KEYS, order: str = ORDER) -> Column:
     """Rows where the best bid or ask moved.  It looks at the previous row: use :func:`where_level`."""
-    move = lambda c: F.abs(diff(num(F.col(c)), keys, order)) > eps
+    move = lambda c: F.coalesce(F.abs(diff(num(F.col(c)), keys, order)) > eps, F.lit(False))
     return move(bid) | move(ask)
 
 

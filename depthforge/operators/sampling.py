@@ -46,14 +46,24 @@ def uniform(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = ORDE
 
 
 def level_changes(df: DataFrame, value: str, n: int | None = None, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """Rows where a step series changes, and its ends; of more than n, the last of each of n runs."""
+    """Rows where a step series changes, and its ends; of more than n, the first and the last of n - 1 runs of the others.
+
+    Run k of m rows ends at position floor(k * (m / (n - 1))) of them, in floating point; a budget of one is the last row.
+    """
     w = W.partitionBy(*keys).orderBy(order)
     spot = positions(df, keys, order).withColumn("_was", F.lag(value).over(w))
     kept = spot.where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | ~F.col(value).eqNullSafe(F.col("_was"))).drop("_was", "_i", "_n")
     if n is None:
         return kept
-    run = F.floor(F.col("_i") * n / F.col("_n"))
-    return positions(kept, keys, order).withColumn("_last", F.lead(run).over(w)).where((F.col("_n") <= n) | F.col("_last").isNull() | (F.col("_last") != run)).drop("_i", "_n", "_last")
+    spot, last = positions(kept, keys, order), F.col("_i") == F.col("_n") - 1
+    if n > 1:
+        width = (F.col("_n") - 1) / F.lit(float(n - 1))
+        near = F.round(F.col("_i") / width)
+        ends = F.array(near - 1, near, near + 1)
+        hit = (F.col("_i") == 0) | last | F.exists(ends, lambda k: (k > 0) & (k < n - 1) & (F.floor(k * width) == F.col("_i")))
+    else:
+        hit = last
+    return spot.where((F.col("_n") <= n) | hit).drop("_i", "_n")
 
 
 def relative_ns(df: DataFrame, time: str = "ts_ns", name: str = "x_ns") -> DataFrame:

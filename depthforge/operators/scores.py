@@ -96,22 +96,27 @@ def correlation(y: str, p: str, name: str = "correlation") -> Score:
     return Score(name, {"y": a, "p": b, "y2": a * a, "p2": b * b, "yp": a * b, "n": F.lit(1)}, value)
 
 
+def beyond(x: Column, above: float | None = None, below: float | None = None) -> Column:
+    """Whether ``x`` is above or below a bound; null and NaN, which Spark takes for the largest number, are neither."""
+    return F.coalesce(~F.isnan(x) & (x > above if above is not None else x < below), F.lit(False))
+
+
 def unit_pnl(y: str, p: str, threshold: float = 0.0, power: int = 0, name: str = "unit_pnl") -> Score:
-    """Return earned per unit of position, positions being the sign (or a power) of predictions beyond the threshold."""
+    """Return earned per unit of position, positions being the sign (or a power) of predictions beyond the threshold; null and NaN predictions take none."""
     a, b = num(F.col(y)), num(F.col(p))
-    active = F.abs(b) > threshold
+    active = beyond(F.abs(b), above=threshold)
     weight = F.pow(F.abs(b), F.lit(power)) if power else F.lit(1.0)
     sums = {"pnl": F.when(active, F.signum(b) * weight * a).otherwise(0.0), "norm": F.when(active, weight).otherwise(0.0), "n": active.cast("int")}
     return Score(name, sums, lambda s: _ratio(s("pnl"), s("norm")))
 
 
 def quantile_pnl(y: str, quantiles: Sequence[str], q_buy: int = -1, q_sell: int = 0, buy_above: float = 0.0, sell_below: float = 0.0, power: int = 0, name: str = "quantile_pnl") -> Score:
-    """Buy where one predicted quantile is above a bound, sell where another is below; both at once is neither."""
+    """Buy where one predicted quantile is above a bound, sell where another is below; both at once is neither, and null and NaN are on no side."""
     k = len(quantiles)
     if not (-k <= q_buy < k and -k <= q_sell < k):
         raise ValueError("quantile index out of bounds")
     up, down = num(F.col(quantiles[q_buy])), num(F.col(quantiles[q_sell]))
-    b, s = up > buy_above, down < sell_below
+    b, s = beyond(up, above=buy_above), beyond(down, below=sell_below)
     buy, sell = b & ~s, s & ~b
     signal = F.when(buy, up).otherwise(down)
     weight = F.pow(F.abs(signal), F.lit(power)) if power else F.lit(1.0)

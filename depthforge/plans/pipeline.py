@@ -122,7 +122,10 @@ class Pipeline:
                 scored = frame.withColumn("_p", prediction).withColumn("_fold", fold).where("_fold is not null")
                 one = self.score(s.target, "_p")
                 by_fold = {r["_fold"]: r[one.name] for r in scores.evaluate(scored, [one], ["_fold"]).collect()}
-                value = weighted_mean([by_fold.get(i, 0.0) for i in range(len(folds))], weights)
+                found = sorted(by_fold)  # a fold without rows has no score
+                if not found:
+                    raise ValueError("no fold has rows to score")
+                value = weighted_mean([by_fold[i] for i in found], [weights[i] for i in found])
                 self.tracker.log(len(self.history), score=value)
                 return value
 

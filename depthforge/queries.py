@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depthforge import book_sql
+from depthforge import book_sql, tree_sql
 from depthforge.functions import exprs as X
-from depthforge.operators import asof, book, filters, linear, quality, relational, reports, sampling, scores, transforms
-from depthforge.operators.kernels import Decay
+from depthforge.operators import asof, book, boosting, filters, linear, quality, relational, reports, sampling, scores, transforms
+from depthforge.operators.kernels import Decay, decayed_by_ranges
 from depthforge.operators.ordering import KEYS, average_rank, by_row, carry_forward, forward_fill
 from depthforge.plans import features as P
 from depthforge.plans import search
 from depthforge.sources.dated import DataSource, nature, session_days, with_row_nr
+from depthforge.sources.shared import shared_path
 from depthforge.sources.views import MBO_SQL, QUOTES_SQL, event_stream, mbo, mbo_of, quotes, quotes_of
-from depthforge.streaming import states
+from depthforge.streaming import event_time, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,12 +166,27 @@ def _(s, d):
     return quotes(s, d).where(filters.is_value("instrument_id", [0, 3]) & filters.is_value("trade_side", 1)).select("row_nr")
 
 
+def _trade_size(name: str, threshold: float):
+    large = f"CASE WHEN trade_side = 0 THEN ask_sz_0 > 0 AND CAST(trade_sz AS DOUBLE) / ask_sz_0 > {threshold} WHEN trade_side = 1 THEN bid_sz_0 > 0 AND CAST(trade_sz AS DOUBLE) / bid_sz_0 > {threshold} ELSE false END"
+    query(name, with_quotes(f"SELECT row_nr FROM quotes WHERE {large}"))(lambda s, d: quotes(s, d).where(filters.trade_size(threshold)).select("row_nr"))
+
+
+_trade_size("trade_size_filter", 0.5)
+
+
+def _round_sizes(s, d) -> DataFrame:
+    """Sizes of a hundredth of the depth they meet, so that quotients fall on the threshold."""
+    n = F.col("event_id")
+    return s.read.parquet(f"{d}/events.parquet").select(n.alias("row_nr"), (n % 2).alias("trade_side"), (n % 61).alias("trade_sz"), (F.lit(100) * (n % 3)).alias("bid_sz_0"), (F.lit(100) * (n % 4)).alias("ask_sz_0"))
+
+
 @query(
-    "trade_size_filter",
-    with_quotes("SELECT row_nr FROM quotes WHERE CASE WHEN trade_side = 0 THEN ask_sz_0 > 0 AND trade_sz > 0.5 * ask_sz_0 WHEN trade_side = 1 THEN bid_sz_0 > 0 AND trade_sz > 0.5 * bid_sz_0 ELSE false END"),
+    "trade_size_boundary",
+    "WITH t AS (SELECT event_id AS row_nr, event_id % 61 AS z, CASE WHEN event_id % 2 = 0 THEN 100 * (event_id % 4) ELSE 100 * (event_id % 3) END AS depth FROM events) SELECT row_nr FROM t WHERE depth > 0 AND CAST(z AS DOUBLE) / CAST(depth AS DOUBLE) > CAST(0.29 AS DOUBLE)",
 )
 def _(s, d):
-    return quotes(s, d).where(filters.trade_size(0.5)).select("row_nr")
+    """A size of 29 against a depth of 100 isn't above 0.29."""
+    return _round_sizes(s, d).where(filters.trade_size(0.29)).select("row_nr")
 
 
 @query("level_taken_filter", with_quotes(f", {LAGGED} SELECT row_nr FROM lagged WHERE abs(coalesce(CAST(bid_px_0 AS DOUBLE) - bid_p0, 0)) > 1e-10 OR abs(coalesce(CAST(ask_px_0 AS DOUBLE) - ask_p0, 0)) > 1e-10"))
@@ -271,6 +285,14 @@ _node("ewma_unnormalized", lambda n: P.Ewma(n, lambda w: F.col("trade_sz"), half
 _node("ewma_normalized", lambda n: P.Ewma(n, lambda w: F.col("trade_sz"), half_life="1h", normalized=True), [mean_sql("c_a", "quotes", "trade_sz", HOUR)], "c_a.s", False)
 
 
+@query("ewma_by_ranges", with_quotes(f", {decay_sql('c_a', 'quotes', 'trade_sz', HOUR)}, {mean_sql('c_b', 'quotes', 'trade_sz', HOUR)} SELECT c_a.row_nr, round(c_a.s, 6) AS total, round(c_b.s, 6) AS mean FROM c_a JOIN c_b ON c_a.row_nr = c_b.row_nr"))
+def _(s, d):
+    """Decayed sums and averages, the rows of an instrument dealt out by ranges."""
+    q = quotes(s, d).select(*KEYS, "row_nr", "ts_ns", F.col("trade_sz").cast("double").alias("x"))
+    out = decayed_by_ranges(q, [Decay("total", "x", HOUR), Decay("mean", "x", HOUR, True)], 1000)
+    return out.select("row_nr", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"))
+
+
 def _momentum(name, mode, combine="diff", log=False, unit=False):
     buy, sell = flows_sql(mode, unit)
     ctes = [decay_sql("c_buy", "lagged", buy, HOUR), decay_sql("c_sell", "lagged", sell, HOUR), mean_sql("c_vol", "lagged", "0.5 * (bid_sz_0 + ask_sz_0)", HOUR)]
@@ -465,6 +487,34 @@ _QP = "(CASE WHEN q1 > 1 AND NOT q0 < -1 THEN y WHEN q0 < -1 AND NOT q1 > 1 THEN
 _score("score_quantile_pnl", lambda n: scores.quantile_pnl("y", ["q0", "q1"], -1, 0, 1.0, -1.0, 0, n), f"avg({_QP})")
 _score("score_pinball", lambda n: scores.pinball("y", ["q0", "q1"], [0.1, 0.9], n), "sum(greatest(0.1 * (y - q0), -0.9 * (y - q0)) + greatest(0.9 * (y - q1), -0.1 * (y - q1))) / (2 * count(*))")
 
+_GAPS_SQL = f"{PRED_SQL}, gaps AS (SELECT y, CASE WHEN row_nr % 5 = 0 THEN 'NaN'::DOUBLE WHEN row_nr % 7 <> 0 THEN p END AS p, CASE WHEN row_nr % 7 = 0 THEN 'NaN'::DOUBLE WHEN row_nr % 11 <> 0 THEN q1 END AS q1, CASE WHEN row_nr % 13 = 0 THEN 'NaN'::DOUBLE WHEN row_nr % 3 <> 0 THEN q0 END AS q0 FROM pred)"
+
+
+def _gaps(s, d) -> DataFrame:
+    """Predictions with NaN and nulls."""
+    n = F.col("row_nr")
+    gap = lambda c, nan, null: F.when(n % nan == 0, float("nan")).when(n % null != 0, F.col(c)).alias(c)
+    return predictions(s, d).select("y", gap("p", 5, 7), gap("q1", 7, 11), gap("q0", 13, 3))
+
+
+@query("unit_pnl_of_gaps", with_quotes(f", {_GAPS_SQL} SELECT round(sum(sign(p) * y) / count(*), 6) AS score, count(*) AS n FROM gaps WHERE p IS NOT NULL AND NOT isnan(p) AND abs(p) > 5"))
+def _(s, d):
+    one = scores.unit_pnl("y", "p", 5.0, 0, "score")
+    return scores.state(_gaps(s, d), [one]).select(F.round(one.result(), 6).alias("score"), F.col("score__n").alias("n"))
+
+
+_SIDES_SQL = "sides AS (SELECT y, coalesce(q1 > 1 AND NOT isnan(q1), false) AS b, coalesce(q0 < -1 AND NOT isnan(q0), false) AS s FROM gaps)"
+
+
+@query(
+    "quantile_pnl_of_gaps",
+    with_quotes(f", {_GAPS_SQL}, {_SIDES_SQL} SELECT round(sum(CASE WHEN b AND NOT s THEN y WHEN s AND NOT b THEN -y END) / count(*) FILTER (b <> s), 6) AS score, count(*) FILTER (b AND NOT s) AS n_buy, count(*) FILTER (s AND NOT b) AS n_sell, count(*) FILTER (b AND s) AS n_overlap FROM sides"),
+)
+def _(s, d):
+    one = scores.quantile_pnl("y", ["q0", "q1"], -1, 0, 1.0, -1.0, 0, "score")
+    return scores.state(_gaps(s, d), [one]).select(F.round(one.result(), 6).alias("score"), *(F.col(f"score__{c}").alias(c) for c in ("n_buy", "n_sell", "n_overlap")))
+
+
 _DAY = "ts_ns // 86400000000000"
 
 
@@ -524,6 +574,17 @@ def _(s, d):
     return row.select(*(F.round(c, 6).alias(c) for c in row.columns))
 
 
+_EDGES = [[-80.0, -20.0, 30.0, 90.0], [-5.0, -2.0, 1.5]]
+
+
+@query("gbt_quantile_fit_predict", tree_sql.boosted_predictions(with_quotes(f", {PRED_SQL}"), "pred", "row_nr", ["p", "q0"], _TARGET, _EDGES, [0.1, 0.75], 2, 2, 0.5))
+def _(s, d):
+    """Two rounds of trees of depth two for each quantile, on fixed bins."""
+    df = predictions(s, d).withColumn("t", 2 * F.col("p") - F.col("q0") + 0.1 * F.col("y"))
+    model = boosting.fit(df, ["p", "q0"], "t", [0.1, 0.75], rounds=2, depth=2, learning_rate=0.5, edges=_EDGES)
+    return model.predict(df, ["q0_", "q1_"]).select("row_nr", F.round("q0_", 6).alias("q0"), F.round("q1_", 6).alias("q1"))
+
+
 @query("expanding_folds_scores", with_quotes(f", {PRED_SQL}, c AS (SELECT *, row_nr % 4 AS chunk FROM pred) SELECT CAST(f AS INTEGER) AS fold, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM c, range(3) r(f) WHERE chunk = f + 1 GROUP BY f"))
 def _(s, d):
     df = predictions(s, d).withColumn("date", (F.col("row_nr") % 4).cast("string"))
@@ -618,6 +679,18 @@ def _(s, d):
     return sampling.level_changes(quotes(s, d), "bid_px_1").select("row_nr", "bid_px_1")
 
 
+@query(
+    "level_downsample_budget",
+    with_quotes(
+        ", p AS (SELECT row_nr, instrument_id, bid_px_1, lag(bid_px_1) OVER w AS was, row_number() OVER w AS i, count(*) OVER (PARTITION BY instrument_id) AS n FROM quotes WINDOW w AS (PARTITION BY instrument_id ORDER BY row_nr)), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY row_nr) - 1 AS j, count(*) OVER (PARTITION BY instrument_id) - 1 AS m FROM p WHERE i = 1 OR i = n OR bid_px_1 <> was) "
+        "SELECT row_nr, bid_px_1 FROM k WHERE m < 50 OR j = 0 OR j IN (SELECT CASE WHEN e = 49 THEN k.m ELSE floor(e * (k.m / CAST(49 AS DOUBLE)))::BIGINT END FROM range(1, 50) t(e))"
+    ),
+)
+def _(s, d):
+    return sampling.level_changes(quotes(s, d), "bid_px_1", 50).select("row_nr", "bid_px_1")
+
+
 @query("over_budget", with_quotes("SELECT count(*) > 500 AS over FROM quotes WHERE trade_side = 0"))
 def _(s, d):
     return sampling.over_budget(quotes(s, d).where("trade_side = 0"), 500)
@@ -772,12 +845,7 @@ def _(s, d):
 
 def _drained(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """All that a stream over the files there are gives, written by its tasks to the folder that all executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="depthforge-")
-    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    path = shared_path(s, name)
     q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/offsets").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -789,6 +857,22 @@ def _(s, d):
     return _drained(s, states.stream_decayed(q, [Decay("value", "x", HOUR)], KEYS), "stream_ewma").select("row_nr", F.round("value", 6).alias("value"))
 
 
+@query("stream_future_return", with_quotes(f", {asof_sql('f', 'quotes', GOOD, HOUR)} SELECT q.row_nr, round((f.v / ({GOOD}) - 1) * 1e4, 6) AS value, false AS late FROM quotes q JOIN f ON f.row_nr = q.row_nr JOIN f_p ON f_p.row_nr = q.row_nr WHERE f_p.t + {HOUR} <= f_p.e"))
+def _(s, d):
+    """The label of every row whose hour has closed an hour before its key's last row."""
+    q = quotes_of(event_stream(s, d)).select(*KEYS, "row_nr", "ts_ns", good_mid().alias("price"))
+    out = _drained(s, event_time.stream_future_price(q, "price", "1h", delay="1h"), "stream_future_return")
+    return out.select("row_nr", F.round((X.fdiv(F.col("future_price"), F.col("price")) - 1.0) * 1e4, 6).alias("value"), "late")
+
+
+@query("stream_ewma_in_order", with_quotes(f", {decay_sql('c_a', 'quotes', 'trade_sz', HOUR)}, e AS (SELECT row_nr, ts_ns, max(ts_ns) OVER (PARTITION BY instrument_id) AS e FROM quotes) SELECT row_nr, round(c_a.s, 6) AS value FROM c_a JOIN e USING (row_nr) WHERE ts_ns + {6 * HOUR} <= e"))
+def _(s, d):
+    """Decayed sums of a stream whose rows may be six hours out of order."""
+    q = quotes_of(event_stream(s, d)).select(*KEYS, "row_nr", "ts_ns", F.col("trade_sz").cast("double").alias("x"))
+    out = _drained(s, event_time.stream_decayed_in_order(q, [Decay("value", "x", HOUR)], "6h"), "stream_ewma_in_order")
+    return out.select("row_nr", F.round("value", 6).alias("value"))
+
+
 @query("stream_book", book_sql.closed_depth_rows(3))
 def _(s, d):
     return _drained(s, states.stream_depth(mbo_of(event_stream(s, d)), 3), "stream_book")

@@ -30,7 +30,7 @@ def nature_of(tag: str) -> str:
 
 
 def expand_dates(dates: str | Sequence[str], holidays: Iterable[str] = (), weekend: bool = False, end_date: bool = True) -> list[str]:
-    """Sessions, YYYYMMDD, of days and ranges (YYYYMMDD-YYYYMMDD); weekends and ``holidays`` (the calendar) drop out, and the last day of a range without ``end_date``."""
+    """Sessions, YYYYMMDD, of days and ranges (YYYYMMDD-YYYYMMDD); weekends and ``holidays`` (the calendar) drop out, and the last day, a single one too, without ``end_date``."""
     closed, out = set(holidays), []
     for item in [dates] if isinstance(dates, str) else dates:
         a, _, b = item.partition("-")
@@ -39,7 +39,7 @@ def expand_dates(dates: str | Sequence[str], holidays: Iterable[str] = (), weeke
             raise ValueError(f"{item} ends before it starts")
         while day <= last:
             text = day.strftime("%Y%m%d")
-            if (weekend or day.weekday() < 5) and text not in closed and (end_date or not b or day < last):
+            if (weekend or day.weekday() < 5) and text not in closed and (end_date or day < last):
                 out.append(text)
             day += dt.timedelta(days=1)
     return list(dict.fromkeys(out))

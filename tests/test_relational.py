@@ -155,7 +155,11 @@ def test_views(spark):
     assert [r.row_nr for r in sampling.uniform(df, 5).orderBy("row_nr").collect()] == [0, 24, 49, 74, 99]
     assert sampling.uniform(df.limit(3), 5).count() == 3 and [r.row_nr for r in sampling.uniform(df, 1).collect()] == [0]
     assert [r.row_nr for r in sampling.level_changes(df, "v").orderBy("row_nr").collect()] == [*range(0, 100, 10), 99]
-    assert sampling.level_changes(df, "v", 3).count() == 3
+    taken = lambda n: [r.row_nr for r in sampling.level_changes(df, "v", n).orderBy("row_nr").collect()]
+    every = [*range(0, 100, 10), 99]
+    for n in range(1, 13):
+        rest, edges = every[1:], np.linspace(0, 10, max(n - 1, 1) + 1, dtype=int)
+        assert taken(n) == (every if n >= 11 else [99] if n == 1 else [0, *(rest[b - 1] for b in edges[1:])])
     assert [r.over for n in (99, 100) for r in sampling.over_budget(df, n).collect()] == [True, False]
     assert sampling.sample_smallest(df, 7, 1).collect() == sampling.sample_smallest(df.repartition(5), 7, 1).collect()
     ranks = {r.v: r.rank for r in reports.ranked(df, "v").collect()}
@@ -186,7 +190,7 @@ def test_dated_files(spark, tmp_path):
     assert df.columns == ["id", "date", "nature", "row_nr"] and sorted({(r.date, r.nature) for r in df.collect()}) == [("20240102", "normal"), ("20240103", "stress")]
     assert df.where("row_nr <> id").count() == 0 and dated.nature_of("Odd") == "Odd"
     assert dated.frame_source(spark, df, ["2024-01-03"]).count() == 5
-    assert dated.expand_dates("20240105-20240109", holidays=["20240108"]) == ["20240105", "20240109"] and dated.expand_dates("20240108-20240109", end_date=False) == ["20240108"]
+    assert dated.expand_dates("20240105-20240109", holidays=["20240108"]) == ["20240105", "20240109"] and dated.expand_dates("20240108-20240109", end_date=False) == ["20240108"] and dated.expand_dates("20240108", end_date=False) == []
     days = dated.session_days(spark, "2024-01-05", "2024-01-09", spark.createDataFrame([(dt.date(2024, 1, 8),)], "date date"))
     assert sorted(str(r.date) for r in days.collect()) == ["2024-01-05", "2024-01-09"]
     parts = ["x_20240102_normal_gap_before.parquet", "x_20240102_normal_window.parquet"]

@@ -109,7 +109,7 @@ class State(dict):
         super().__init__()
         self.lead, self.rest, self.home = lead, rest, home
 
-    def __missing__(self, token: int) -> State | None:
+    def __missing__(self, token: int) -> State:
         side = 1 if self.lead <= 0 else -1
         spelled = self.home.tokens[side][token]
         if not spelled:
@@ -119,17 +119,26 @@ class State(dict):
         elif spelled.startswith(self.rest):
             to = self.home.state(side, spelled[len(self.rest) :])
         else:
-            to = None
+            to = self.home.apart
         self[token] = to
         self.home.known += 1
         return to
 
 
+class Apart(State):
+    """The sides don't spell the same: nothing leads out of here."""
+
+    __slots__ = ()
+
+    def __missing__(self, token: int) -> State:
+        return self
+
+
 class Transducer:
     def __init__(self, first: list[bytes], second: list[bytes]):
         self.tokens = {1: first, -1: second}
         self.states: dict[tuple[int, bytes], State] = {}
-        self.start, self.known = self.state(0, b""), 0
+        self.start, self.apart, self.known = self.state(0, b""), Apart(0, b"", self), 0
 
     def state(self, lead: int, rest: bytes) -> State:
         at = (lead if rest else 0, rest)
@@ -148,35 +157,31 @@ class Transducer:
     def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         """How many tokens of each side precede the end of each group; None if the sides don't spell the same."""
         start = state = self.start
-        i, j, na, nb = 0, 0, len(a), len(b)
-        ends_a, ends_b = [], []
-        while i < na or j < nb:
-            if state.lead <= 0:
-                if i == na:
-                    return None
-                state = state[a[i]]
+        i = j = 0
+        ends_a, ends_b, following = [], [], iter(b).__next__
+        try:
+            for token in a:
+                state = state[token]
                 i += 1
-            else:
-                if j == nb:
-                    return None
-                state = state[b[j]]
-                j += 1
-            if state is start:
-                ends_a.append(i)
-                ends_b.append(j)
-            elif state is None:
-                return None
-        return (ends_a, ends_b) if state is start else None
+                while state.lead > 0:
+                    state = state[following()]
+                    j += 1
+                if state is start:
+                    ends_a.append(i)
+                    ends_b.append(j)
+        except StopIteration:
+            return None
+        return (ends_a, ends_b) if state is start and j == len(b) else None
 
 
 _loaded: dict = {}
 
 
 def _worker(paths: tuple):
-    """The tokenisers and the transducer of this process."""
+    """The tokenisers, the transducer and the digits of this process."""
     if paths not in _loaded:
         first, second = ByteLevel(*paths[:2]), Pieces(paths[2])
-        _loaded[paths] = first, second, Transducer(first.tokens, second.tokens)
+        _loaded[paths] = first, second, Transducer(first.tokens, second.tokens), Decimals(max(len(first.tokens), len(second.tokens)))
     return _loaded[paths]
 
 
@@ -187,20 +192,36 @@ def aligned(text: str | None, first, second, transducer: Transducer):
         return none
     a, b = first(text), second(text)
     ends = transducer.cuts(a, b)
-    spelled = first.tokens
-    if ends is None or b"".join([spelled[t] for t in a]) != f" {text}".encode():
+    if ends is None or b"".join(map(first.tokens.__getitem__, a)) != f" {text}".encode():
         return none
     return a, b, *ends
 
 
-def spelled_groups(a, b, ends_a, ends_b) -> str:
+class Decimals:
+    """The ids up to a bound of seven digits: their decimals in the bytes of a number, and how many bits those take."""
+
+    def __init__(self, bound: int):
+        if bound > 10**7:
+            raise ValueError("ids have seven digits at most")
+        text = np.array([str(i) for i in range(bound)], dtype="S8")
+        self.digits, self.bits = text.view("<u8"), (8 * np.char.str_len(text)).astype("<u8")
+
+
+def spelled_groups(a, b, ends_a, ends_b, decimals: Decimals) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of the groups."""
-    sa, sb = [str(t) for t in a], [str(t) for t in b]
-    out, i, j = [], 0, 0
-    for p, q in zip(ends_a, ends_b, strict=True):
-        out.append(f"{','.join(sa[i:p])}|{','.join(sb[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+    if not len(ends_a):
+        return b""
+    a, b, ends_a, ends_b = (np.asarray(x, np.int64) for x in (a, b, ends_a, ends_b))
+    # a token's place: the tokens of its own side before it, and those of the other side's groups before
+    groups = np.arange(len(ends_a))
+    of_a, of_b = np.repeat(groups, np.diff(ends_a, prepend=0)), np.repeat(groups, np.diff(ends_b, prepend=0))
+    ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), "<u8")
+    before_b = np.concatenate([[0], ends_b[:-1]])
+    ids[np.arange(len(a)) + before_b[of_a]] = a
+    ids[np.arange(len(b)) + ends_a[of_b]] = b
+    marks[ends_a + before_b - 1] = ord("|")
+    marks[ends_a + ends_b - 1] = ord(";")
+    return (decimals.digits[ids] | marks << decimals.bits[ids]).tobytes().translate(None, b"\0")[:-1]
 
 
 # ---------------------------------------------------------------- operator
@@ -219,7 +240,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
             rows = []
             for r in batch.column("text"):
                 worker[2].forget(TRANSITIONS)
-                rows.append(aligned(r.as_py(), *worker))
+                rows.append(aligned(r.as_py(), *worker[:3]))
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([r[k] for r in rows], ints) for k in range(4))], names=["key", "a_ids", "b_ids", "a_ends", "b_ends"])
 
     return wanted.mapInArrow(run, f"key {kind}, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>")
@@ -237,15 +258,16 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
         return pa.RecordBatch.from_arrays([keys, *counts, pa.array([d[4] for d in done], pa.string()), pa.array([d[5] for d in done], pa.list_(pa.int64())), pa.array([d[6] for d in done], pa.list_(pa.int32()))], names=names)
 
     def run(batches):
-        first, second, transducer = _worker(paths)
+        first, second, transducer, decimals = _worker(paths)
         for batch in batches:
             done, size, begun = [], 0, 0
             for i, r in enumerate(batch.column("text")):
                 value = r.as_py()
                 transducer.forget(TRANSITIONS)
                 a, b, ends_a, ends_b = aligned(value, first, second, transducer)
-                digest = hashlib.sha256(spelled_groups(a, b, ends_a, ends_b).encode()).hexdigest() if ends_a else ""
-                pair = np.array(a, np.int64)[np.array(ends_a, np.int64) - 1] * BASE + np.array(b, np.int64)[np.array(ends_b, np.int64) - 1]
+                a, b, ends_a, ends_b = (np.array(x, np.int64) for x in (a, b, ends_a, ends_b))
+                digest = hashlib.sha256(spelled_groups(a, b, ends_a, ends_b, decimals)).hexdigest() if len(ends_a) else ""
+                pair = a[ends_a - 1] * BASE + b[ends_b - 1]
                 pairs, times = np.unique(pair, return_counts=True)
                 done.append((len(a), len(b), len(ends_a), len(ends_a), digest, pairs, times.astype(np.int32)))
                 size += len(value or "")

@@ -95,7 +95,7 @@ def test_forgets(texts):
     fresh = alignment.Transducer(worker[0].tokens, worker[1].tokens)
     for t in texts:
         fresh.forget(3)
-        assert alignment.aligned(t, worker[0], worker[1], fresh) == alignment.aligned(t, *worker)
+        assert alignment.aligned(t, worker[0], worker[1], fresh) == alignment.aligned(t, *worker[:3])
     assert fresh.known < worker[2].known
 
 
@@ -114,7 +114,7 @@ def test_transducer():
 def test_tokens_spell_the_text(spark):
     """Groups cover both sides' tokens, and each spells the same bytes on both sides."""
     texts = ["Ein naïver Text, 12.5 % 😀", "plain words"]
-    first, second, _ = alignment._worker(alignment.default_tokenizers())
+    first, second, *_ = alignment._worker(alignment.default_tokenizers())
     for r in alignment.align(frame(spark, texts)).collect():
         cut = lambda ids, ends, tokens: [b"".join(tokens[t] for t in ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         left, right = cut(r.a_ids, r.a_ends, first.tokens), cut(r.b_ids, r.b_ends, second.tokens)

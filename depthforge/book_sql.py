@@ -72,6 +72,24 @@ def closed_depth_rows(levels: int) -> str:
     return f"{_replay(levels)} SELECT * EXCLUDE (block, closed) FROM out_rows WHERE closed"
 
 
+def replaced_tops() -> str:
+    """One level, every event being the new top of its side: the last ones of both sides at the ends of blocks."""
+    last = lambda s, c: f"last_value(CASE WHEN side = '{s}' THEN {c} END IGNORE NULLS) OVER w"
+    cols = []
+    for s in ("bid", "ask"):
+        there = f"{s}_s > 0"
+        cols += [f"CAST(CASE WHEN {there} THEN {s}_p ELSE {UNDEF} END AS BIGINT) AS {s}_px_0", f"CAST(CASE WHEN {there} THEN {s}_s ELSE 0 END AS BIGINT) AS {s}_sz_0", f"CAST(CASE WHEN {there} THEN 1 ELSE 0 END AS INTEGER) AS {s}_ct_0"]
+    top = "[bid_px_0, bid_sz_0, ask_px_0, ask_sz_0]"
+    kinds = (("px", "BIGINT"), ("sz", "BIGINT"), ("side", "INTEGER"), ("px_last", "BIGINT"), ("vwap", "DOUBLE"), ("levels", "INTEGER"), ("fills", "INTEGER"), ("posted_sz", "BIGINT"))
+    trade = ", ".join(f"CAST(NULL AS {k}) AS trade_{c}" for c, k in kinds)
+    return f"""WITH {MBO_SQL},
+held AS (SELECT *, {last('B', 'price')} AS bid_p, {last('B', 'size')} AS bid_s, {last('A', 'price')} AS ask_p, {last('A', 'size')} AS ask_s, lead(row_nr) OVER (PARTITION BY instrument_id ORDER BY row_nr) IS NULL AS open_end
+  FROM mbo WINDOW w AS (PARTITION BY instrument_id ORDER BY row_nr ROWS UNBOUNDED PRECEDING)),
+tops AS (SELECT ts_ns, row_nr, sequence, CAST(1 AS INTEGER) AS publisher_id, CAST(instrument_id AS BIGINT) AS instrument_id, {trade}, {', '.join(cols)} FROM held WHERE flags & 128 <> 0 OR open_end),
+moved AS (SELECT *, {top} IS DISTINCT FROM lag({top}, 1, [{UNDEF}, 0, {UNDEF}, 0]) OVER (PARTITION BY instrument_id ORDER BY row_nr) AS moved FROM tops)
+SELECT * EXCLUDE (moved) FROM moved WHERE moved"""
+
+
 def replay_counters(levels: int) -> str:
     n = lambda rule: f"count(*) FILTER ({rule})"
     return f"""{_replay(levels)},

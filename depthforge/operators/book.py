@@ -286,11 +286,16 @@ def _stats_schema(date: str | None) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in [*([(date, T.StringType())] if date else []), *KEYS, *((s, T.LongType()) for s in STATS)]])
 
 
-def _dealt(events: DataFrame, date: str | None) -> DataFrame:
+def typed_events(events: DataFrame, date: str | None = None) -> DataFrame:
+    """The keys and columns of a replay, in the types it counts in."""
     kinds = {"ts_ns": "bigint", "row_nr": "bigint", "sequence": "bigint", "price": "bigint", "size": "bigint", "order_id": "decimal(20,0)", "flags": "int", "publisher_id": "int", "instrument_id": "bigint"}
     keys = [*([date] if date else []), *(k for k, _ in KEYS)]
-    typed = events.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in [*keys, *EVENTS]))
-    return typed.repartition(*keys).sortWithinPartitions(*keys, "row_nr")
+    return events.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in [*keys, *EVENTS]))
+
+
+def _dealt(events: DataFrame, date: str | None) -> DataFrame:
+    keys = [*([date] if date else []), *(k for k, _ in KEYS)]
+    return typed_events(events, date).repartition(*keys).sortWithinPartitions(*keys, "row_nr")
 
 
 def build_depth(events: DataFrame, levels: int = 5, date: str | None = None) -> DataFrame:

@@ -2,12 +2,17 @@
 
 A node has a name, an expression over the columns and over its children's names, and the children.  Children come
 first; all decayed sums that can be ready together run in one fold, and equal ones (input, half-life, kind) once.
+
+The library's nodes have trees as expressions (:mod:`depthforge.plans.expressions`), so that they can be written as JSON
+and read back; a function serves as well, but then the node can only be described.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +21,7 @@ from depthforge.functions import exprs as X
 from depthforge.functions.durations import half_life_ns
 from depthforge.operators.kernels import Decay, decayed
 from depthforge.operators.ordering import KEYS, ORDER, by_row, carry_forward
+from depthforge.plans.expressions import Tree, call, col
 
 #: Expressions get the row window, as some look at the previous row.
 Expr = Callable[[object], Column]
@@ -29,7 +35,8 @@ class Node:
     config: dict = field(default_factory=dict, compare=False)
 
     def to_config(self) -> dict:
-        return {"kind": type(self).__name__, "name": self.name, **self.config, "children": [c.to_config() for c in self.children]}
+        expr = {"expr": self.expr.to_config()} if isinstance(self.expr, Tree) else {}
+        return {"kind": type(self).__name__, "name": self.name, **self.config, **expr, "children": [c.to_config() for c in self.children]}
 
 
 @dataclass(frozen=True)
@@ -49,7 +56,43 @@ class Ewma(Node):
     tag: str = ""
 
     def to_config(self):
-        return {**super().to_config(), "half_life": str(self.half_life), "normalized": self.normalized}
+        half_life = self.half_life.total_seconds() if isinstance(self.half_life, timedelta) else self.half_life
+        return {**super().to_config(), "half_life": half_life, "normalized": self.normalized, "tag": self.tag}
+
+
+KINDS = {c.__name__: c for c in (Node, CarryForward, Ewma)}
+
+
+def from_config(config: dict, known: dict[str, Node] | None = None) -> Node:
+    """The node that ``config`` describes; nodes of one name are read once and shared, through ``known``."""
+    known = {} if known is None else known
+    if config.get("kind") not in KINDS:
+        raise ValueError(f"unknown kind of node: {config.get('kind')}")
+    if "expr" not in config:
+        raise ValueError(f"{config.get('name')}: its expression was a function, which can't be read back")
+    name = config["name"]
+    if name in known:
+        if known[name].to_config() != config:
+            raise ValueError(f"names used twice: [{name!r}]")
+        return known[name]
+    children = tuple(from_config(c, known) for c in config["children"])
+    own = {k: config[k] for k in ("half_life", "normalized", "tag") if config["kind"] == "Ewma"}
+    rest = {k: v for k, v in config.items() if k not in ("kind", "name", "expr", "children", *own)}
+    known[name] = KINDS[config["kind"]](name, Tree.from_config(config["expr"]), children, rest, **own)
+    return known[name]
+
+
+def to_json(static: dict[str, Tree], features: Sequence[Node]) -> str:
+    """Static columns and features as text."""
+    return json.dumps({"version": 1, "static": {n: t.to_config() for n, t in static.items()}, "features": [f.to_config() for f in features]})
+
+
+def from_json(text: str) -> tuple[dict[str, Tree], list[Node]]:
+    body = json.loads(text)
+    if body.get("version") != 1:
+        raise ValueError(f"feature version {body.get('version')}")
+    known: dict[str, Node] = {}
+    return {n: Tree.from_config(t) for n, t in body["static"].items()}, [from_config(f, known) for f in body["features"]]
 
 
 def nodes_of(node: Node) -> list[Node]:
@@ -138,18 +181,17 @@ class CustomFeature:
 def momentum(name: str, half_life, mode: str = "trade", log: bool = False, unit: bool = False, normalized: bool = False, combine: str = "diff", eps: float = 1e-12) -> Node:
     """Buying against selling flow, each per decayed average top volume."""
     X.flows(mode, by_row(), unit)  # checks the mode
-    side = lambda i: lambda w: X.flows(mode, w, unit)[i]
+    X.combine_flows(F.lit(0.0), F.lit(0.0), combine, log, eps)
     kind = f"{mode}_{'unit' if unit else 'size'}"
-    buy = Ewma(f"__{name}_buy", side(0), half_life=half_life, normalized=normalized, tag=f"buy_{kind}")
-    sell = Ewma(f"__{name}_sell", side(1), half_life=half_life, normalized=normalized, tag=f"sell_{kind}")
-    volume = Ewma(f"__{name}_volume", lambda w: X.bbo_volume(), half_life=half_life, normalized=True, tag="bbo_volume")
+    buy, sell = (Ewma(f"__{name}_{side}", call("flow", mode, side, unit), half_life=half_life, normalized=normalized, tag=f"{side}_{kind}") for side in ("buy", "sell"))
+    volume = Ewma(f"__{name}_volume", call("bbo_volume"), half_life=half_life, normalized=True, tag="bbo_volume")
+    per = call("greatest", col(volume.name), call("lit", eps))
+    expr = call("combine_flows", call("over", col(buy.name), per), call("over", col(sell.name), per), combine, log, eps)
+    return Node(name, expr, (buy, sell, volume), {"momentum": {"half_life": _plain(half_life), "mode": mode, "log": log, "unit": unit, "normalized": normalized, "combine": combine}})
 
-    def expr(w):
-        per = F.greatest(F.col(volume.name), F.lit(eps))
-        return X.combine_flows(F.col(buy.name) / per, F.col(sell.name) / per, combine, log, eps)
 
-    X.combine_flows(F.lit(0.0), F.lit(0.0), combine, log, eps)
-    return Node(name, expr, (buy, sell, volume), {"half_life": str(half_life), "mode": mode, "log": log, "unit": unit, "normalized": normalized, "combine": combine})
+def _plain(half_life):
+    return half_life.total_seconds() if isinstance(half_life, timedelta) else half_life
 
 
 def trade_momentum(name, half_life, **kw) -> Node:
@@ -167,21 +209,17 @@ def pull_momentum(name, half_life, **kw) -> Node:
 def trade_correlation(name: str, half_life, mode: str = "side", eps: float = 1e-12) -> Node:
     """Decayed autocorrelation of successive trades' signs or signed volumes; null until there was a pair."""
     X.signed_trade(mode)
-    value = lambda: X.signed_trade(mode)
-    prev = CarryForward(f"__{name}_prev", lambda w: F.when(X.is_trade(), value()))
-    pair = lambda: X.is_trade() & F.col(prev.name).isNotNull()
-    avg = lambda k, x: Ewma(f"__{name}_{k}", lambda w: F.when(pair(), x()), (prev,), half_life=half_life, normalized=True, tag=f"{name}_{k}")
-    v, vv = avg("v", value), avg("vv", lambda: F.col(prev.name) * value())
-    mass = Ewma(f"__{name}_mass", lambda w: F.when(pair(), 1.0).otherwise(0.0), (prev,), half_life=half_life, tag=f"{name}_mass")
-    v2 = avg("v2", lambda: value() * value()) if mode == "volume" else None
-
-    def expr(w):
-        m, q = F.col(v.name), F.col(vv.name)
-        spread = (F.col(v2.name) if v2 else F.lit(1.0)) - m * m
-        rho = F.least(F.greatest(X.fdiv(q - m * m, spread + eps), F.lit(-1.0)), F.lit(1.0))
-        return F.when(F.col(mass.name) > eps, rho)
-
-    return Node(name, expr, (v, vv, mass, *((v2,) if v2 else ())), {"half_life": str(half_life), "mode": mode})
+    value = call("signed_trade", mode)
+    prev = CarryForward(f"__{name}_prev", call("if", call("is_trade"), value))
+    pair = call("is_trade") & ~call("is_null", col(prev.name))
+    avg = lambda k, x: Ewma(f"__{name}_{k}", call("if", pair, x), (prev,), half_life=half_life, normalized=True, tag=f"{name}_{k}")
+    v, vv = avg("v", value), avg("vv", col(prev.name) * value)
+    mass = Ewma(f"__{name}_mass", call("if", pair, 1.0, 0.0), (prev,), half_life=half_life, tag=f"{name}_mass")
+    v2 = avg("v2", value * value) if mode == "volume" else None
+    m, q = col(v.name), col(vv.name)
+    spread = (col(v2.name) if v2 else call("lit", 1.0)) - m * m
+    rho = call("least", call("greatest", (q - m * m) / (spread + eps), -1.0), 1.0)
+    return Node(name, call("if", col(mass.name) > eps, rho), (v, vv, mass, *((v2,) if v2 else ())), {"correlation": {"half_life": _plain(half_life), "mode": mode}})
 
 
 def flow_return(name: str, inner_half_life, outer_half_life, form: str = "corr", mode: str = "trade", momentum_log: bool = False, eps: float = 1e-12) -> Node:
@@ -191,34 +229,34 @@ def flow_return(name: str, inner_half_life, outer_half_life, form: str = "corr",
     if half_life_ns(outer_half_life) < 10 * half_life_ns(inner_half_life):
         raise ValueError("the outer half-life is at least ten times the inner one")
     flow = momentum(f"__{name}_flow", inner_half_life, mode, log=momentum_log, eps=eps)
-    prev = CarryForward(f"__{name}_prev", lambda w: F.col(flow.name), (flow,))
-    ret = lambda w: X.log_mid_return(w) * 1e4
-    top = Ewma(f"__{name}_top", lambda w: F.col(prev.name) * ret(w), (prev,), half_life=outer_half_life)
-    config = {"inner_half_life": str(inner_half_life), "outer_half_life": str(outer_half_life), "form": form, "mode": mode}
+    prev = CarryForward(f"__{name}_prev", col(flow.name), (flow,))
+    ret = call("log_mid_return") * 1e4
+    top = Ewma(f"__{name}_top", col(prev.name) * ret, (prev,), half_life=outer_half_life)
+    config = {"flow_return": {"inner_half_life": _plain(inner_half_life), "outer_half_life": _plain(outer_half_life), "form": form, "mode": mode}}
     if form == "sum":
-        return Node(name, lambda w: F.col(top.name), (top,), config)
-    size = Ewma(f"__{name}_size", lambda w: F.abs(ret(w)), half_life=outer_half_life, tag="abs_return_bps")
-    return Node(name, lambda w: F.when(F.col(size.name) > eps, F.col(top.name) / F.when(F.col(size.name) > eps, F.col(size.name)).otherwise(1.0)), (top, size), config)
+        return Node(name, col(top.name), (top,), config)
+    size = Ewma(f"__{name}_size", call("abs", ret), half_life=outer_half_life, tag="abs_return_bps")
+    return Node(name, call("if", col(size.name) > eps, col(top.name) / col(size.name)), (top, size), config)
 
 
 def log_return(name: str, half_life, normalized: bool = False) -> Node:
-    return Ewma(name, lambda w: X.log_mid_return(w) * 1e4, half_life=half_life, normalized=normalized, tag="log_return_bps")
+    return Ewma(name, call("log_mid_return") * 1e4, half_life=half_life, normalized=normalized, tag="log_return_bps")
 
 
 def ewma_var(name: str, half_life, normalized: bool = False) -> Node:
-    square = Ewma(f"__{name}_square", lambda w: X.log_mid_return(w) * X.log_mid_return(w), half_life=half_life, normalized=normalized, tag="squared_return")
-    return Node(name, lambda w: F.sqrt(F.col(square.name)) * 1e4, (square,), {"half_life": str(half_life)})
+    square = Ewma(f"__{name}_square", call("log_mid_return") * call("log_mid_return"), half_life=half_life, normalized=normalized, tag="squared_return")
+    return Node(name, call("sqrt", col(square.name)) * 1e4, (square,), {"ewma_var": {"half_life": _plain(half_life)}})
 
 
 def ewma_spread(name: str, half_life) -> Node:
-    return Ewma(name, lambda w: X.spread_bps(), half_life=half_life, normalized=True, tag="spread_bps")
+    return Ewma(name, call("spread_bps"), half_life=half_life, normalized=True, tag="spread_bps")
 
 
-def standard_set(half_lives: Sequence[str], depth: int = 3, total_size: float = 5.0) -> tuple[dict[str, Column], list[Node]]:
+def standard_set(half_lives: Sequence[str], depth: int = 3, total_size: float = 5.0) -> tuple[dict[str, Tree], list[Node]]:
     """(static columns, stateful features): the usual mix for a book of ``depth`` levels, seven features per half-life."""
     static = {
-        "imbalance_1": X.book_imbalance(1, log=True), f"imbalance_{depth}": X.book_imbalance(depth, log=True), f"imbalance_{depth}_lin": X.book_imbalance(depth),
-        "price_gap": X.size_weighted_price_gap(depth, total_size), "swap": X.size_weighted_price(depth, total_size), "spread_bps": X.spread_bps(),
+        "imbalance_1": call("book_imbalance", 1, True), f"imbalance_{depth}": call("book_imbalance", depth, True), f"imbalance_{depth}_lin": call("book_imbalance", depth),
+        "price_gap": call("price_gap", depth, total_size), "swap": call("swap_price", depth, total_size), "spread_bps": call("spread_bps"),
     }
     nodes = []
     for h in half_lives:

@@ -11,7 +11,8 @@ from depthforge.functions.exprs import mid
 from depthforge.operators.asof import add_executable_return, add_return
 from depthforge.operators.book import build_depth, with_context
 from depthforge.operators.filters import any_of, where_level
-from depthforge.operators.ordering import KEYS, ORDER
+from depthforge.operators.ordering import KEYS, ORDER, by_row
+from depthforge.plans.expressions import Tree
 from depthforge.plans.features import add_features
 
 
@@ -23,7 +24,7 @@ class FeatureLoader:
     the book's keys (the date), so states restart there.
     """
 
-    static: Mapping[str, Column] = field(default_factory=dict)
+    static: Mapping[str, Column | Tree] = field(default_factory=dict)
     stateful: Sequence = ()
     horizons: Sequence[str] = ()
     weights: Sequence[float] | float = 1.0
@@ -43,7 +44,7 @@ class FeatureLoader:
         if self.levels:
             df = build_depth(rows, self.levels, self.partition[0] if self.partition else None)
             df = with_context(df, rows, self.context) if self.context else df
-        df = df.withColumns(dict(self.static)) if self.static else df
+        df = df.withColumns({n: c(by_row(keys)) if isinstance(c, Tree) else c for n, c in self.static.items()}) if self.static else df
         df = add_features(df, self.stateful, keys, ORDER, self.time) if self.stateful else df
         if self.horizons:
             at = {"name": self.target, "keys": keys, "time": self.time}

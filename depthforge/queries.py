@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from depthforge import book_sql, tree_sql
 from depthforge.functions import exprs as X
-from depthforge.operators import asof, book, boosting, filters, linear, quality, relational, reports, sampling, scores, transforms
+from depthforge.operators import asof, book, boosting, filters, linear, neural, quality, relational, reports, sampling, scores, transforms
+from depthforge.operators.book_ranges import build_depth_by_ranges
 from depthforge.operators.kernels import Decay, decayed_by_ranges
 from depthforge.operators.ordering import KEYS, average_rank, by_row, carry_forward, forward_fill
 from depthforge.plans import features as P
 from depthforge.plans import search
+from depthforge.sources import calendars
 from depthforge.sources.dated import DataSource, nature, session_days, with_row_nr
 from depthforge.sources.shared import shared_path
 from depthforge.sources.views import MBO_SQL, QUOTES_SQL, event_stream, mbo, mbo_of, quotes, quotes_of
@@ -358,7 +360,36 @@ _flow_return("corr")
 def _(s, d):
     """All 34 features of the standard set, in one fold."""
     static, nodes = P.standard_set(["1h", "2h", "4h", "8h"])
-    return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c, 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
+    return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c(by_row()), 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
+
+
+def _standard_sql(half_lives) -> str:
+    """The standard set without the correlations, whose ratios near 0 / 0 don't bear rounding."""
+    spread = f"CASE WHEN {VALID} AND {MID} > 0 THEN (CAST(ask_px_0 AS DOUBLE) - CAST(bid_px_0 AS DOUBLE)) / {MID} * 1e4 END"
+    ctes, cols = [], {
+        "imbalance_1": balance_sql(depth_sql("bid", 1), depth_sql("ask", 1), True), "imbalance_3": balance_sql(depth_sql("bid", 3), depth_sql("ask", 3), True), "imbalance_3_lin": balance_sql(depth_sql("bid", 3), depth_sql("ask", 3), False),
+        "price_gap": f"2 * {balance_sql(average_sql('ask', 3, 5.0), average_sql('bid', 3, 5.0), False)} * 1e4", "swap": price_sql(3, 5.0), "spread_bps": spread,
+    }
+    for name, h in half_lives.items():
+        ctes.append(mean_sql(f"c_vol{name}", "lagged", "0.5 * (bid_sz_0 + ask_sz_0)", h))
+        for mode in ("trade", "push", "pull"):
+            for side, flow in zip(("buy", "sell"), flows_sql(mode), strict=True):
+                ctes.append(decay_sql(f"c_{mode}{side}{name}", "lagged", flow, h))
+            b, z = (f"(1 + c_{mode}{side}{name}.s / greatest(c_vol{name}.s, 1e-12))" for side in ("buy", "sell"))
+            cols[f"{mode}_{name}"] = balance_sql(b, z, True)
+        ctes += [decay_sql(f"c_ret{name}", "lagged", "ret * 1e4", h), decay_sql(f"c_var{name}", "lagged", "ret * ret", h), mean_sql(f"c_spread{name}", "lagged", spread, h)]
+        cols |= {f"return_{name}": f"c_ret{name}.s", f"var_{name}": f"sqrt(c_var{name}.s) * 1e4", f"spread_{name}": f"c_spread{name}.s"}
+    used = list(dict.fromkeys(n for c in cols.values() for n in _joined(c)))
+    joins = " ".join(f"JOIN {n} ON {n}.row_nr = q.row_nr" for n in used)
+    return with_quotes(f", {LAGGED}, {', '.join(ctes)} SELECT q.row_nr, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {n}' for n, c in cols.items())} FROM lagged q {joins}")
+
+
+@query("standard_features_from_json", _standard_sql({"1h": HOUR, "4h": 4 * HOUR}))
+def _(s, d):
+    """The standard set for two half-lives, from its JSON."""
+    static, nodes = P.from_json(P.to_json(*P.standard_set(["1h", "4h"])))
+    nodes = [n for n in nodes if not n.name.startswith("corr")]
+    return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c(by_row()), 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
 
 
 # ---------------------------------------------------------------- labels
@@ -585,6 +616,14 @@ def _(s, d):
     return model.predict(df, ["q0_", "q1_"]).select("row_nr", F.round("q0_", 6).alias("q0"), F.round("q1_", 6).alias("q1"))
 
 
+@query("mlp_fit_predict")
+def _(s, d):
+    """A small network's predictions on the rows that it was fitted to."""
+    df = predictions(s, d).withColumn("t", 2 * F.col("p") - F.col("q0") + 0.1 * F.col("y"))
+    model = neural.fit(df, ["p", "q0", "y"], "t", hidden=(8,), epochs=2, steps=2, seed=1)
+    return model.predict(df).select("row_nr", F.round("prediction", 6).alias("prediction"))
+
+
 @query("expanding_folds_scores", with_quotes(f", {PRED_SQL}, c AS (SELECT *, row_nr % 4 AS chunk FROM pred) SELECT CAST(f AS INTEGER) AS fold, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM c, range(3) r(f) WHERE chunk = f + 1 GROUP BY f"))
 def _(s, d):
     df = predictions(s, d).withColumn("date", (F.col("row_nr") % 4).cast("string"))
@@ -803,6 +842,20 @@ def _(s, d):
     return session_days(s, "2024-01-01", "2024-12-31", closed)
 
 
+# The days that the stock exchange of New York was closed.
+_CLOSED = (
+    "2023-01-02 2023-01-16 2023-02-20 2023-04-07 2023-05-29 2023-06-19 2023-07-04 2023-09-04 2023-11-23 2023-12-25 2024-01-01 2024-01-15 2024-02-19 2024-03-29 2024-05-27 2024-06-19 2024-07-04 2024-09-02 "
+    "2024-11-28 2024-12-25 2025-01-01 2025-01-09 2025-01-20 2025-02-17 2025-04-18 2025-05-26 2025-06-19 2025-07-04 2025-09-01 2025-11-27 2025-12-25"
+)
+
+
+@query("calendar_sessions", f"SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE isodow(ts) < 6 AND strftime(ts, '%Y-%m-%d') NOT IN ({', '.join(repr(x) for x in _CLOSED.split())}) GROUP BY 1")
+def _(s, d):
+    """Events of the days on which the exchange trades."""
+    days = s.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("date"))
+    return calendars.sessions(days, "us", 2023, 2025).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _source(s, d) -> DataSource:
     loader = lambda dates: quotes(s, d).withColumn("date", F.date_format("ts_event", "yyyyMMdd"))
     return DataSource(loader, (), "bid_sz_0", ["ask_sz_0", "bid_sz_1"], [F.col("trade_side") == 0, F.col("trade_sz") > 5], weight="trade_sz")
@@ -829,6 +882,19 @@ def _(s, d):
     return book.build_depth(mbo(s, d), 3)
 
 
+@query("book_depth_by_ranges", book_sql.depth_rows(3))
+def _(s, d):
+    """The same rows, each book in many tasks."""
+    return build_depth_by_ranges(mbo(s, d), 3, rows=1000, blocks=200)
+
+
+@query("book_top_of_book", book_sql.replaced_tops())
+def _(s, d):
+    """Every event as the new top of its side."""
+    events = mbo(s, d).withColumns({"action": F.lit("A"), "order_id": F.lit(0), "flags": F.col("flags") + book.TOB})
+    return build_depth_by_ranges(events, 1, rows=1000, blocks=200)
+
+
 @query("book_stats", book_sql.replay_counters(3))
 def _(s, d):
     return book.book_stats(mbo(s, d), 3)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthforge.functions.exprs import num
+from depthforge.sources.calendars import closed_days
 from depthforge.operators.filters import any_of
 from depthforge.operators.ordering import ORDER, with_row_nr
 
@@ -29,18 +30,22 @@ def nature_of(tag: str) -> str:
     return next((n for n in ("stress", "normal") if n in parts), tag)
 
 
-def expand_dates(dates: str | Sequence[str], holidays: Iterable[str] = (), weekend: bool = False, end_date: bool = True) -> list[str]:
-    """Sessions, YYYYMMDD, of days and ranges (YYYYMMDD-YYYYMMDD); weekends and ``holidays`` (the calendar) drop out, and the last day, a single one too, without ``end_date``."""
+def expand_dates(dates: str | Sequence[str], holidays: Iterable[str] = (), weekend: bool = False, end_date: bool = True, calendar: str | None = None, iso: bool = False) -> list[str]:
+    """Sessions of days and ranges (YYYYMMDD-YYYYMMDD), as YYYYMMDD or ISO dates.
+
+    Weekends, ``holidays`` and those of the named ``calendar`` drop out, and the last day, a single one too, without ``end_date``.
+    """
     closed, out = set(holidays), []
     for item in [dates] if isinstance(dates, str) else dates:
         a, _, b = item.partition("-")
         day, last = (dt.datetime.strptime(x, "%Y%m%d").date() for x in (a, b or a))
         if last < day:
             raise ValueError(f"{item} ends before it starts")
+        shut = closed_days(calendar, range(day.year, last.year + 1)) if calendar else {}
         while day <= last:
             text = day.strftime("%Y%m%d")
-            if (weekend or day.weekday() < 5) and text not in closed and (end_date or day < last):
-                out.append(text)
+            if (weekend or day.weekday() < 5) and text not in closed and day not in shut and (end_date or day < last):
+                out.append(day.isoformat() if iso else text)
             day += dt.timedelta(days=1)
     return list(dict.fromkeys(out))
 

@@ -24,7 +24,5 @@ ORACLES = {
     "op4_quality_rules": quality.OP4_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
-    "op11_token_alignment": alignment.op11,
-    "op12_html_extraction": html.op12,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }

@@ -384,10 +384,10 @@ def _standard_sql(half_lives) -> str:
     return with_quotes(f", {LAGGED}, {', '.join(ctes)} SELECT q.row_nr, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {n}' for n, c in cols.items())} FROM lagged q {joins}")
 
 
-@query("standard_features_from_json", _standard_sql({"1h": HOUR, "4h": 4 * HOUR}))
+@query("standard_features_from_json", _standard_sql({"1h": HOUR}))
 def _(s, d):
-    """The standard set for two half-lives, from its JSON."""
-    static, nodes = P.from_json(P.to_json(*P.standard_set(["1h", "4h"])))
+    """The standard set, from its JSON."""
+    static, nodes = P.from_json(P.to_json(*P.standard_set(["1h"])))
     nodes = [n for n in nodes if not n.name.startswith("corr")]
     return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c(by_row()), 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
 

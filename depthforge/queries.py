@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depthforge import book_sql, tree_sql
 from depthforge.functions import exprs as X
-from depthforge.operators import asof, book, boosting, filters, linear, neural, quality, relational, reports, sampling, scores, transforms
+from depthforge.operators import asof, book, book_sql_function, boosting, filters, linear, neural, quality, relational, reports, sampling, scores, transforms, user_scores, validation
 from depthforge.operators.book_ranges import build_depth_by_ranges
 from depthforge.operators.kernels import Decay, decayed_by_ranges
 from depthforge.operators.ordering import KEYS, average_rank, by_row, carry_forward, forward_fill
@@ -555,6 +555,20 @@ def _(s, d):
     return scores.evaluate(df, [scores.rmse("y", "p"), scores.unit_pnl("y", "p")], ["day"]).select("day", r6(F.col("rmse"), "rmse"), r6(F.col("unit_pnl"), "unit_pnl"))
 
 
+def _user_rmse() -> user_scores.UserScore:
+    """The root mean square error as a user's own score."""
+    return user_scores.UserScore(
+        "rmse", ["y", "p"], lambda: {"sse": 0.0, "n": 0.0}, lambda s, y, p: {"sse": s["sse"] + float(((y - p) ** 2).sum()), "n": s["n"] + len(y)},
+        lambda a, b: {k: a[k] + b[k] for k in a}, lambda s: math.sqrt(s["sse"] / s["n"]) if s["n"] else 0.0,
+    )
+
+
+@query("score_user_aggregate", with_quotes(f", {PRED_SQL} SELECT {_DAY} AS day, instrument_id, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM pred GROUP BY 1, 2"))
+def _(s, d):
+    df = predictions(s, d).withColumn("day", F.floor(F.col("ts_ns") / 86_400_000_000_000))
+    return user_scores.evaluate(df, _user_rmse(), ["day", "instrument_id"]).select("day", "instrument_id", F.round("rmse", 6).alias("rmse"))
+
+
 @query("score_merge", with_quotes(f", {PRED_SQL} SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(corr(y, p), 6) AS correlation FROM pred"))
 def _(s, d):
     df, wanted = predictions(s, d), [scores.rmse("y", "p"), scores.correlation("y", "p")]
@@ -895,6 +909,23 @@ def _(s, d):
     return build_depth_by_ranges(events, 1, rows=1000, blocks=200)
 
 
+@query("book_depth_sql", book_sql.depth_rows(3))
+def _(s, d):
+    """The same rows from SQL, by a table function."""
+    book_sql_function.register(s)
+    mbo(s, d).createOrReplaceTempView("depthforge_events")
+    return s.sql("SELECT * FROM book_depth(TABLE(depthforge_events), 3)")
+
+
+@query("book_validation", f"SELECT instrument_id, row_nr, CASE WHEN row_nr % 5 = 0 THEN 'missing_row' ELSE 'different_row' END AS issue FROM ({book_sql.depth_rows(2)}) WHERE row_nr % 5 = 0 OR row_nr % 7 = 0")
+def _(s, d):
+    """A depth table without every fifth row number, and with other sizes in every seventh, against its events."""
+    events = mbo(s, d)
+    faulty = book.build_depth(events, 2).where("row_nr % 5 <> 0").withColumn("bid_sz_0", F.col("bid_sz_0") + (F.col("row_nr") % 7 == 0).cast("int"))
+    found = validation.validate(faulty, events, 2, rows=1000, blocks=200)
+    return found.where("issue not like 'traded%'").select("instrument_id", "row_nr", "issue")
+
+
 @query("book_stats", book_sql.replay_counters(3))
 def _(s, d):
     return book.book_stats(mbo(s, d), 3)

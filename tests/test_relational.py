@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from depthforge.functions.exprs import UNDEF
@@ -208,6 +209,14 @@ def test_registry(tmp_path):
     r = registry.Registry(str(tmp_path / "r.jsonl"))
     a, b, c = r.register("f", "x", {"k": 1}), r.register("f", "x", {"k": 2}), r.register("f", "x", {"k": 1})
     assert (a["version"], b["version"], c["version"]) == (1, 2, 1) and registry.versioned_name(r.get("f", "x")) == "x_v2" and registry.reference(a)["version"] == 1
+    again = registry.Registry(str(tmp_path / "r.jsonl"))
+    assert [x["version"] for x in again.versions("f", "x")] == [1, 2] and again.get("f", "x", 1) == a and not again.versions("g", "x")
+    for bad in (("f", "x", 3), ("f", "x", 0), ("f", "y", None)):
+        with pytest.raises(KeyError):
+            again.get(*bad)
+    with ThreadPoolExecutor(8) as pool:  # two writers never give a version twice
+        made = list(pool.map(lambda i: registry.Registry(again.path).register("f", "many", {"k": i % 5}), range(40)))
+    assert sorted({(m["version"], m["payload"]["k"]) for m in made}) == sorted((m["version"], m["payload"]["k"]) for m in again.versions("f", "many")) and len(again.versions("f", "many")) == 5
     t = registry.JsonTracker(str(tmp_path / "t.jsonl"))
     t.log(1, score=2.0)
     t.close()

@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags.  What its markup declares to be n
 or no article (navigation, adverts, comments and so on, by tag, role, class or id) is left out.  The first pass decides
 blocks by their own figures: many links or a copyright sign are boilerplate, long blocks with many stop words are text.
 Short blocks and blocks between the limits stay undecided, and the second pass gives them the label of the nearest
-decided neighbours, headings looking ahead first.
+decided neighbours, headings looking ahead first.  A page of undecided blocks has its text where most of their words are.
 
 ``article`` elements that hold a good part of the words are the article, else ``main``: blocks outside are boilerplate,
 and inside only links make blocks boilerplate, and short blocks between them, since articles have short paragraphs and
@@ -40,10 +40,12 @@ SHORT = 70
 #: Blocks as long as this with STOPS or more stop words are text.
 LONG = 200
 STOPS = 0.30
-#: Below this share of stop words a block outside an article is boilerplate.
+#: Below this share of stop words a block outside an article is boilerplate, unless it is long and has no links.
 FEW_STOPS = 0.15
 #: A heading takes the label of text that begins within as many characters.
 HEADING = 200
+#: Short blocks alone are a page's text if they have more words.
+FEW_WORDS = 3
 #: The share of the words that makes such elements the article.
 PART = 0.3
 
@@ -277,7 +279,7 @@ def first_pass(b: Block, articles: bool) -> str:
     if stops >= STOPS and n >= LONG:
         return "good"
     other_script = sum(c >= "ɐ" for c in b.text) * 2 > n
-    return "near" if other_script or stops >= FEW_STOPS else "bad"
+    return "near" if other_script or stops >= FEW_STOPS or n >= LONG and not b.linked else "bad"
 
 
 def _nearest(labels: list[str], border: str) -> list[tuple[str, int]]:
@@ -307,7 +309,7 @@ def label(found: list[Block]) -> list[Block]:
         b.label = "bad"
     articles, own = bool(own), own or found
     labels = [first_pass(b, articles) for b in own]
-    labels = labels if articles else headings(own, labels)
+    labels = labels if articles else headings(own, anchored(own, labels))
     border = "good" if articles else "bad"
     before, after = _nearest(labels, border), _nearest(labels[::-1], border)[::-1]
     for b, x, (p, dp), (q, dq) in zip(own, labels, before, after, strict=True):
@@ -318,6 +320,23 @@ def label(found: list[Block]) -> list[Block]:
     return found
 
 
+def anchored(found: list[Block], labels: list[str]) -> list[str]:
+    """Where no block is text by itself: the undecided ones of the run between boilerplate that has the most words, those near text if there are any."""
+    if "good" in labels:
+        return labels
+    for kind in ("near", "short"):
+        runs, begun = [], 0
+        for i, x in enumerate([*labels, "bad"]):
+            if x == "bad":
+                runs.append(range(begun, i))
+                begun = i + 1
+        size = lambda run, kind=kind: sum(len(found[i].text.split()) for i in run if labels[i] == kind)
+        best = max(runs, key=size)
+        if size(best) > (0 if kind == "near" else FEW_WORDS):
+            return ["good" if i in best and x == kind else x for i, x in enumerate(labels)]
+    return labels
+
+
 def headings(found: list[Block], labels: list[str]) -> list[str]:
     """A short heading that text follows soon is near it."""
     out = list(labels)

@@ -82,10 +82,19 @@ def test_labels_come_from_neighbours():
     assert run(link, short, short, short, good, short) == ["bad", "bad", "good", "good", "good", "good"]
     assert run(link, short, short, short, short, good) == ["bad", "bad", "bad", "good", "good", "good"]
     near = block("The words that are in it and some more of them than before, Qxz vbn mkl wrt plk jhg fds.")
-    assert run(link, near, short, good) == ["bad", "good", "good", "good"] and run(link, near, link) == ["bad"] * 3
+    assert run(link, near, short, good) == ["bad", "good", "good", "good"] and run(good, link, near, link) == ["good", "bad", "bad", "bad"]
     assert run(link, block("Title", heading=True), short, short, good)[1] == "good"
 
 
+def test_a_page_of_undecided_blocks():
+    """The text is where most words are: blocks near text if there are any, else the longest run of short ones, if it has a few words."""
+    nav = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    one = "<div>The words that are in it and some more of them than before, Qxz vbn mkl wrt plk jhg fds.</div>"
+    assert html.main_text(f"<div>Slogan of the day</div>{nav}<h1>Title</h1>{one}<div>Short.</div>{nav}<div>Imprint</div>") == "Title\nThe words that are in it and some more of them than before, Qxz vbn mkl wrt plk jhg fds.\nShort."
+    assert html.main_text(f"{nav}<p>Only a few words here.</p><p>And more.</p>{nav}<p>Imprint</p>") == "Only a few words here.\nAnd more."
+    assert html.main_text(f"{nav}<p>Imprint</p>{nav}") == ""
+
+
 def test_references_and_space():
     page = "<article><p>a&nbsp;b\n\t c &amp; d &lt;e&gt; &eacute;&#233;&#xe9; &am; &amp &unknown; 5 < 6 &copy;<br>f<b>g</b>h<br/><br>second <i>line</i></p></article>"
     assert html.main_text(page) == "a b c & d <e> ééé &am; & &unknown; 5 < 6 © f gh".replace("f gh", "fgh") + "\nsecond line"

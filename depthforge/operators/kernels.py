@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 from depthforge.operators.ordering import KEYS, ORDER
 
@@ -118,14 +118,15 @@ def _times(batch: pa.RecordBatch, time: str) -> np.ndarray:
     return batch.column(time).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _folded(df: DataFrame, decays: list[Decay], keys: list[str], time: str, carried: list[tuple[str, str]] = ()) -> DataFrame:
+def _folded(df: DataFrame, decays: list[Decay], keys: list[str], time: str, carried: list[tuple[str, str]] = (), precision: str = "float64") -> DataFrame:
     """The sorted rows of ``df`` with their decays.
 
     ``carried`` names each decay's columns of a time and a value, the last columns but a flag.  A run of a key then begins
     with a row whose flag is 0, none of the table's: the states begin with what it says.
     """
     own = df.schema.fields[: len(df.schema.fields) - 2 * len(carried) - 1] if carried else df.schema.fields
-    schema = StructType([*own, *(StructField(d.name, DoubleType()) for d in decays)])
+    kind = {"float64": DoubleType(), "float32": FloatType()}[precision]
+    schema = StructType([*own, *(StructField(d.name, kind) for d in decays)])
     flag = df.columns[-1]
 
     def fold(batches):
@@ -153,26 +154,26 @@ def _folded(df: DataFrame, decays: list[Decay], keys: list[str], time: str, carr
                     for s, d, o, v in zip(states, decays, outs, voids, strict=True):
                         x, null = inputs[d.value]
                         o[a:b], v[a:b] = s.run(x[a:b], null[a:b], t[a:b])
-            done = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *(pa.array(o, mask=v) for o, v in zip(outs, voids, strict=True))], names=schema.names)
+            done = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *(pa.array(o.astype(precision), mask=v) for o, v in zip(outs, voids, strict=True))], names=schema.names)
             yield done.filter(pa.array(rows)) if carried else done
 
     return df.mapInArrow(fold, schema)
 
 
-def decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns", placed: bool = False, width: int | None = None) -> DataFrame:
+def decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns", placed: bool = False, width: int | None = None, precision: str = "float64") -> DataFrame:
     """``df`` with a column for each decay, along ``order`` within ``keys``; ``placed``: its rows are dealt out by them already.
 
     One key's rows pass through one task in order (state is sequential), in Arrow batches, not as a group in memory.
     With ``width`` they pass through as many as there are ranges of so many steps of ``order`` (a number): see
-    :func:`decayed_by_ranges`.
+    :func:`decayed_by_ranges`.  States are doubles; ``precision`` float32 rounds what comes out.
     """
     decays, keys = list(decays), list(keys)
     if not decays:
         return df
     if width:
-        return decayed_by_ranges(df, decays, width, keys, order, time)
+        return decayed_by_ranges(df, decays, width, keys, order, time, precision)
     dealt = df if placed else df.repartition(*keys) if keys else df.repartition(1)
-    return _folded(dealt.sortWithinPartitions(*keys, order), decays, keys, time)
+    return _folded(dealt.sortWithinPartitions(*keys, order), decays, keys, time, precision=precision)
 
 
 # ---------------------------------------------------------------- ranges of a key
@@ -208,7 +209,7 @@ def followed(decay: Decay, time: int | None, value: float | None, first: int, la
     return last, value * math.exp(-min(gap + exponent, 745.0)) + weight * head + rest
 
 
-def decayed_by_ranges(df: DataFrame, decays: Sequence[Decay], width: int, keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns") -> DataFrame:
+def decayed_by_ranges(df: DataFrame, decays: Sequence[Decay], width: int, keys: Sequence[str] = KEYS, order: str = ORDER, time: str = "ts_ns", precision: str = "float64") -> DataFrame:
     """:func:`decayed`, the rows of a key being dealt out by ranges of ``width`` steps of ``order``.
 
     The sums are an associative scan.  A pass over the ranges gives each one's effect, a few numbers; these small rows
@@ -304,4 +305,4 @@ def decayed_by_ranges(df: DataFrame, decays: Sequence[Decay], width: int, keys:
         carries.withColumns(none | {flag: F.lit(0)}) if none else carries.withColumn(flag, F.lit(0))
     )
     back = both.repartition(*runs).sortWithinPartitions(*runs, flag, order)
-    return _folded(back, decays, runs, time, names).drop(part)
+    return _folded(back, decays, runs, time, names, precision).drop(part)

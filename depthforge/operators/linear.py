@@ -155,33 +155,45 @@ class LassoPath:
         return LinearModel(self.features, beta, self.mean_y - self.mean_x @ beta)
 
 
-def lasso_path(stats: Gram, features: Sequence[str], max_knots: int | None = None) -> LassoPath:
-    """Least angle steps with the lasso's sign rule, from centred statistics; a penalty counts per unit of weight."""
-    g, c, mx, my = stats.centered()
-    n, k = stats.weight or 1.0, len(features)
-    beta, active = np.zeros(k), []
-    corr = c.copy()
-    level = float(np.max(np.abs(corr))) if k else 0.0
+def lasso_path(
+    stats: Gram, features: Sequence[str], max_knots: int | None = None, method: str = "lasso", positive: bool = False, alpha_min: float = 0.0, fit_intercept: bool = True
+) -> LassoPath:
+    """Least angle steps from centred statistics; a penalty counts per unit of weight.
+
+    ``method``: "lasso" drops coefficients that reach 0, "lar" goes on through it.  ``positive`` keeps coefficients from
+    falling below 0.  The path ends at the penalty ``alpha_min``.  Without an intercept the statistics stay uncentred.
+    """
+    if method not in ("lasso", "lar"):
+        raise ValueError("method is lasso or lar")
+    if positive and method == "lar":
+        raise ValueError("least angle steps alone don't keep coefficients positive")
+    k = len(features)
+    g, c, mx, my = stats.centered() if fit_intercept else (stats.xtx, stats.xty, np.zeros(k), 0.0)
+    n = stats.weight or 1.0
+    size = (lambda x: x) if positive else np.abs
+    beta, active, corr = np.zeros(k), [], c.copy()
+    level, floor = max(float(np.max(size(corr))), 0.0) if k else 0.0, alpha_min * n
     alphas, coefs, dropped = [level / n], [beta.copy()], None
     for _ in range(max_knots or 8 * k):
-        if level <= 1e-12 * max(1.0, float(np.max(np.abs(c)))):
+        if level <= max(1e-12 * max(1.0, float(np.max(np.abs(c)))), floor):
             break
         if dropped is None:
             rest = [j for j in range(k) if j not in active]
             if rest:
-                j = max(rest, key=lambda j: abs(corr[j]))
-                if abs(corr[j]) >= level * (1 - 1e-9):
+                j = max(rest, key=lambda j: size(corr[j]))
+                if size(corr[j]) >= level * (1 - 1e-9):
                     active.append(j)
         sign = np.sign(corr[active])
         move = _solve(g[np.ix_(active, active)], sign)
         fall = g[:, active] @ move
-        step, dropped = level, None
+        step, dropped = level - floor, None
         for j in range(k):
             if j not in active:
-                for a, b in ((level - corr[j], 1 - fall[j]), (level + corr[j], 1 + fall[j])):
+                ways = [(level - corr[j], 1 - fall[j])] + ([] if positive else [(level + corr[j], 1 + fall[j])])
+                for a, b in ways:
                     if b > 1e-12 and 1e-12 < a / b < step:
                         step = a / b
-        for p, j in enumerate(active):
+        for p, j in enumerate(active if method == "lasso" else []):
             if move[p] and 1e-12 < -beta[j] / move[p] < step:
                 step, dropped = -beta[j] / move[p], j
         beta[active] += step * move

@@ -111,7 +111,7 @@ class RidgeAdapter(Adapter):
 
 
 class LassoAdapter(Adapter):
-    """One path for each set of statistics serves all penalties."""
+    """One path for each set of statistics serves all penalties; further parameters are the path's options."""
 
     name = "lasso"
 
@@ -122,11 +122,12 @@ class LassoAdapter(Adapter):
         self._paths: dict = {}
 
     def fit(self, stats, features, params):
-        key = (id(stats), tuple(features))
+        options = {k: params[k] for k in ("method", "positive", "alpha_min", "fit_intercept") if k in params}
+        key = (id(stats), tuple(features), *sorted(options.items()))
         if key not in self._paths:
             if len(self._paths) >= self.KEPT:
                 del self._paths[next(iter(self._paths))]
-            self._paths[key] = (stats, linear.lasso_path(stats, features))
+            self._paths[key] = (stats, linear.lasso_path(stats, features, **options))
         return self._paths[key][1].at(params.get("alpha", 0.0))
 
 
@@ -323,6 +324,15 @@ def quantile_name(q: float) -> str:
     return f"prediction_q{q * 100:g}".replace(".", "_")
 
 
+def learning_curves(spark, model) -> DataFrame:
+    """(step, series, loss): the losses of a model's rounds or epochs, to draw; step 0 of boosted trees is the value they begin from."""
+    rows = []
+    for i, h in enumerate(model.history):
+        losses = {k: v for k, v in h.items() if k != "epoch"} if isinstance(h, dict) else {"valid": h}
+        rows += [(i, k, None if v is None else float(v)) for k, v in losses.items()]
+    return spark.createDataFrame(rows, "step int, series string, loss double")
+
+
 def load_run(folder: str, selector: str | None = None) -> dict:
     """The manifest of the one run that starts with ``selector`` (None: the latest); versions 2 and 3."""
     runs = sorted(d for d in os.listdir(folder) if d.startswith(selector or "pipeline_"))

@@ -195,13 +195,65 @@ class DataSource:
         return pdf[list(self.features)].to_numpy(), pdf[self.target].to_numpy(), pdf.drop(columns=[*self.features, self.target])
 
 
-def plan_segments(names: Sequence[str]) -> dict[tuple[str, str, str], dict[str, str]]:
-    """{(stem, date, tag): {segment: name}} of partial days' files."""
+# The part of a day that segments name "window", in UTC.
+WINDOW = ("13:15:00", "20:05:00")
+
+
+def day_ranges(day: str, mode: str = "full") -> list[tuple[str, str, str]]:
+    """(segment, start, end) of a day, YYYYMMDD or ISO, in UTC, ends excluded: the full day, its window, or the gaps around it."""
+    first = dt.datetime.strptime(day.replace("-", ""), "%Y%m%d")
+    midnight, after = (f"{d:%Y-%m-%d}T00:00:00Z" for d in (first, first + dt.timedelta(days=1)))
+    opens, closes = (f"{first:%Y-%m-%d}T{t}Z" for t in WINDOW)
+    ranges = {"full": [("full_day", midnight, after)], "window": [("window", opens, closes)], "gaps": [("gap_before", midnight, opens), ("gap_after", closes, after)]}
+    if mode not in ranges:
+        raise ValueError(f"mode is one of {sorted(ranges)}")
+    return ranges[mode]
+
+
+def plan_segments(names: Sequence[str], start: str | None = None, end: str | None = None, stems: Sequence[str] | None = None, limit: int | None = None) -> dict[tuple[str, str, str], dict[str, str]]:
+    """{(stem, date, tag): {segment: name}} of partial days' files, of dates from start to end and the named stems; the first ``limit`` days by (stem, date, tag)."""
+    plain = lambda d: d.replace("-", "") if d else d
     days: dict = {}
     for n in names:
         if m := _SEGMENT.fullmatch(n):
-            days.setdefault((m["stem"], m["date"], m["tag"]), {})[m["segment"]] = n
-    return days
+            date = plain(m["date"])
+            if (not start or date >= plain(start)) and (not end or date <= plain(end)) and (stems is None or m["stem"] in stems):
+                days.setdefault((m["stem"], m["date"], m["tag"]), {})[m["segment"]] = n
+    return days if limit is None else {k: days[k] for k in sorted(days)[:limit]}
+
+
+@dataclass(frozen=True)
+class DayPlan:
+    """What is done about a day: "write" it, "skip" what is there, or "missing" segments."""
+
+    action: str
+    dest: str
+    parts: tuple[str, ...]
+    missing: tuple[str, ...] = ()
+
+
+def assemble_days(spark: SparkSession, folder: str, out: str, overwrite: bool = False, dry_run: bool = False, sort_by: Sequence[str] = (), **which) -> list[DayPlan]:
+    """Write the full days of the segments in ``folder`` to ``out``, and say what was done; a dry run only says it.
+
+    ``which`` are options of :func:`plan_segments`.  A day needs all three segments; days that are there stay unless
+    ``overwrite``.
+    """
+    there = set(list_files(spark, out)) if _exists(spark, out) else set()
+    plans = []
+    for (stem, date, tag), found in sorted(plan_segments(list_files(spark, folder), **which).items()):
+        name = f"{stem}_{date}_{tag}_full_day.parquet"
+        order = ("gap_before", "window", "gap_after")
+        missing = tuple(s for s in order if s not in found)
+        action = "missing" if missing else "skip" if name in there and not overwrite else "write"
+        plans.append(DayPlan(action, f"{out.rstrip('/')}/{name}", tuple(f"{folder.rstrip('/')}/{found[s]}" for s in order if s in found), missing))
+        if action == "write" and not dry_run:
+            write_full_day(spark, plans[-1].parts, plans[-1].dest, sort_by)
+    return plans
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def write_full_day(spark: SparkSession, parts: Sequence[str], dest: str, sort_by: Sequence[str] = (), compression: str = "zstd") -> None:

@@ -64,12 +64,22 @@ ASIDE = frozenset("aside button dialog fieldset footer form menu nav search sele
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words in class or id of what is no article text.
 MARKS = frozenset(
-    "ad ads adsbygoogle adsense advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disqus footer gdpr legal login masthead "
-    "menu menubar modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion promotions recommended related replies reply respond search share sharing "
+    "ad ads adsbygoogle adsense advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead "
+    "menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup promo promoted promotion promotions recommended related replies reply respond search share sharing "
     "sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: The same written together with other words.
+JOINED = re.compile(
+    r"ads?(?:area|banner|block|box|container|frame|slot|space|unit|wrap|wrapper|zone)|(?:.*)(?:breadcrumbs?|navbar|navigation|sidebar|toolbar)|(?:bottom|footer|main|side|site|sub|top)(?:menu|nav)"
+    r"|comments?(?:area|body|box|form|list|section|thread|wrapper)|(?:reader|user)comments?|cookie(?:banner|bar|consent|notice)|footer(?:inner|links|wrap|wrapper)|(?:page|site)footer|share(?:bar|buttons?|links)|social(?:bar|links|media)"
+)
+#: Headings of what isn't the article, up to the next heading of their level.
+ENDINGS = frozenset(
+    "comment|comments|comments section|discussion|leave a comment|leave a reply|more stories|newsletter|reader comments|readers comments|related|related articles|related posts|related stories|replies|share this|subscribe|"
+    "diskussion|kommentar schreiben|kommentare|leserkommentare|mehr zum thema|weitere artikel|articles liés|commentaires|laisser un commentaire|à lire aussi|artículos relacionados|comentarios|deja un comentario".split("|")
+)
 #: Words that mark a header, unless it is the article's.
-HEADERS = frozenset("header head".split())
+HEADERS = frozenset("header head headerwrap pageheader siteheader topheader".split())
 ARTICLE_MARKS = frozenset("article content entry main post story".split())
 
 ENGLISH = (
@@ -105,7 +115,7 @@ _ends = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    heading: bool = False
+    heading: int = 0  # its level
     inside: int = 0  # 2 in an article, 1 in what is main
     label: str = ""
     text: str = ""
@@ -115,7 +125,8 @@ class Block:
 class Element:
     name: str
     aside: bool = False  # no article text by its markup
-    doubtful: bool = False  # unless an article is inside
+    doubtful: bool = False  # unless the article is inside
+    header: bool = False  # the page's, unless an article is around it
     article: int = 0
     end: int | None = None  # number of the piece that closes it
 
@@ -148,7 +159,7 @@ def pieces(page: str) -> list[tuple]:
 
 def element(name: str, attributes: str) -> Element:
     """What a start tag declares."""
-    own = Element(name, name in ASIDE or name in SILENT, name == "form", {"article": 2, "main": 1}.get(name, 0))
+    own = Element(name, name in ASIDE or name in SILENT, name == "form", name == "header", {"article": 2, "main": 1}.get(name, 0))
     if not attributes:
         return own
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
@@ -162,8 +173,9 @@ def element(name: str, attributes: str) -> Element:
     marks = {w for c in f"{values.get('class', '')} {values.get('id', '')}".split() if not UNMARKED.match(c) for w in NAME.findall(c)}
     if not own.aside:
         own.aside = values.get("role") in ROLES
-    if not own.aside and (hidden or marks & MARKS or (marks & HEADERS and not marks & ARTICLE_MARKS)):
+    if not own.aside and (hidden or marks & MARKS or any(map(JOINED.fullmatch, marks))):
         own.aside = own.doubtful = True
+    own.header = own.header or bool(marks & HEADERS and not marks & ARTICLE_MARKS)
     if own.aside:
         own.article = 0
     return own
@@ -189,24 +201,29 @@ def tree(parts: list[tuple]) -> dict[int, Element]:
     return found
 
 
-def declare(found: dict[int, Element], n: int) -> None:
-    """A header is no article text outside articles; a doubtful element is the page's frame if an article is in it."""
+def declare(found: dict[int, Element], parts: list[tuple]) -> None:
+    """A header is no article text outside articles; a doubtful element is the page's frame if an article is in it, or the first heading and most of the text."""
     starts, reach = [i for i, e in found.items() if e.article], -1
+    firsts = [i for i, e in found.items() if e.name == "h1"]
+    sizes = [0]
+    for p in parts:
+        sizes.append(sizes[-1] + (len(p[1]) if p[0] == "text" else 0))
+    holds = lambda spots, i, end: (k := bisect_right(spots, i)) < len(spots) and spots[k] <= end
     for i, e in found.items():
         if e.article:
-            reach = max(reach, n if e.end is None else e.end)
-        elif e.name == "header" and i > reach:
-            e.aside = True
-        elif e.aside and e.doubtful and e.end is not None:
-            k = bisect_right(starts, i)
-            e.aside = k == len(starts) or starts[k] > e.end
+            reach = max(reach, len(parts) if e.end is None else e.end)
+        if e.header and i > reach:
+            e.aside, e.doubtful = True, e.name != "header"
+        if e.aside and e.doubtful and e.end is not None:
+            most = 2 * (sizes[e.end] - sizes[i]) > sizes[-1]
+            e.aside = not (holds(starts, i, e.end) or most and holds(firsts, i, e.end))
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks with text that the markup doesn't leave out."""
     parts = pieces(page or "")
     found = tree(parts)
-    declare(found, len(parts))
+    declare(found, parts)
     anchors = [(i, p[0]) for i, p in enumerate(parts) if p[0] != "text" and p[1] == "a"]
     closed = {i for (i, kind), (_, after) in zip(anchors, anchors[1:], strict=False) if kind == "start" and after == "end"}
     out, now = [], Block()
@@ -215,7 +232,7 @@ def blocks(page: str | None) -> list[Block]:
     loose_aside = link = loose_link = False
     broken = 0  # parts of the block up to its last line break
 
-    def flush(heading: bool = False):
+    def flush(heading: int = 0):
         nonlocal now, broken
         now.text = " ".join("".join(now.parts).split())
         if now.text:
@@ -242,7 +259,7 @@ def blocks(page: str | None) -> list[Block]:
             end = len(parts) if own.end is None else own.end
             around.append((min(end, around[-1][0]), max(own.article, around[-1][1])) if around else (end, own.article))
         if name in BLOCKS or own is not None:
-            flush(p[0] == "start" and name in HEADINGS)
+            flush(int(name[1]) if p[0] == "start" and name in HEADINGS else 0)
             loose_aside, link = False, link and not loose_link
         if own is not None and own.aside:
             if own.end is None:
@@ -308,7 +325,7 @@ def label(found: list[Block]) -> list[Block]:
     for b in found:
         b.label = "bad"
     articles, own = bool(own), own or found
-    labels = [first_pass(b, articles) for b in own]
+    labels = ["bad" if gone else first_pass(b, articles) for b, gone in zip(own, endings(own), strict=True)]
     labels = labels if articles else headings(own, anchored(own, labels))
     border = "good" if articles else "bad"
     before, after = _nearest(labels, border), _nearest(labels[::-1], border)[::-1]
@@ -320,6 +337,18 @@ def label(found: list[Block]) -> list[Block]:
     return found
 
 
+def endings(found: list[Block]) -> list[bool]:
+    """Whether a block belongs to comments, related pages or the like by the heading above it."""
+    out, level = [], 0
+    for b in found:
+        if b.heading and b.heading > 1 and " ".join(WORD.findall(b.text.lower())) in ENDINGS:
+            level = b.heading
+        elif b.heading and level and b.heading <= level:
+            level = 0
+        out.append(level > 0)
+    return out
+
+
 def anchored(found: list[Block], labels: list[str]) -> list[str]:
     """Where no block is text by itself: the undecided ones of the run between boilerplate that has the most words, those near text if there are any."""
     if "good" in labels:
@@ -360,11 +389,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", all_blocks: bool = False) -> DataFrame:
-    """(key, url, text) per page; with ``all_blocks`` (key, url, blocks): each block's text, label, characters in links and whether it is a heading or in an article."""
+    """(key, url, text) per page; with ``all_blocks`` (key, url, blocks): each block's text, label, characters in links the level of a heading and whether it is in an article."""
     wanted = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("key", "url"))
-    last = "blocks array<struct<text: string, label: string, linked: int, heading: boolean, inside: int>>" if all_blocks else "text string"
-    kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("linked", pa.int32()), ("heading", pa.bool_()), ("inside", pa.int32())])) if all_blocks else pa.string()
+    last = "blocks array<struct<text: string, label: string, linked: int, heading: int, inside: int>>" if all_blocks else "text string"
+    kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("linked", pa.int32()), ("heading", pa.int32()), ("inside", pa.int32())])) if all_blocks else pa.string()
 
     def one(page: str | None):
         if not all_blocks:

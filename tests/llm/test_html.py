@@ -72,7 +72,7 @@ def test_without_an_article():
 
 
 def test_labels_come_from_neighbours():
-    block = lambda text, linked=0, heading=False: html.Block(linked=linked, heading=heading, text=text)
+    block = lambda text, linked=0, heading=0: html.Block(linked=linked, heading=heading, text=text)
     short, link = block("Short one."), block("A link", 6)
     run = lambda *bs: [b.label for b in html.label([block(b.text, b.linked, b.heading) for b in bs])]
     good = block(LONG)
@@ -83,7 +83,7 @@ def test_labels_come_from_neighbours():
     assert run(link, short, short, short, short, good) == ["bad", "bad", "bad", "good", "good", "good"]
     near = block("The words that are in it and some more of them than before, Qxz vbn mkl wrt plk jhg fds.")
     assert run(link, near, short, good) == ["bad", "good", "good", "good"] and run(good, link, near, link) == ["good", "bad", "bad", "bad"]
-    assert run(link, block("Title", heading=True), short, short, good)[1] == "good"
+    assert run(link, block("Title", heading=1), short, short, good)[1] == "good"
 
 
 def test_a_page_of_undecided_blocks():
@@ -95,6 +95,25 @@ def test_a_page_of_undecided_blocks():
     assert html.main_text(f"{nav}<p>Imprint</p>{nav}") == ""
 
 
+def test_comments_under_a_heading():
+    """What follows a heading of comments, up to the next heading of its level, isn't the article's."""
+    page = f"<article><h1>A title</h1><p>{LONG}</p><h2>Comments (2)</h2><p>{LONG}</p><h3>Somebody</h3><p>Not so.</p><h2>How it ends</h2><p>Well.</p></article>"
+    assert html.main_text(page) == f"A title\n{LONG}\nHow it ends\nWell."
+    assert html.main_text(f"<div><h1>Comments</h1><p>{LONG}</p><h2>Leserkommentare</h2><p>{LONG}</p></div>") == f"Comments\n{LONG}"
+
+
+@pytest.mark.parametrize("mark", ["adSlot", "ad-box", "leftSidebar", "topnav", "commentList", "cookieBanner", "site-notification", "userComments", "shareBar", "footerLinks"])
+def test_marks_written_together(mark):
+    assert html.main_text(f"<div><h1>A title</h1><p>{LONG}</p><div class='x {mark}'><p>{LONG} And so on.</p></div></div>") == f"A title\n{LONG}"
+
+
+def test_frames_and_headers():
+    """A marked element around the text is the page's frame; a header in an article is its own."""
+    assert html.main_text(f"<form><div class='page social-theme'><div class=header>Our site</div><h1>A title</h1><p>{LONG}</p></div></form><div class=footer>no</div>") == f"A title\n{LONG}"
+    assert html.main_text(f"<div class=header><h1>Our site</h1></div><article><div class=header><h1>A title</h1></div><p>{LONG}</p></article>") == f"A title\n{LONG}"
+    assert html.main_text(f"<div class=post-header><h1>A title</h1></div><p>{LONG}</p><p class=commentary>{LONG}</p>") == f"A title\n{LONG}\n{LONG}"
+
+
 def test_references_and_space():
     page = "<article><p>a&nbsp;b\n\t c &amp; d &lt;e&gt; &eacute;&#233;&#xe9; &am; &amp &unknown; 5 < 6 &copy;<br>f<b>g</b>h<br/><br>second <i>line</i></p></article>"
     assert html.main_text(page) == "a b c & d <e> ééé &am; & &unknown; 5 < 6 © f gh".replace("f gh", "fgh") + "\nsecond line"

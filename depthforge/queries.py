@@ -16,7 +16,7 @@ from depthforge.operators.kernels import Decay, decayed_by_ranges
 from depthforge.operators.ordering import KEYS, average_rank, by_row, carry_forward, forward_fill
 from depthforge.plans import features as P
 from depthforge.plans import search
-from depthforge.sources import calendars
+from depthforge.sources import calendars, records
 from depthforge.sources.dated import DataSource, nature, session_days, with_row_nr
 from depthforge.sources.shared import shared_path
 from depthforge.sources.views import MBO_SQL, QUOTES_SQL, event_stream, mbo, mbo_of, quotes, quotes_of
@@ -926,6 +926,16 @@ def _(s, d):
     return found.where("issue not like 'traded%'").select("instrument_id", "row_nr", "issue")
 
 
+@query("binary_records", f"WITH {MBO_SQL} SELECT instrument_id, action, side, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, max(price) AS price FROM mbo WHERE row_nr >= 100 GROUP BY 1, 2, 3")
+def _(s, d):
+    """The events written as fixed-width records, and read back."""
+    records.register(s)
+    path = shared_path(s, "records")
+    mbo(s, d).write.format("records").option("width", 1).mode("append").save(path)
+    back = s.read.format("records").option("columns", "instrument_id,action,side,size,price,row_nr").load(path)
+    return back.where("row_nr >= 100").groupBy("instrument_id", "action", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("price").alias("price"))
+
+
 @query("book_stats", book_sql.replay_counters(3))
 def _(s, d):
     return book.book_stats(mbo(s, d), 3)

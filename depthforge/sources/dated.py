@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import os
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
@@ -11,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthforge.functions.exprs import num
-from depthforge.sources.calendars import closed_days
 from depthforge.operators.filters import any_of
 from depthforge.operators.ordering import ORDER, with_row_nr
+from depthforge.sources.calendars import closed_days
 
 TEMPLATE = "{prod}M6_{date}_{tag}_{prod_s}_full_day.parquet"
 _SEGMENT = re.compile(r"(?P<stem>.+)_(?P<date>\d{8}|\d{4}-\d{2}-\d{2})_(?P<tag>.+?)_(?P<segment>gap_before|window|gap_after)\.parquet")
@@ -267,8 +269,38 @@ def write_full_day(spark: SparkSession, parts: Sequence[str], dest: str, sort_by
 
 
 def file_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, length, sha256) per file, hashed by the executors."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) per file, hashed by the executors; of a folder, its files.
+
+    Files of mounted folders are streamed, a megabyte at a time.  Those of other stores are read as one value each, which
+    Spark allows up to 2 GB.
+    """
+    if not all("://" not in p or p.startswith("file://") for p in paths):
+        return spark.read.format("binaryFile").load(list(paths)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    found = [f for p in paths for f in _visible_files(os.path.abspath(p.removeprefix("file:").replace("//", "/")))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            names, sizes, digests = b.column(0).to_pylist(), [], []
+            for name in names:
+                digest = hashlib.sha256()
+                with open(name, "rb") as f:
+                    while chunk := f.read(1 << 20):
+                        digest.update(chunk)
+                    sizes.append(f.tell())
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array([f"file:{n}" for n in names], pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    rows = spark.createDataFrame([(f,) for f in found], "path string")
+    return rows.repartition(max(1, min(len(found), 10_000)), "path").mapInArrow(run, "path string, length bigint, sha256 string")
+
+
+def _visible_files(path: str) -> list[str]:
+    """``path``, or the files in it that readers of a folder see."""
+    if not os.path.isdir(path):
+        return [path]
+    return sorted(os.path.join(at, n) for at, _, names in os.walk(path) for n in names if not n.startswith((".", "_")))
 
 
 def combined_hash(manifest: DataFrame) -> str:

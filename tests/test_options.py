@@ -1,5 +1,6 @@
 """Options of the lasso path, the kernel's precision, segment plans, curves, and Arrow streams of the command line."""
 
+import hashlib
 import io
 import json
 import sys
@@ -114,3 +115,14 @@ def test_arrow_streams_of_the_command_line(spark, tmp_path, capsys, monkeypatch)
     for bad in ([], ["x", "--input-ipc", "--out", "y"], ["x"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_manifest_of_files(spark, tmp_path):
+    """Streamed hashes are those of the whole files; folders count as their visible files."""
+    for name, body in (("a.bin", b"x" * 3_000_000), ("b/c.bin", b""), ("b/_hidden", b"no"), ("b/d e.bin", b"y")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = {r.path: (r.length, r.sha256) for r in dated.file_manifest(spark, [str(tmp_path / "a.bin"), f"file:{tmp_path}/b"]).collect()}
+    want = {f"file:{tmp_path}/{n}": (len(b), hashlib.sha256(b).hexdigest()) for n, b in (("a.bin", b"x" * 3_000_000), ("b/c.bin", b""), ("b/d e.bin", b"y"))}
+    assert got == want
+    assert dated.file_manifest(spark, []).count() == 0

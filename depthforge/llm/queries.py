@@ -21,8 +21,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_decontamination": decontam.OP5_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }

@@ -211,3 +211,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", nod
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN sha256(array_to_string(w[i:i + 49], ' ')) END AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT *, k IS NOT NULL AND min(doc_id) OVER (PARTITION BY k) < doc_id AS again FROM p),
+c AS (SELECT doc_id, i, word, coalesce(max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 50, false) AS gone FROM f)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(c.i) FILTER (c.gone) AS n_removed, sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -1,7 +1,7 @@
 """Streaming forms of the decayed sum and of the book: one state per key, kept by Structured Streaming.
 
-Rows of a key must reach the stream in order across micro-batches; inside one they are sorted.  The state of a key
-that isn't seen for ``idle_ms`` of processing time is dropped, and the key starts anew; without it, state stays.
+Rows of a key must reach the stream in order across micro-batches; inside one they are sorted, in runs on the worker's
+disk that are merged, so that no task holds a micro-batch.  The state of a key that isn't seen for ``idle_ms`` of processing time is dropped, and the key starts anew; without it, state stays.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from depthforge.operators.book import EVENTS, KEYS, Book, depth_schema
 from depthforge.operators.kernels import Decay, State
+from depthforge.streaming.runs import Runs
 
 
 def stream_decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str], order: str = "row_nr", time: str = "ts_ns", idle_ms: int | None = None) -> DataFrame:
@@ -31,20 +32,27 @@ def stream_decayed(df: DataFrame, decays: Sequence[Decay], keys: Sequence[str],
         if state.exists:
             for s, (t, v) in zip(held, pickle.loads(bytes(state.get[0])), strict=True):
                 s.time, s.value = t, v
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        t = rows[time].to_numpy("int64")
-        for s, d in zip(held, decays, strict=True):
-            x = pd.to_numeric(rows[d.value]).to_numpy("float64", na_value=float("nan"))
-            values, void = s.run(x, rows[d.value].isna().to_numpy(), t)
-            rows[d.name] = pd.Series(values, index=rows.index).mask(void)
+        for rows in _in_order(frames, order):
+            t, new = rows[time].to_numpy("int64"), {}
+            for s, d in zip(held, decays, strict=True):
+                x = pd.to_numeric(rows[d.value]).to_numpy("float64", na_value=float("nan"))
+                values, void = s.run(x, rows[d.value].isna().to_numpy(), t)
+                new[d.name] = pd.Series(values, index=rows.index).mask(void)
+            yield rows.assign(**new)[out.names]
         state.update((pickle.dumps([(s.time, s.value) for s in held]),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield rows[out.names]
 
     return df.groupBy(*keys).applyInPandasWithState(step, out, kept, "append", _timeout(idle_ms))
 
 
+def _in_order(frames: Iterator[pd.DataFrame], order: str) -> Iterator[pd.DataFrame]:
+    runs = Runs([order])
+    for rows in frames:
+        runs.add(rows)
+    return runs.merged()
+
+
 def _timeout(idle_ms: int | None) -> str:
     return "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
 

@@ -3,7 +3,7 @@
 A key's watermark is its latest time of earlier micro-batches less a delay.  Rows before it are late: they come out at
 once, marked, and enter nothing.  The other rows wait in the key's buffer until the time they need has passed the
 watermark, so they may arrive in any order within the delay.  A buffer holds the rows of the delay and the horizon, no
-more.  It is kept as an Arrow stream with its own schema, beside plain numbers, so any reader of the state can use it.
+more.  Rows of a micro-batch are merged from sorted runs on disk and leave piece by piece, so it may be of any size.  It is kept as an Arrow stream with its own schema, beside plain numbers, so any reader of the state can use it.
 
 Rows alike in time are ordered by their row number, repeated rows come out as often as they came.  A null time is late.  A key that isn't seen for
 ``idle_ms`` of processing time is closed: what waits comes out in order, labels beyond its end are null, and the key
@@ -14,6 +14,7 @@ null, and a NaN price comes out as a null label, since rows pass through pandas.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from depthforge.functions.durations import horizon_ns
 from depthforge.operators.asof import weighted_horizons
 from depthforge.operators.kernels import Decay, State
 from depthforge.operators.ordering import KEYS, ORDER
+from depthforge.streaming.runs import Runs
 
 #: Latest time, late rows so far, the rows that wait, and time and value of each decayed sum.
 STATE = StructType([StructField("latest", LongType()), StructField("n_late", LongType()), StructField("rows", BinaryType()), StructField("times", ArrayType(LongType())), StructField("sums", ArrayType(DoubleType()))])
@@ -74,23 +76,43 @@ def _buffered(
             if waiting is not None and len(waiting):
                 yield shown(waiting.join(values(waiting, len(waiting), carry)[0]), False, n_late)
             return
-        came = pd.concat([*([waiting] if waiting is not None else []), *frames], ignore_index=True)
-        late = came[time].isna().to_numpy()
-        if latest is not None:
-            late |= (came[time] < latest - delay_ns).to_numpy()
-            late[: 0 if waiting is None else len(waiting)] = False
-        if late.any():
-            n_late += int(late.sum())
-            yield shown(came[late], True, n_late)
-        rows = came[~late].sort_values([time, order], kind="stable", ignore_index=True)
-        if len(rows):
-            rows[time] = rows[time].astype("int64")
-            latest = max(latest, int(rows[time].iloc[-1])) if latest is not None else int(rows[time].iloc[-1])
-            done = int(np.searchsorted(rows[time].to_numpy(), latest - delay_ns - ahead_ns, "right"))
-            if done:
-                made, carry = values(rows, done, carry)
-                yield shown(rows.iloc[:done].join(made), False, n_late)
-            rows = rows.iloc[done:]
+        floor = None if latest is None else latest - delay_ns
+        runs, marked, blank = Runs([time, order]), Runs([]), waiting
+        if waiting is not None and len(waiting):
+            runs.add(waiting)
+        for came in frames:
+            blank = came.iloc[:0] if blank is None else blank
+            late = came[time].isna().to_numpy()
+            if floor is not None:
+                late |= (came[time] < floor).to_numpy()
+            if late.any():
+                n_late += int(late.sum())
+                marked.add(came[late])
+                came = came[~late]
+            if len(came):
+                came = came.assign(**{time: came[time].astype("int64")})
+                runs.add(came)
+                end = int(came[time].max())
+                latest = end if latest is None else max(latest, end)
+        for rows in marked.merged():
+            yield shown(rows, True, n_late)
+        parts, n, kept = [], 0, 0
+        for rows in chain(runs.merged(), [blank.iloc[:0]]):
+            parts.append(rows)
+            n += len(rows)
+            if len(rows) and n < 2 * kept:
+                continue  # what waits is looked through anew when it has doubled
+            rows = pd.concat([x for x in parts if len(x)] or parts, ignore_index=True)
+            if n:
+                until = latest - delay_ns - ahead_ns
+                if len(parts[-1]):  # more may come: what these look ahead to has to be there
+                    until = min(until, int(rows[time].iloc[-1]) - (ahead_ns + 1 if ahead_ns else 0))
+                done = int(np.searchsorted(rows[time].to_numpy(), until, "right"))
+                if done:
+                    made, carry = values(rows, done, carry)
+                    yield shown(rows.iloc[:done].join(made), False, n_late)
+                rows = rows.iloc[done:]
+            parts, n, kept = [rows], len(rows), len(rows)
         state.update((latest, n_late, _pack(rows), *carry))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)

@@ -1,8 +1,12 @@
 import numpy as np
 import pandas as pd
 
+from depthforge.operators.kernels import Decay, decayed
 from depthforge.streaming import runs
+from depthforge.streaming.event_time import stream_decayed_in_order
 from depthforge.streaming.runs import Runs
+from depthforge.streaming.states import stream_decayed
+from test_streaming import HOUR, prices
 
 
 def test_runs_merge_in_order(monkeypatch):
@@ -22,3 +26,39 @@ def test_runs_merge_in_order(monkeypatch):
         want = whole.sort_values(order, kind="stable", ignore_index=True) if order else whole
         pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want)
     assert list(Runs(["t"]).merged()) == []
+
+
+class Held:
+    """A state as Spark hands it to a step."""
+
+    def __init__(self):
+        self.hasTimedOut, self.exists, self.get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def step_of(monkeypatch, spark, build, schema):
+    """The step that ``build`` gives to Spark."""
+    from pyspark.sql.group import GroupedData
+
+    taken = []
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, step, *a: taken.append(step))
+    build(spark.createDataFrame([], schema))
+    return taken[0]
+
+
+def test_steps_in_pieces(spark, monkeypatch):
+    """A micro-batch of many frames leaves in pieces, with the sums of the batch form."""
+    monkeypatch.setattr(runs, "RUN", 50)
+    monkeypatch.setattr(runs, "PIECE", 8)
+    df = prices(spark).where("instrument_id = 1")
+    rows = df.toPandas().sample(frac=1.0, random_state=3, ignore_index=True)
+    frames = [rows.iloc[a : a + 20] for a in range(0, len(rows), 20)]
+    spec = [Decay("a", "price", 6 * HOUR)]
+    sums = {r.row_nr: r.a for r in decayed(df, spec).collect()}
+    for build in (lambda s: stream_decayed(s, spec, ["instrument_id"]), lambda s: stream_decayed_in_order(s, spec)):
+        got = list(step_of(monkeypatch, spark, build, df.schema)((1,), iter(frames), Held()))
+        assert max(map(len, got)) <= 16
+        out = pd.concat(got)
+        assert len(out) == len(rows) and np.allclose(out["a"].to_numpy(float), [sums[r] for r in out["row_nr"]])

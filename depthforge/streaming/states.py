@@ -66,16 +66,17 @@ def stream_depth(events: DataFrame, levels: int = 5, idle_ms: int | None = None)
             state.remove()
             return
         book = pickle.loads(bytes(state.get[0])) if state.exists else Book(levels)
-        rows = []
-        for event in pd.concat(list(frames)).sort_values("row_nr", kind="stable")[list(EVENTS)].itertuples(index=False, name=None):
-            ts, row_nr, sequence, action, side, price, size, order, flags = event
-            rows += [(*key, *r) for r in book.push(int(ts), int(row_nr), int(sequence), action, side, int(price), int(size), int(order), int(flags))]
+        for came in _in_order(frames, "row_nr"):
+            rows = []
+            for event in came[list(EVENTS)].itertuples(index=False, name=None):
+                ts, row_nr, sequence, action, side, price, size, order, flags = event
+                rows += [(*key, *r) for r in book.push(int(ts), int(row_nr), int(sequence), action, side, int(price), int(size), int(order), int(flags))]
+            frame = pd.DataFrame(rows, columns=out.names)
+            for c in ("trade_px", "trade_sz", "trade_side", "trade_px_last", "trade_levels", "trade_fills", "trade_posted_sz"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame
         state.update((pickle.dumps(book),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        frame = pd.DataFrame(rows, columns=out.names)
-        for c in ("trade_px", "trade_sz", "trade_side", "trade_px_last", "trade_levels", "trade_fills", "trade_posted_sz"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
 
     return events.groupBy(*(k for k, _ in KEYS)).applyInPandasWithState(step, out, kept, "append", _timeout(idle_ms))

@@ -1,12 +1,14 @@
 import numpy as np
 import pandas as pd
 
+from depthforge.operators.book import build_depth
 from depthforge.operators.kernels import Decay, decayed
+from depthforge.sources.views import mbo
 from depthforge.streaming import runs
 from depthforge.streaming.event_time import stream_decayed_in_order
 from depthforge.streaming.runs import Runs
-from depthforge.streaming.states import stream_decayed
-from test_streaming import HOUR, prices
+from depthforge.streaming.states import stream_decayed, stream_depth
+from test_streaming import HOUR, SF, prices
 
 
 def test_runs_merge_in_order(monkeypatch):
@@ -62,3 +64,16 @@ def test_steps_in_pieces(spark, monkeypatch):
         assert max(map(len, got)) <= 16
         out = pd.concat(got)
         assert len(out) == len(rows) and np.allclose(out["a"].to_numpy(float), [sums[r] for r in out["row_nr"]])
+
+
+def test_depth_in_pieces(spark, monkeypatch):
+    """The depth rows of a micro-batch leave piece by piece, and are those of the batch form."""
+    monkeypatch.setattr(runs, "RUN", 50)
+    monkeypatch.setattr(runs, "PIECE", 8)
+    df = mbo(spark, SF).where("row_nr < 1000 and instrument_id = 1")
+    rows = df.toPandas().sample(frac=1.0, random_state=3, ignore_index=True)
+    got = list(step_of(monkeypatch, spark, lambda s: stream_depth(s, 2), df.schema)((1, 1), (rows.iloc[a : a + 20] for a in range(0, len(rows), 20)), Held()))
+    assert len(got) > 10
+    last = rows["row_nr"][rows["flags"] == 128].max()
+    want = sorted(r.row_nr for r in build_depth(df, 2).where(f"row_nr <= {last}").collect())
+    assert sorted(pd.concat(got)["row_nr"]) == want

@@ -5,10 +5,10 @@ from depthforge.operators.book import build_depth
 from depthforge.operators.kernels import Decay, decayed
 from depthforge.sources.views import mbo
 from depthforge.streaming import runs
-from depthforge.streaming.event_time import stream_decayed_in_order
+from depthforge.streaming.event_time import stream_decayed_in_order, stream_future_price
 from depthforge.streaming.runs import Runs
 from depthforge.streaming.states import stream_decayed, stream_depth
-from test_streaming import HOUR, SF, prices
+from test_streaming import HOUR, SF, batch_labels, prices
 
 
 def test_runs_merge_in_order(monkeypatch):
@@ -77,3 +77,19 @@ def test_depth_in_pieces(spark, monkeypatch):
     last = rows["row_nr"][rows["flags"] == 128].max()
     want = sorted(r.row_nr for r in build_depth(df, 2).where(f"row_nr <= {last}").collect())
     assert sorted(pd.concat(got)["row_nr"]) == want
+
+
+def test_labels_in_pieces(spark, monkeypatch):
+    """Labels of a micro-batch in pieces are the batch form's; late rows are counted whole."""
+    monkeypatch.setattr(runs, "RUN", 50)
+    monkeypatch.setattr(runs, "PIECE", 8)
+    df = prices(spark).where("instrument_id = 1")
+    rows = df.toPandas().sample(frac=1.0, random_state=3, ignore_index=True)
+    frames = [rows.iloc[a : a + 20] for a in range(0, len(rows), 20)]
+    step, state = step_of(monkeypatch, spark, lambda s: stream_future_price(s, "price", ["1h", "6h"], [2.0, 1.0], delay="1h"), df.schema), Held()
+    got = list(step((1,), iter(frames), state))
+    want = batch_labels(df, HOUR)
+    assert {r: None if pd.isna(v) else v for f in got for r, v in zip(f["row_nr"], f["future_price"], strict=True)} == {r: v for r, v in want.items() if r in set(rows["row_nr"])}
+    assert len(got) > 3
+    late = list(step((1,), iter(frames), state))
+    assert sum(map(len, late)) < len(rows) and all(f["late"].all() and f["n_late"].nunique() == 1 for f in late if f["late"].any())

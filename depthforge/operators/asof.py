@@ -2,8 +2,12 @@
 
 The value as of t + h is the value of the last row (by time, then row order) at or before t + h; null when the
 group ends before t + h.  It is one growing window frame per horizon, ``max`` of (time, row, value) from the start
-of the group to t + h: each row enters once, all horizons share one shuffle and one sort, and no row is doubled.
+of the group to t + h: each row enters once, and all horizons share one shuffle and one sort.
 A row is picked whatever its value, so a null there stays null.
+
+Labels deal a group's rows out by spans of time, twice the longest horizon wide.  The row as of t + h isn't before the
+row itself, so it is in the same span or in the first half of the next, whose rows come a second time for that.  A
+group may hold all rows: no window holds more than a span and a half.  Ends of groups are an aggregate that is broadcast.
 """
 
 from __future__ import annotations
@@ -20,11 +24,15 @@ from depthforge.functions.exprs import fdiv, num, size_weighted_price
 from depthforge.operators.ordering import KEYS, ORDER
 
 
-def asof_backward(value: Column, ahead_ns: int, keys: Sequence[str] = KEYS, time: str = "ts_ns", order: str = ORDER) -> Column:
+def _last_until(value: Column, ahead_ns: int, keys: Sequence[str], time: str, order: str) -> Column:
     frame = W.partitionBy(*keys).orderBy(time).rangeBetween(W.unboundedPreceding, ahead_ns)
-    last = F.max(F.struct(F.col(time).alias("t"), F.col(order).alias("r"), value.alias("v"))).over(frame)
+    return F.max(F.struct(F.col(time).alias("t"), F.col(order).alias("r"), value.alias("v"))).over(frame)["v"]
+
+
+def asof_backward(value: Column, ahead_ns: int, keys: Sequence[str] = KEYS, time: str = "ts_ns", order: str = ORDER) -> Column:
+    """The value as of ``ahead_ns`` after each row as a column; a group of ``keys`` is one window, see :func:`add_future_price` for large ones."""
     end = F.max(time).over(W.partitionBy(*keys))
-    return F.when(F.col(time) + ahead_ns <= end, last["v"])
+    return F.when(F.col(time) + ahead_ns <= end, _last_until(value, ahead_ns, keys, time, order))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], order: str = ORDER) -> DataFrame:
@@ -56,14 +64,28 @@ def add_future_price(df: DataFrame, price: Column, horizons, weights=1.0, name:
     if not pairs or not total:
         raise ValueError("the weights must not add up to zero")
     keys = [k for k in keys if k in df.columns]
-    terms = [asof_backward(num(price), h, keys, time, order) * w for h, w in pairs]
-    return df.withColumn(name, reduce(lambda a, b: a + b, terms) / total)
+    tail = "_" * max(len(c) for c in df.columns)  # longer than any column
+    value, home, span, end = (f"_{x}{tail}" for x in ("value", "home", "span", "end"))
+    ends = df.groupBy(*(F.col(k).alias(f"_key{i}{tail}") for i, k in enumerate(keys))).agg(F.max(time).alias(end))
+    alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}{tail}")) for i, k in enumerate(keys)), F.lit(True))
+    ahead = max(h for h, _ in pairs)
+    width = max(2 * ahead, 1)
+    into = F.pmod(F.col(time), F.lit(width))
+    dealt = df.withColumns({value: num(price), home: F.col(time) - into}).join(F.broadcast(ends), alike)
+    dealt = dealt.withColumn(span, F.explode(F.when(into < ahead, F.array(F.col(home), F.col(home) - width)).otherwise(F.array(home))))
+    terms = [F.when(F.col(time) + h <= F.col(end), _last_until(F.col(value), h, [*keys, span], time, order)) * w for h, w in pairs]
+    out = dealt.withColumn(value, reduce(lambda a, b: a + b, terms) / total).where(F.col(span).eqNullSafe(F.col(home)))
+    return out.select(*df.columns, F.col(value)).withColumn(name, F.col(value)).drop(value)
 
 
 def add_return(df: DataFrame, price: Column, horizons, weights=1.0, name: str = "return_bps", keys: Sequence[str] = KEYS, time: str = "ts_ns", order: str = ORDER) -> DataFrame:
     """(future price / price - 1) in basis points."""
-    out = add_future_price(df, price, horizons, weights, "_future", keys, time, order)
-    return out.withColumn(name, (fdiv(F.col("_future"), price) - 1.0) * 1e4).drop("_future") if "_future" in out.columns else out
+    if not weighted_horizons(horizons, weights):
+        return df
+    tail = "_" * max(len(c) for c in df.columns)
+    now, future = f"_now{tail}", f"_future{tail}"
+    out = add_future_price(df.withColumn(now, price), F.col(now), horizons, weights, future, keys, time, order)
+    return out.withColumn(name, (fdiv(F.col(future), F.col(now)) - 1.0) * 1e4).drop(now, future)
 
 
 def add_future_executable_price(df: DataFrame, depth: int, total_size: float, horizons, weights=1.0, name: str = "future_executable_price", **at) -> DataFrame:

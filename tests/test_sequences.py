@@ -141,3 +141,24 @@ def test_folds_share_equal_sums(spark):
     plan = P.add_features(quote(3, spark), [P.push_momentum("a", "5s"), P.push_momentum("b", "5s", log=True)])
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("MapInArrow") == 1 and "__b_buy" not in text.split("MapInArrow")[1].split("\n")[0]
+
+
+def test_labels_of_one_key_in_many_tasks(spark):
+    """A key's labels are made in more than one task, and are those of one window over it: gaps, ties, nulls, times before 1970."""
+    g = np.random.default_rng(4)
+    rows = [(k, None if g.random() < 0.01 else int(t), n, None if g.random() < 0.1 else float(g.random())) for k in (1, 2, None) for n, t in enumerate([*g.integers(-900, 1500, 700), *g.integers(4000, 4300, 200), *([77] * 20)])]
+    df = spark.createDataFrame(rows, "instrument_id int, ts_ns long, row_nr long, p double").withColumn("publisher_id", F.lit(1))
+    at = {"1s": 100, "3s": 300}
+    want = df.withColumn("v", sum(asof.asof_backward(F.col("p"), h) * w for h, w in zip(at.values(), (2.0, 1.0), strict=True)) / 3.0)
+    slow = df.withColumn("ts_ns", F.col("ts_ns") * 10**7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = asof.add_future_price(slow.where("instrument_id = 1"), F.col("p"), list(at), [2.0, 1.0], "v")
+        assert one.select(F.spark_partition_id().alias("x")).distinct().count() > 1
+        got = asof.add_future_price(slow, F.col("p"), list(at), [2.0, 1.0], "v")
+        assert got.columns == [*df.columns, "v"]
+        said = lambda d: {(r.instrument_id, r.row_nr): r.v for r in d.collect()}
+        assert said(got) == said(want) and got.count() == df.count() and sum(v is not None for v in said(got).values()) > 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

@@ -359,8 +359,14 @@ _flow_return("corr")
 @query("standard_features")
 def _(s, d):
     """All 34 features of the standard set, in one fold."""
-    static, nodes = P.standard_set(["1h", "2h", "4h", "8h"])
-    return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c(by_row()), 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
+    return _standard(quotes(s, d), *P.standard_set(["1h", "2h", "4h", "8h"]))
+
+
+def _standard(q: DataFrame, static, nodes) -> DataFrame:
+    """The static features are made where the rows are read, in as many tasks as that takes: a book's own rows all meet in one."""
+    made = q.withColumns({n: F.round(c(by_row()), 6) for n, c in static.items()})
+    made = made.drop("ts_event", *(f"{side}_{x}_{i}" for side in ("bid", "ask") for x in ("px", "sz") for i in (1, 2)))  # the fold passes on what it gets
+    return P.add_features(made, nodes).select("row_nr", *static, *(F.round(n.name, 6).alias(n.name) for n in nodes))
 
 
 def _standard_sql(half_lives) -> str:
@@ -388,8 +394,7 @@ def _standard_sql(half_lives) -> str:
 def _(s, d):
     """The standard set, from its JSON."""
     static, nodes = P.from_json(P.to_json(*P.standard_set(["1h"])))
-    nodes = [n for n in nodes if not n.name.startswith("corr")]
-    return P.add_features(quotes(s, d), nodes).select("row_nr", *(F.round(c(by_row()), 6).alias(n) for n, c in static.items()), *(F.round(n.name, 6).alias(n.name) for n in nodes))
+    return _standard(quotes(s, d), static, [n for n in nodes if not n.name.startswith("corr")])
 
 
 # ---------------------------------------------------------------- labels

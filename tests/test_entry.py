@@ -34,3 +34,17 @@ def test_query(spark, name):
         return
     plain = lambda rows: sorted(tuple("" if v is None else f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
     assert plain(got) == plain(want)
+
+
+def test_static_features_before_the_shuffle(spark):
+    """The standard set's static features don't take their levels through the fold, where a book's rows are in one task."""
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = QUERIES["standard_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    shuffled = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    made = plan[plan.index(shuffled) :]
+    fold = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "AS imbalance_3_lin" in made and "bid_px_2" not in fold and "ask_sz_2" not in fold

@@ -162,3 +162,13 @@ def test_labels_of_one_key_in_many_tasks(spark):
         assert said(got) == said(want) and got.count() == df.count() and sum(v is not None for v in said(got).values()) > 500
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_horizons_in_many_tasks(spark):
+    """Returns over several horizons, one of no weight, are those of one window a key; further columns and their order stay."""
+    df = spark.range(400).select(F.lit(1).alias("publisher_id"), (F.col("id") % 2).cast("int").alias("instrument_id"), F.col("id").alias("row_nr"), (F.col("id") * F.col("id") * 10**8).alias("ts_ns"), (1.0 + F.col("id") % 7).alias("p"), F.lit("x").alias("note"))
+    got = asof.add_return(df, F.col("p"), ["10s", "60s", "1d"], [2.0, 1.0, 0.0], "v")
+    assert got.columns == [*df.columns, "v"]
+    mean = (asof.asof_backward(F.col("p"), 10 * 10**9) * 2 + asof.asof_backward(F.col("p"), 60 * 10**9) * 1) / 3.0
+    want = {r.row_nr: r.v for r in df.withColumn("v", (mean / F.col("p") - 1.0) * 1e4).collect()}
+    assert {r.row_nr: r.v for r in got.collect()} == want and sum(v is not None for v in want.values()) > 300

@@ -22,9 +22,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depthforge.llm.common import stored, table
+from depthforge.llm.common import stored, table, text_batches
 from depthforge.llm.packing import UNSTABLE
 
 #: A pair of ids is one number: first id times this, plus second id.
@@ -230,7 +231,7 @@ def spelled_groups(a, b, ends_a, ends_b, decimals: Decimals) -> bytes:
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: tuple | None = None) -> DataFrame:
     """(key, a_ids, b_ids, a_ends, b_ends) per row: both sides' tokens and how many of them precede the end of each group."""
     paths = tuple(tokenizers or default_tokenizers())
-    wanted = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    wanted = text_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = wanted.schema["key"].dataType.simpleString()
     ints = pa.list_(pa.int32())
 
@@ -249,7 +250,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: tuple | None = None) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) per row, of the same alignment: its distinct linked pairs and how often each is linked."""
     paths = tuple(tokenizers or default_tokenizers())
-    wanted = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    wanted = text_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = wanted.schema["key"].dataType.simpleString()
     names = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
 
@@ -282,9 +283,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers:
 def pair_counts(linked: DataFrame) -> DataFrame:
     """(pair, n, best): links of each id pair over all rows, and whether no pair of its second id has more."""
     each = linked.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("n"))
-    counts = stored(each, few=True)
-    most = counts.groupBy((F.col("pair") % BASE).alias("b")).agg(F.max("n").alias("most"))
-    return stored(counts.withColumn("b", F.col("pair") % BASE).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), few=True)
+    most = F.max("n").over(W.partitionBy(F.col("pair") % BASE))  # a window holds as many rows as there are first ids
+    return stored(each.withColumn("best", F.col("n") == most), few=True)
 
 
 def frequent(counts: DataFrame, bound: int) -> int:

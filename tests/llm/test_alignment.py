@@ -129,3 +129,11 @@ def test_edges(spark):
     long = "The same words, again and again. é " * 30_000
     got = run(spark, [long, "x"])
     assert got[0][1] > 200_000 and got[0][3] > 100_000 and got[1][1:4] != (0, 0, 0)
+
+
+def test_batches_are_small(spark, texts):
+    """Whole texts go to Python 250 at a time at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    alignment.links(frame(spark, texts))
+    assert int(spark.conf.get(name)) <= 250

@@ -93,3 +93,17 @@ def test_labels_in_pieces(spark, monkeypatch):
     assert len(got) > 3
     late = list(step((1,), iter(frames), state))
     assert sum(map(len, late)) < len(rows) and all(f["late"].all() and f["n_late"].nunique() == 1 for f in late if f["late"].any())
+
+
+def test_labels_hold_no_more_than_their_horizon(spark, monkeypatch):
+    """However many rows a micro-batch has, labels leave in frames as long as a piece and what waits for its horizon."""
+    monkeypatch.setattr(runs, "RUN", 50)
+    monkeypatch.setattr(runs, "PIECE", 8)
+    rows = pd.DataFrame({"publisher_id": 1, "instrument_id": 1, "row_nr": range(2000), "ts_ns": np.arange(2000) * HOUR // 2, "price": np.arange(2000) * 1.0})
+    mixed = rows.sample(frac=1.0, random_state=3, ignore_index=True)
+    schema = "publisher_id int, instrument_id int, row_nr long, ts_ns long, price double"
+    step = step_of(monkeypatch, spark, lambda s: stream_future_price(s, "price", "1h", delay="1h"), schema)
+    got = list(step((1, 1), (mixed.iloc[a : a + 100] for a in range(0, 2000, 100)), Held()))
+    assert max(map(len, got)) <= 24
+    out = pd.concat(got)
+    assert out["row_nr"].tolist() == list(range(1996)) and out["future_price"].tolist() == [i + 2.0 for i in range(1996)] and not out["late"].any()

@@ -1,8 +1,11 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from depthforge.operators import reports
 from depthforge.queries import ORACLES, QUERIES
+from depthforge.sources.views import quotes
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +51,22 @@ def test_static_features_before_the_shuffle(spark):
     made = plan[plan.index(shuffled) :]
     fold = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "AS imbalance_3_lin" in made and "bid_px_2" not in fold and "ask_sz_2" not in fold
+
+
+def tasks_of_books(spark, rows) -> list[int]:
+    """In how many tasks each book's ``rows`` (row_nr, task) are."""
+    books = {r.row_nr: r.instrument_id for r in quotes(spark, SF).select("row_nr", "instrument_id").collect()}
+    return [len({r.task for r in rows if books[r.row_nr] == b}) for b in set(books.values())]
+
+
+def test_decile_labels_of_a_book_in_many_tasks(spark, monkeypatch):
+    """The labels that the decile report gets are made in more than one task a book."""
+    taken, report = [], reports.decile_report
+    monkeypatch.setattr(reports, "decile_report", lambda df, *a: taken.append(df) or report(df, *a))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        entry.flagship(spark, SF)
+        assert min(tasks_of_books(spark, taken[0].select("row_nr", F.spark_partition_id().alias("task")).collect())) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

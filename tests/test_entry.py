@@ -70,3 +70,14 @@ def test_decile_labels_of_a_book_in_many_tasks(spark, monkeypatch):
         assert min(tasks_of_books(spark, taken[0].select("row_nr", F.spark_partition_id().alias("task")).collect())) > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_weighted_labels_of_a_book_in_many_tasks(spark):
+    """Labels of several horizons are made in more than one task a book, and every row has its label once."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = QUERIES["weighted_multi_horizon_return"](spark, SF).select("row_nr", "value", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert min(tasks_of_books(spark, rows)) > 1 and sorted(r.row_nr for r in rows) == list(range(1000))
